@@ -90,9 +90,17 @@ def frequent(docs: DataFrame, sets: Sets) -> np.ndarray:
 
 
 def signature(one: np.ndarray) -> np.ndarray:
-    """Parity bitmap: bits where two differ are at most the elements that only one of them has."""
-    counts = np.bincount((one >> np.uint64(7)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS)
-    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").view(np.int64)
+    """Parity bitmap of about a bit for each element: bits where two differ are at most the elements that only one
+    of them has. Its length is a power of two, so that a longer one folds to a shorter one's length."""
+    longs = LONGS
+    while 64 * longs < len(one):
+        longs *= 2
+    counts = np.bincount((one >> np.uint64(7)).astype(np.int64) % (64 * longs), minlength=64 * longs)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(bits: np.ndarray, longs: int = LONGS) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, longs), axis=0)
 
 
 def described(docs: DataFrame, sets: Sets, often: np.ndarray) -> DataFrame:
@@ -100,7 +108,7 @@ def described(docs: DataFrame, sets: Sets, often: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            n, first, second, rare, bits = [], [], [], [], []
+            n, first, second, rare, bits, wide = [], [], [], [], [], []
             for one in sets(batch.column(1)):
                 n.append(len(one))
                 with np.errstate(over="ignore"):
@@ -109,13 +117,14 @@ def described(docs: DataFrame, sets: Sets, often: np.ndarray) -> DataFrame:
                 keep = len(one) - (LEAST * len(one) + 99) // 100 + 1 if len(one) else 0
                 last = np.isin(one, often, assume_unique=True) if len(often) else np.zeros(len(one), bool)
                 rare.append(np.concatenate([one[~last], one[last]])[:keep].view(np.int64))
-                bits.append(signature(one))
+                wide.append(signature(one))
+                bits.append(folded(wide[-1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)), list_array(rare, pa.int64()), list_array(bits, pa.int64())],
-                ["doc_id", "n", "h1", "h2", "rare", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)), list_array(rare, pa.int64()), list_array(bits, pa.int64()), list_array(wide, pa.int64())],
+                ["doc_id", "n", "h1", "h2", "rare", "bits", "wide"],
             )
 
-    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, n long, h1 long, h2 long, rare array<long>, bits array<long>")
+    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, n long, h1 long, h2 long, rare array<long>, bits array<long>, wide array<long>")
 
 
 def can_link(x: str, y: str) -> F.Column:
@@ -125,6 +134,25 @@ def can_link(x: str, y: str) -> F.Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * LEAST) & ((n + m - apart) * 100 >= (n + m + apart) * LEAST)
 
 
+def wide_enough(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Candidate ``pairs`` (a, b) whose full-length bitmaps allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                longs = min(len(x), len(y))
+                apart = int(np.bitwise_count((folded(x, longs) ^ folded(y, longs)).view(np.uint64)).sum())
+                keep.append((n[k] + m[k] - apart) * 100 >= (n[k] + m[k] + apart) * LEAST)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda end, n, w: bits.select(F.col("id").alias(end), F.col("n").alias(n), F.col("wide").alias(w))
+    full = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    return full.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def exact_links(docs: DataFrame, sets: Sets, pairs: DataFrame) -> DataFrame:
     """Of candidate ``pairs`` (a, b) those with a Jaccard of ``LEAST`` hundredths, by intersecting sorted arrays."""
     table = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
@@ -165,11 +193,15 @@ def similar_sets(docs: DataFrame, sets: Sets = shingle_sets) -> DataFrame:
     tile = "partition by token"
     tiles = reps.select("id", "n", F.explode("rare").alias("token")).select("*", F.expr(f"min(id) over ({tile})").alias("pivot"), F.expr(f"count(*) over ({tile})").alias("members"))
     tiles = scratch.keep(tiles.where("members > 1"), "tiles")
-    bits = scratch.keep(reps.join(tiles.select("id").distinct(), "id", "left_semi").select("id", "n", "bits"), "bits")
+    bits = scratch.keep(reps.join(tiles.select("id").distinct(), "id", "left_semi").select("id", "n", "bits", "wide"), "bits")
+    slim = scratch.keep(known.select("doc_id", "n", "h1", "h2"), "slim")
+    scratch.drop(but=[tiles, bits, copies, slim])
+    known = slim
+    del reps, some
 
     star = tiles.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    star = star.join(bits.alias("x"), F.col("a") == F.col("x.id")).join(bits.alias("y"), F.col("b") == F.col("y.id")).where(can_link("x", "y")).select("a", "b")
-    links = scratch.keep(exact_links(docs, sets, scratch.keep(star, "star")), "links")
+    links = scratch.keep(exact_links(docs, sets, scratch.keep(wide_enough(star, bits), "star")), "links")
+    scratch.tidy()
     same = components(scratch, links)
 
     rest = tiles.where("members > 2").join(same, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -181,7 +213,8 @@ def similar_sets(docs: DataFrame, sets: Sets = shingle_sets) -> DataFrame:
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
     more = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & order & (F.col("x.component") != F.col("y.component")) & (F.col("x.id") != F.col("y.pivot")) & (F.col("y.id") != F.col("x.pivot")) & can_link("x", "y"))
     more = scratch.keep(more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "more")
-    found = scratch.keep(exact_links(docs, sets, more), "found")
+    scratch.tidy()
+    found = scratch.keep(exact_links(docs, sets, scratch.keep(wide_enough(more, bits), "close")), "found")
     if found.take(1):
         same = components(scratch, links.unionByName(found))
 

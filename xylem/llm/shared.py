@@ -8,6 +8,7 @@ executor costs a re-read and never a lineage that can't be replayed.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -48,6 +49,11 @@ class Scratch:
         self.made.append(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, but: Iterable[DataFrame] = ()) -> None:
         keep = {f.split("file:")[-1].lstrip("/") for x in but for f in x.inputFiles()}
         jvm = self.spark.sparkContext._jvm
@@ -64,6 +70,7 @@ class Scratch:
             except Exception:  # the session has ended
                 return
         self.made = left
+        self.tidy()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
