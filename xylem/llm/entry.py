@@ -1,10 +1,15 @@
 """Queries of the corpus operators, one for each, with production parameters over whole tables."""
 
+from xylem.llm.decontaminate import op2_decontamination
 from xylem.llm.jaccard import op4_jaccard_join
+from xylem.llm.language import op9_language
+from xylem.llm.pieces import op1_sentencepiece
+from xylem.llm.quality import op6_quality
+from xylem.llm.toxicity import op10_toxicity
 
 
 def queries():
-    return {"op4_jaccard_join": op4_jaccard_join}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op4_jaccard_join, op6_quality, op9_language, op10_toxicity)}
 
 
 def oracle_sql():
