@@ -90,10 +90,10 @@ def frequent(docs: DataFrame, sets: Sets) -> np.ndarray:
 
 
 def signature(one: np.ndarray) -> np.ndarray:
-    """Parity bitmap of about a bit for each element: bits where two differ are at most the elements that only one
+    """Parity bitmap of about four bits for each element: bits where two differ are at most the elements that only one
     of them has. Its length is a power of two, so that a longer one folds to a shorter one's length."""
     longs = LONGS
-    while 64 * longs < len(one):
+    while 64 * longs < 4 * len(one):
         longs *= 2
     counts = np.bincount((one >> np.uint64(7)).astype(np.int64) % (64 * longs), minlength=64 * longs)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
