@@ -81,15 +81,17 @@ def disclosures(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFram
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
     alone = spans.select("tkey", F.explode("base").alias("x")).select("tkey", F.xxhash64(F.col("x.kind"), F.lower("x.value")).alias("entity")).distinct()
     entities = alone.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= SUPPORT)
-    pairs = scratch.keep(pairs.join(entities, "entity"), "pairs")
+    total = F.lit(float(max(docs.count(), 1)))
+    inform = F.log2(total / F.col("with_entity"))
+    share = lambda n: F.when(inform > 0, F.log2(F.col("both") * total / (F.col("with_entity") * F.col(n))) / inform).otherwise(0.0)
+    # a term is in as many texts at least as it is near entities: that bounds its share from above, and common words drop out
+    around = near.select("tkey", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least_with_term"))
+    pairs = scratch.keep(pairs.join(entities, "entity").join(around, "term").where(share("least_with_term") >= DISCLOSE), "pairs")
     wanted = pairs.select("term").distinct()
-    n, rows = wanted.count(), docs.count()
+    n = wanted.count()
     words = docs.select(F.explode(F.array_distinct(matches(F.lower("text"), TERM))).alias("term"))
     seen = words.join(F.broadcast(wanted) if n <= SENT else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    total = F.lit(float(max(rows, 1)))
-    inform = F.log2(total / F.col("with_entity"))
-    share = F.when(inform > 0, F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_term"))) / inform).otherwise(0.0)
-    return pairs.join(seen, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= DISCLOSE)
+    return pairs.join(seen, "term").select("entity", "term", share("with_term").alias("share")).where(F.col("share") >= DISCLOSE)
 
 
 def personal_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
