@@ -185,10 +185,10 @@ def similar_sets(docs: DataFrame, sets: Sets = shingle_sets) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text). See the module's text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    known = scratch.keep(described(docs, sets, frequent(docs, sets)), "sets")
+    known = scratch.keep(described(docs, sets, frequent(docs, sets)).withColumn("uid", F.monotonically_increasing_id()), "sets")
     some = known.where("n > 0 and doc_id is not null")
-    copies = scratch.keep(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "copies")
-    reps = some.join(copies.select("h1", "h2", "n", F.col("rep").alias("doc_id")), ["doc_id", "h1", "h2", "n"], "left_semi").withColumnRenamed("doc_id", "id")
+    copies = scratch.keep(some.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "uid")).alias("rep")).select("h1", "h2", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.uid").alias("uid")), "copies")
+    reps = some.join(copies.select("uid"), "uid", "left_semi").withColumnRenamed("doc_id", "id")
 
     tile = "partition by token"
     tiles = reps.select("id", "n", F.explode("rare").alias("token")).select("*", F.expr(f"min(id) over ({tile})").alias("pivot"), F.expr(f"count(*) over ({tile})").alias("members"))
@@ -204,14 +204,16 @@ def similar_sets(docs: DataFrame, sets: Sets = shingle_sets) -> DataFrame:
     scratch.tidy()
     same = components(scratch, links)
 
-    rest = tiles.where("members > 2").join(same, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = scratch.keep(rest, "rest")
-    mixed = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
-    rest = rest.join(mixed, "token", "left_semi").join(bits.select("id", "bits"), "id").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / LEAST)) + 1e-9))
+    # pairs with the pivot are done; of the others a row is needed only if a row of another component has a near size
+    rest = tiles.where("members > 2 and id != pivot").join(same, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = scratch.keep(rest.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / LEAST)) + 1e-9)), "rest")
+    mixed = rest.select("token", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)).alias("band"), "component").groupBy("token", "band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    rest = scratch.keep(rest.join(mixed, ["token", "band"], "left_semi"), "mixed")
+    rest = rest.join(bits.select("id", "bits"), "id")
     left = rest.alias("x")
     right = rest.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).alias("y")
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
-    more = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & order & (F.col("x.component") != F.col("y.component")) & (F.col("x.id") != F.col("y.pivot")) & (F.col("y.id") != F.col("x.pivot")) & can_link("x", "y"))
+    more = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & order & (F.col("x.component") != F.col("y.component")) & can_link("x", "y"))
     more = scratch.keep(more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "more")
     scratch.tidy()
     found = scratch.keep(exact_links(docs, sets, scratch.keep(wide_enough(more, bits), "close")), "found")
