@@ -51,6 +51,8 @@ def count(v):
 
 def numbers(v: V) -> V:
     v = array(v)
+    if v.type == "empty":
+        return v.but(F.array().cast("array<bigint>"), "integer")
     return v.but(F.transform(v.col, lambda x: cast(V(x, v.type), "double").col), "double") if v.type == "untyped" else v
 
 

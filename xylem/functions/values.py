@@ -26,7 +26,7 @@ FRAGMENTS = {
 }
 
 SPARK = {
-    "string": "string", "untyped": "string", "anyURI": "string", "boolean": "boolean", "integer": "bigint", "decimal": "decimal(38,12)", "float": "float", "double": "double",
+    "string": "string", "untyped": "string", "empty": "string", "anyURI": "string", "boolean": "boolean", "integer": "bigint", "decimal": "decimal(38,12)", "float": "float", "double": "double",
     "date": "date", "dateTime": "timestamp", "time": "string", "dayTimeDuration": "interval day to second", "yearMonthDuration": "interval year to month",
     "hexBinary": "binary", "base64Binary": "binary", "QName": "struct<ns:string,prefix:string,local:string>",
 } | {k: "bigint" for k in INTEGERS} | {k: "string" for k in [*STRINGS, *FRAGMENTS]}
@@ -97,7 +97,7 @@ def string(v: V) -> Column:
     kind = base(v.type)
     if kind == "double" or kind == "float":
         whole = (F.abs(v.col) < 1e6) & (v.col == F.floor(v.col))
-        plain = F.regexp_replace(F.regexp_replace(v.col.cast("string"), r"\.0(E|$)", "$1"), r"E\+?", "E")
+        plain = F.regexp_replace(v.col.cast("string"), r"\.0$", "")
         return F.when(F.isnan(v.col), "NaN").when(v.col == float("inf"), "INF").when(v.col == float("-inf"), "-INF").when(whole, v.col.cast("bigint").cast("string")).otherwise(plain)
     if kind == "decimal":
         return F.regexp_replace(F.regexp_replace(v.col.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
@@ -152,6 +152,8 @@ def ebv(v: V) -> Column:
     if v.many:
         return F.size(v.col) > 0
     kind = base(v.type)
+    if kind == "empty":
+        return F.lit(False)
     if kind == "boolean":
         out = v.col
     elif kind in NUMERIC:
@@ -194,6 +196,8 @@ def cast(v: V, to: str, safe: bool = False) -> V:
     fail = lambda ok, out: F.when(c.isNull(), None).when(ok, out).otherwise(F.lit(None) if safe else F.raise_error(F.concat(F.lit(f"FORG0001: not a value of xs:{to}: "), F.coalesce(string(v), F.lit("()")))))
     if to == v.type:
         return v
+    if v.type == "empty":
+        return V(c.cast(want) if want != "binary" and not want.startswith("struct") else F.lit(None).cast(want), to, v.many)
     if to in ("string", "untyped", "anyURI"):
         return V(string(v), to)
     if to in STRINGS:
@@ -263,6 +267,8 @@ def cast(v: V, to: str, safe: bool = False) -> V:
 
 def arithmetic(op: str, a: V, b: V) -> V:
     """``+ - * div idiv mod``; an empty operand gives the empty sequence."""
+    if "empty" in (a.type, b.type):
+        return V(F.lit(None).cast("bigint"), "integer")
     x, y = base(a.type), base(b.type)
     days, months = "dayTimeDuration", "yearMonthDuration"
     if x in ("date", "dateTime", "time") or y in ("date", "dateTime", "time"):
@@ -316,6 +322,8 @@ ORDERED = [*NUMERIC, "string", "boolean", "date", "dateTime", "time", "dayTimeDu
 
 def compare(op: str, a: V, b: V, general: bool = False) -> V:
     """Value comparison of items; with ``general`` untyped operands take the other's type."""
+    if "empty" in (a.type, b.type):
+        return V(F.lit(None).cast("boolean"), "boolean")
     if not general:
         a, b = (v.but(v.col, "string") if v.type == "untyped" else v for v in (a, b))
     elif a.type == b.type == "untyped":
@@ -334,6 +342,8 @@ def compare(op: str, a: V, b: V, general: bool = False) -> V:
 
 def general(op: str, a: V, b: V) -> V:
     """Existential comparison of two sequences; never empty."""
+    if "empty" in (a.type, b.type):
+        return V(F.lit(False), "boolean")
     if not a.many and not b.many:
         return V(F.coalesce(compare(GENERAL[op], a, b, True).col, F.lit(False)), "boolean")
     if a.many and b.many:
@@ -355,7 +365,7 @@ def array(v: V) -> V:
 
 def common(values: list[V]) -> str:
     """The type that all items of a sequence are stored as."""
-    kinds = list(dict.fromkeys(base(v.type) for v in values))
+    kinds = list(dict.fromkeys(base(v.type) for v in values if v.type != "empty")) or ["empty"]
     if len(kinds) == 1:
         return kinds[0]
     if all(k in NUMERIC for k in kinds):

@@ -40,7 +40,7 @@ def edited(nodes: DataFrame, target: DataFrame, edit) -> DataFrame:
         out.insert(0, "doc_id", doc)
         return out[_NAMES]
 
-    changed = marked.select(*names, "_hit").groupBy("doc_id").applyInPandas(run, SCHEMA).withColumn("path_id", F.crc32(F.col("path").cast("binary")).cast("int"))
+    changed = marked.select(*names, "_hit").groupBy("doc_id").applyInPandas(run, SCHEMA).withColumn("path_id", F.crc32(F.col("path").cast("binary")))
     return nodes.join(touched, "doc_id", "left_anti").select(*nodes.columns).unionByName(changed.select(*nodes.columns))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.functions import library
-from xylem.functions.values import INTEGERS, NUMERIC, SPARK, STRINGS, StaticError, V, arithmetic, array, base, cast, common, compare, concatenated, ebv, general, lit, of_spark, string
+from xylem.functions.values import GENERAL, INTEGERS, NUMERIC, SPARK, STRINGS, StaticError, V, arithmetic, array, base, cast, common, compare, concatenated, ebv, general, lit, of_spark, string
 from xylem.plans.interpret import recursive_udf
 from xylem.plans.parser import E, Step, Test, positional
 from xylem.plans.relation import Link, Node, Relation, Row, Tuples, flat, fresh, numbered
@@ -691,11 +691,8 @@ class Compiler:
 
     def compared(self, e: E, own: Tuples, negate: bool) -> None:
         """A plain condition: a filter, or a link if it reaches outward."""
-        v = self.value(e, own)
+        condition = ~ebv(self.value(e, own)) if negate else self.test(e, own)
         self.flush(own)
-        condition = ebv(v)
-        if negate:
-            condition = ~condition
         have = set(own.df.columns)
         if names_of(condition) <= have:
             own.where(condition)
@@ -708,6 +705,21 @@ class Compiler:
                     link = Link(x.col == y.col, b.col, a.col)
         own.links.append(link)
 
+    def test(self, e: E, own: Tuples) -> Column:
+        """A condition for a filter, where null is as good as false: kept bare, so that it can reach the scan."""
+        if e.op == "paren":
+            return self.test(e.args[0], own)
+        if e.op in ("and", "or"):
+            a, b = (self.test(x, own) for x in e.args)
+            return a & b if e.op == "and" else a | b
+        if e.op in ("general", "value") and not any(self.is_rel(a, own) for a in e.args):
+            a, b = (self.item(x, own) for x in e.args)
+            if e.op == "value":
+                a, b = self.one(a, own), self.one(b, own)
+            if not a.many and not b.many and "empty" not in (a.type, b.type):
+                return compare(GENERAL.get(e.info["sign"], e.info["sign"]), a, b, e.op == "general").col
+        return ebv(self.truth(e, own))
+
     def semi(self, inner: Relation, own: Tuples, negate: bool) -> None:
         self.flush(own)
         kind = "left_anti" if negate else "left_semi"
@@ -846,7 +858,7 @@ class Compiler:
         if op in ("paren", "ordered", "unordered", "pragma"):
             return self.value(e.args[0], t)
         if op == "seq" and not e.args:
-            return V(F.array().cast("array<string>"), "string", True)
+            return V(F.array().cast("array<string>"), "empty", True)
         if self.is_rel(e, t):
             return self.gathered(e, t)
         if op == "var":
@@ -1067,7 +1079,7 @@ class Compiler:
 
     def branches(self, parts: list[tuple[Column | None, V]]) -> V:
         values = [v for _, v in parts]
-        real = [v for v in values if not (v.many and v.type == "string" and str(v.col) == str(F.array().cast("array<string>")))] or values
+        real = [v for v in values if v.type != "empty"] or values
         kept = {id(v) for v in real}
         kind, many = common(real), any(v.many for v in real)
         out = None

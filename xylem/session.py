@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -80,7 +82,7 @@ class Session:
         return store
 
     def empty_store(self, name: str) -> NodeStore:
-        return NodeStore(self.spark.createDataFrame([], SCHEMA + ", path_id int"), None, name)
+        return NodeStore(self.spark.createDataFrame([], SCHEMA + ", path_id long"), None, name)
 
     def check(self, privilege: str, name: str | None = None) -> None:
         kind = None
@@ -276,6 +278,7 @@ class Session:
             return rows, by.info["steps"][-1].test.name if by is not None else None
         key = None
         if by is not None:
+            r.tuples.vars["owner"] = r.item  # keeps its columns beside those of the keys
             step = compiler.walk(r, by.info["steps"] if by.op == "path" else [], Tuples(None))
             owners = r.item
             rows = step.df.select(owners.col("doc_id").alias("doc_id"), owners.col("pre").alias("pre"), step.item.col("value").alias("key"))
@@ -398,10 +401,19 @@ class Session:
         else:
             self.fire("before", event, target_name, None)
             out = {"delete": lambda: updates.delete(nodes, target), "delete_undeep": lambda: updates.delete_undeep(nodes, target), "rename": lambda: updates.rename(nodes, target, e.info.get("new"))}[kind]()
-        self.replace_store(store, store.replaced(out))
+        self.replace_store(store, store.replaced(self.written(out)))
         self.fire("after", event, target_name, None)
         return self.done(kind)
 
+    def written(self, nodes: DataFrame) -> DataFrame:
+        """A table written to a folder of its own and read back: a version doesn't carry the plans of those before it."""
+        root = self._folder or self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root:
+            root = self._own = getattr(self, "_own", None) or "file://" + tempfile.mkdtemp(prefix="xylem-")
+        path = f"{root}/version-{uuid.uuid4().hex[:12]}"
+        nodes.write.parquet(path)
+        return self.spark.read.schema(nodes.schema).parquet(path)
+
     def replace_store(self, old: NodeStore, new: NodeStore) -> None:
         """The next version takes the old one's names."""
         for held in (self.catalog.collections, self.catalog.documents):

@@ -82,7 +82,7 @@ def node_table(docs: DataFrame, strip_space: bool = True) -> DataFrame:
                 nodes.insert(0, "doc_id", doc)
                 yield nodes
 
-    return docs.select("doc_id", "xml").mapInPandas(run, SCHEMA).withColumn("path_id", F.crc32(F.col("path").cast("binary")).cast("int"))
+    return docs.select("doc_id", "xml").mapInPandas(run, SCHEMA).withColumn("path_id", F.crc32(F.col("path").cast("binary")))
 
 
 @dataclass
