@@ -171,3 +171,17 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op2_decontamination(spark, sf_dir) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("tkey")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+item_windows AS (SELECT DISTINCT item_id, least(8, len(ws)) AS n, array_to_string(ws[i:i + 7], ' ') AS g FROM b, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) t(i) WHERE len(ws) > 0),
+doc_windows AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM item_windows) l, unnest(range(1, len(ws) - n + 2)) t(i)),
+hits AS (SELECT doc_id, i, n, item_id FROM doc_windows JOIN item_windows USING (n, g)),
+marked AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, n)) t(k) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""

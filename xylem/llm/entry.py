@@ -1,8 +1,8 @@
 """Queries of the corpus operators, one for each, with production parameters over whole tables."""
 
 from xylem.llm.archive import OP8_SQL, op8_warc
-from xylem.llm.decontaminate import op2_decontamination
-from xylem.llm.jaccard import op4_jaccard_join
+from xylem.llm.decontaminate import OP2_SQL, op2_decontamination
+from xylem.llm.jaccard import OP4_SQL, op4_jaccard_join
 from xylem.llm.language import op9_language
 from xylem.llm.personal import op3_personal_data
 from xylem.llm.pieces import op1_sentencepiece
@@ -17,4 +17,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_warc": OP8_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op8_warc": OP8_SQL}

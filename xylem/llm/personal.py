@@ -116,9 +116,11 @@ def sanitised(docs: DataFrame) -> DataFrame:
     edits = scratch.keep(found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), F.array_sort(F.concat(base, terms)).alias("spans")).distinct(), "edits")
     scratch.drop(but=[edits])
     joined = docs.join(edits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("t")), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("spans")))
-    out = {"text": text} | ({"n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+    put = joined.withColumn("put", F.when(F.col("spans").isNotNull(), replaced(F.col("text"), F.col("spans"))))
+    out = {"text": F.coalesce("put", "text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("put").isNull(), F.col("n_chars")).otherwise(F.char_length("put")).cast(docs.schema["n_chars"].dataType)
+    return put.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
 
 
 def op3_personal_data(spark, sf_dir) -> DataFrame:
