@@ -164,6 +164,14 @@ def test_disclosing_terms_and_sanitising(spark):
     assert all(out[k].text == filler[k - 4] and out[k].n_chars == 0 for k in range(4, 204)) and out[204].text is None
 
 
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co", 0, 1, "x"), (2, None, 0, 1, "y")], "doc_id long, text string, spans int, base int, put string")
+    out = {r.doc_id: r for r in personal.sanitised(docs).collect()}
+    assert out[1].text == "mail <EMAIL>" and out[2].text is None and out[1].asDict().keys() == set(docs.columns)
+    items = spark.createDataFrame([(1, "mail"), (2, "a")], "item_id long, text string")
+    assert decontaminate.keep_clean(docs, items).columns == docs.columns
+
+
 def test_copies_disclose_nothing(spark):
     docs = spark.createDataFrame([(k, "agent Zanzibar writes to z@corp.com") for k in range(50)] + [(k, f"w{k}") for k in range(50, 99)], "doc_id long, text string")
     assert personal.personal_spans(docs, Scratch(spark, "t")).where("size(terms) > 0").count() == 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.shared import ALNUM, LOWER, Scratch, Words, key_filter, list_array, may_contain, mix, over_texts, text_steps
+from xylem.llm.shared import ALNUM, LOWER, Scratch, Words, key_filter, list_array, may_contain, mix, over_texts, text_steps, without
 
 #: Words in a window, in a gram, and grams of which one is kept: any WINDOW words keep one of their grams.
 WINDOW, GRAM = 8, 5
@@ -165,8 +165,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with the columns of ``docs``."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("tkey").alias("bad_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_key")), "left_anti").select(docs.columns)
+    pair = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")), F.col("tkey"))
+    bad = contamination(docs, benchmark).where("contaminated").select(pair.alias("_key")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(docs["doc_id"], F.lit(-(1 << 63)).cast("long")), F.xxhash64(docs["text"])))
+    return without(keyed, bad, "_key").select(docs.columns)
 
 
 def op2_decontamination(spark, sf_dir) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.shared import NOT_SPACE, Scratch, Words, components, key_filter, list_array, may_contain, mix, over_texts, text_steps
+from xylem.llm.shared import NOT_SPACE, Scratch, Words, components, key_filter, list_array, may_contain, mix, over_texts, text_steps, without
 
 #: Words in a shingle, and the least Jaccard in hundredths.
 SHINGLE, LEAST = 5, 80
@@ -234,7 +234,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A row without a doc_id stays; of several rows with one doc_id all stay.
     """
     gone = similar_sets(docs).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, gone, "doc_id")
 
 
 def op4_jaccard_join(spark, sf_dir) -> DataFrame:

@@ -113,14 +113,17 @@ def sanitised(docs: DataFrame) -> DataFrame:
     found = personal_spans(docs, scratch)
     terms = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.when(x["share"] >= REMOVE, "").otherwise("<TERM>").alias("put")))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("put")))
-    edits = scratch.keep(found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), F.array_sort(F.concat(base, terms)).alias("spans")).distinct(), "edits")
+    edits = scratch.keep(found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias("_edit_id"), F.col("tkey").alias("_edit_key"), F.array_sort(F.concat(base, terms)).alias("_edits")).distinct(), "edits")
     scratch.drop(but=[edits])
-    joined = docs.join(edits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("t")), "left")
-    put = joined.withColumn("put", F.when(F.col("spans").isNotNull(), replaced(F.col("text"), F.col("spans"))))
-    out = {"text": F.coalesce("put", "text")}
+    # texts without any entity stay where they are: terms are only looked for near entities
+    body = F.coalesce("text", F.lit(""))
+    some = F.rlike(body, F.lit(EMAIL)) | F.rlike(body, F.lit(IP)) | F.rlike(body, F.lit(r"[0-9](?:[\x20-]?[0-9]){12}")) | F.rlike(body, F.lit(PHONE))
+    touched = docs.where(some).join(edits, F.col("doc_id").eqNullSafe(F.col("_edit_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_edit_key")), "left")
+    put = touched.withColumn("_put", F.when(F.col("_edits").isNotNull(), replaced(F.col("text"), F.col("_edits"))))
+    out = {"text": F.coalesce("_put", "text")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("put").isNull(), F.col("n_chars")).otherwise(F.char_length("put")).cast(docs.schema["n_chars"].dataType)
-    return put.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+        out["n_chars"] = F.when(F.col("_put").isNull(), F.col("n_chars")).otherwise(F.char_length("_put")).cast(docs.schema["n_chars"].dataType)
+    return docs.where(~some).unionByName(put.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns)))
 
 
 def op3_personal_data(spark, sf_dir) -> DataFrame:

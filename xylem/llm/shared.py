@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Text bytes that one vectorised step handles at most (one longer text is a step of its own).
 STEP_BYTES = 1 << 20
@@ -125,6 +126,26 @@ def spark_xxhash64(keys: np.ndarray, seed: int = 42) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those whose 64-bit ``key`` is in ``gone``; a null key stays.
+
+    Rows that a bounded filter over ``gone`` rules out stay where they are; only the others, about as many as
+    there are to drop, are shuffled for the exact anti join.
+    """
+    table = key_filter(gone, key)
+    at = rows.columns.index(key)
+
+    def marked(batches):
+        for batch in batches:
+            ids = batch.column(at).fill_null(0).to_numpy(zero_copy_only=False)
+            yield batch.append_column("_maybe", pa.array(may_contain(table, ids) & batch.column(at).is_valid().to_numpy(zero_copy_only=False)))
+
+    kind = StructType([*rows.schema.fields, StructField("_maybe", BooleanType())])
+    both = over_texts(rows, marked, kind)
+    stay = both.where("not _maybe").drop("_maybe")
+    return stay.unionByName(both.where("_maybe").drop("_maybe").join(gone.select(key), key, "left_anti").select(rows.columns))
+
+
 # ---------------------------------------------------------------- connected components
 
 
