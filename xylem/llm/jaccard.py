@@ -191,15 +191,16 @@ def similar_sets(docs: DataFrame, sets: Sets = shingle_sets) -> DataFrame:
     reps = some.join(copies.select("uid"), "uid", "left_semi").withColumnRenamed("doc_id", "id")
 
     tile = "partition by token"
-    tiles = reps.select("id", "n", F.explode("rare").alias("token")).select("*", F.expr(f"min(id) over ({tile})").alias("pivot"), F.expr(f"count(*) over ({tile})").alias("members"))
-    tiles = scratch.keep(tiles.where("members > 1"), "tiles")
+    tiles = reps.select("id", "n", F.explode("rare").alias("token")).select("*", F.expr(f"min(struct(id, n)) over ({tile})").alias("first"), F.expr(f"count(*) over ({tile})").alias("members"))
+    tiles = scratch.keep(tiles.where("members > 1").select("id", "n", "token", "members", F.col("first.id").alias("pivot"), F.col("first.n").alias("pivot_n")), "tiles")
     bits = scratch.keep(reps.join(tiles.select("id").distinct(), "id", "left_semi").select("id", "n", "bits", "wide"), "bits")
     slim = scratch.keep(known.select("doc_id", "n", "h1", "h2"), "slim")
     scratch.drop(but=[tiles, bits, copies, slim])
     known = slim
     del reps, some
 
-    star = tiles.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * LEAST
+    star = tiles.where((F.col("id") != F.col("pivot")) & near).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = scratch.keep(exact_links(docs, sets, scratch.keep(wide_enough(star, bits), "star")), "links")
     scratch.tidy()
     same = components(scratch, links)
