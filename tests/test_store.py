@@ -154,3 +154,33 @@ def test_lost_columns_are_pruned(spark, tmp_path):
     spark.range(10).selectExpr("id AS a", "id * 2 AS b", "id * 3 AS c").write.parquet(str(tmp_path / "t.parquet"))
     plan = Session(spark).tables(str(tmp_path), "t").explain('for $x in collection("t")/row where $x/a > 5 return $x/b')
     assert "ReadSchema: struct<a:bigint,b:bigint>" in plan and "GreaterThan(a,5)" in plan
+
+
+def test_ids_and_names(spark):
+    s = Session(spark)
+    s.load_xml("d", spark.createDataFrame([(1, '<r xmlns:p="http://p"><p:a xid="k1"/><b idref="k1"/><c xml:lang="de"><e/></c></r>')], "doc_id long, xml string"))
+    assert [r.local for r in s.xquery('id("k1", collection("d"))').collect()] == ["a"]
+    assert [r.local for r in s.xquery('idref("k1", collection("d"))').collect()] == ["b"]
+    row = s.xquery('for $a in collection("d")/r/p:a return <x n="{name($a)}" l="{local-name($a)}" u="{namespace-uri($a)}" d="{string(base-uri($a))}" z="{nilled($a)}"/>').first()
+    assert (row.n, row.l, row.u, row.d, row.z) == ("p:a", "a", "http://p", "d/1", False)
+    assert s.xquery('count(collection("d")//e[lang("de")])').first()[0] == 1 and s.xquery('count(collection("d")//e[lang("en")])').first()[0] == 0
+    assert s.xquery('count(collection("d")/r/*:a)').first()[0] == 1 and s.xquery('count(collection("d")/r/p:*)').first()[0] == 1
+
+
+def test_stream_load(spark, tmp_path):
+    from xylem.streaming.load import load_stream, loaded
+
+    for k in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{k}.json").write_text(f'{{"doc_id": {k}, "xml": "<a><b>{k}</b></a>"}}')
+    docs = spark.readStream.schema("doc_id long, xml string").option("maxFilesPerTrigger", 2).json(str(tmp_path / "in"))
+    load_stream(docs, str(tmp_path / "out"), str(tmp_path / "mark"), once=True).awaitTermination()
+    s = Session(spark).register("c", loaded(spark, str(tmp_path / "out"), "c"))
+    assert sorted(r[0] for r in s.xquery('for $b in collection("c")/a/b return string($b)').collect()) == ["0", "1", "2"]
+
+
+def test_highlight_blocks_and_engine_functions(spark):
+    s = Session(spark)
+    assert s.xquery("fthighlight-blocks('fox', 'one two three four five six seven fox eight')").first()[0] == "three four five six seven <hit>fox</hit> eight"
+    assert s.xquery("se:checkpoint()").count() == 0 and s.xquery("se:get-property('$user')").first()[0] == "SYSTEM"
+    assert s.xquery("crypto:sha512('a')").first()[0].startswith("1F40FC92") and s.xquery("crypto:digest('sha384', 'a')").first()[0].startswith("54A59B9F") and s.xquery("crypto:sha224('a')").first()[0].startswith("ABD37534")

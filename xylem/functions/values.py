@@ -104,7 +104,7 @@ def string(v: V) -> Column:
     if kind == "dateTime":
         body = F.regexp_replace(F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", "")
         return F.concat(F.when(F.date_format(v.col, "ss.SSSSSS") == "00.000000", F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(body), zone(v))
-    if kind == "date":
+    if kind in ("date", "time"):
         return F.concat(v.col.cast("string"), zone(v))
     if kind == "hexBinary":
         return F.hex(v.col)

@@ -441,8 +441,37 @@ class Compiler:
                 first = self.axis_from(bound, step, t)
                 return self.walk(first, steps if start.op == "root" else steps[1:], t)
             return self.exploded(self.value(e, t), t)
+        if start.op == "call" and start.info["name"] in ("collection", "doc", "document"):
+            found = self.absolute(start, steps, t)
+            if found:
+                return self.walk(found[0], steps[found[1] :], t)
         return self.walk(self.relation(start, t), steps, t)
 
+    def absolute(self, start: E, steps: list, t: Tuples) -> tuple[Relation, int] | None:
+        """The longest prefix of downward steps without predicates, as one scan of the stored paths that it matches."""
+        title = self.constant(start.args[0], t)
+        self.session.check("DOCUMENT" if start.info["name"] != "collection" else "COLLECTION", title)
+        store = self.session.catalog.open(title, self.constant(start.args[1], t) if len(start.args) > 1 else None)
+        if isinstance(store, DataFrame):
+            return None
+        pattern, taken = "", 0
+        for step in steps:
+            part = one_path(step)
+            if part is None:
+                break
+            pattern, taken = pattern + part, taken + 1
+            if step.predicates:
+                break
+        if not taken:
+            return None
+        last = steps[taken - 1]
+        out = self.nodes(store, store.at_path(pattern), t)
+        if last.predicates:
+            if any(positional(p) for p in last.predicates) and last.axis != "child":
+                return None
+            out = self.filtered(out, last.predicates, t, [out.item.col("doc_id"), out.item.col("parent")])
+        return out, taken
+
     def walk(self, r: Relation, steps: list, t: Tuples) -> Relation:
         for step in steps:
             if isinstance(step, E):
@@ -1338,6 +1367,23 @@ class Compiler:
         return V(F.array_join(F.transform(v.col, lambda x: string(V(x, v.type))), " "), "untyped")
 
 
+def one_path(step: Any) -> str | None:
+    """A downward step as a pattern for the next part of a rooted path."""
+    if not isinstance(step, Step) or step.axis not in ("child", "descendant", "attribute", "descendant-attribute"):
+        return None
+    test, deep = step.test, "(?:/[^/]+)*" if step.axis.startswith("descendant") else ""
+    mark = "@" if "attribute" in step.axis else ""
+    if test.kind == "text":
+        return rf"{deep}/text\(\)"
+    if test.kind not in ("element", "attribute") or test.kind == "attribute" and not mark:
+        return None
+    if not test.name:
+        return rf"{deep}/{mark}[^/@()]+"
+    pfx, _, local = test.name.rpartition(":")
+    first = rf"{re.escape(pfx)}:" if pfx and pfx != "*" else "(?:[^/:]+:)?"
+    return rf"{deep}/{mark}{first}{'[^/@():]+' if local == '*' else re.escape(local)}"
+
+
 def replace_info(e: E, **more) -> E:
     return E(e.op, e.args, {**e.info, **more})
 

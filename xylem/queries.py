@@ -141,6 +141,11 @@ TEXTS: dict[str, tuple[str, str]] = {
     "node_before": (f"count(for $a in {TREE}, $b in {TREE} where $a << $b return 1)", "SELECT count(*) AS item FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey"),
     "node_names": ('for $c in collection("nations")/nation return <r n="{local-name($c)}" q="{name($c)}" u="{namespace-uri($c)}"/>', "SELECT 'nation' AS n, 'nation' AS q, '' AS u FROM nation"),
     "node_string_value": (f'for $c in {TREE}/customer return <r k="{{xs:integer($c/@key)}}" v="{{string($c/name)}}"/>', "SELECT c_custkey AS k, c_name AS v FROM customer"),
+    "fn_root": (f"count(root({TREE}/customer))", "SELECT count(DISTINCT c_nationkey) AS item FROM customer"),
+    "filter_entry_level": ('count(filter_entry_level(collection("nations")//*))', "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) + (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)) AS item"),
+    "is_ancestor": (f"count(for $a in {TREE}, $c in {TREE}/customer where is_ancestor($a, $c) return 1)", "SELECT count(*) AS item FROM customer"),
+    "ddo": ('for $n in collection("nations")//order/ancestor::customer/@key return xs:integer($n)', "SELECT DISTINCT o_custkey AS item FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "pred_value": (f"{P}[p_size = 10 and p_retailprice > 1000]/p_name", "SELECT p_name AS item FROM part WHERE p_size = 10 AND p_retailprice > 1000"),
     "node_lang": (f'count({TREE}[lang("en")])', "SELECT count(*) AS item FROM nation WHERE n_nationkey % 2 = 0"),
     "node_count_children": (f'for $n in {TREE} return <r k="{{xs:integer($n/@key)}}" n="{{count($n/customer)}}" o="{{count($n//order)}}"/>', "SELECT CAST(n_nationkey AS BIGINT) AS k, count(DISTINCT c_custkey) AS n, count(o_orderkey) AS o FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey"),
 }
@@ -225,6 +230,9 @@ TEXTS |= each("part", "p_partkey", {
     "hash_sha1": ("crypto:sha1($x/p_name)", "upper(sha1(p_name))"),
     "hash_sha256": ("crypto:sha256($x/p_name)", "upper(sha256(p_name))"),
     "hash_digest": ('crypto:digest(" SHA256 ", $x/p_name)', "upper(sha256(p_name))"),
+    "fn_resolve_qname": ('local-name-from-QName(resolve-QName(concat("xml:", $x/p_brand), $x))', "p_brand"),
+    "fn_uris": ('concat(string(namespace-uri-for-prefix("xml", $x)), count(in-scope-prefixes($x)))', "'http://www.w3.org/XML/1998/namespace1'"),
+    "fn_typed_value": ("typed-value($x/p_size) + string-length(string-value($x/p_name))", "CAST(p_size + length(p_name) AS BIGINT)"),
     "fn_trace": ('trace($x/p_size, "size")', "CAST(p_size AS BIGINT)"),
     "fn_node_name": ("concat(name($x), \"/\", local-name($x/p_size))", "'row/p_size'"),
     "fn_data_string": ("concat(string($x/p_size), data($x/p_name))", "concat(p_size, p_name)"),
@@ -246,6 +254,9 @@ TEXTS |= each("orders", "o_orderkey", {
     "time_of_day": ('hours-from-time(xs:time("13:20:10")) * 3600 + minutes-from-time(xs:time("13:20:10")) * 60 + xs:integer(seconds-from-time(xs:time("13:20:10")))', "CAST(48010 AS BIGINT)"),
     "timezone_adjust": ('string(adjust-dateTime-to-timezone(xs:dateTime("2002-03-07T10:00:00-07:00"), xs:dayTimeDuration("-PT10H")))', "'2002-03-07T07:00:00-10:00'"),
     "timezone_from": ('string(timezone-from-dateTime(xs:dateTime("1999-05-31T13:20:00-05:00")))', "'-PT5H'"),
+    "timezone_of_date_and_time": ('concat(string(timezone-from-date(xs:date("1999-05-31-05:00"))), string(timezone-from-time(xs:time("13:20:00Z"))), string(adjust-date-to-timezone(xs:date("2002-03-07-07:00"), xs:dayTimeDuration("-PT10H"))), string(adjust-time-to-timezone(xs:time("10:00:00-07:00"), xs:dayTimeDuration("-PT10H"))))', "'-PT5HPT0S2002-03-06-10:0007:00:00-10:00'"),
+    "seconds_of_duration": ('xs:double(seconds-from-duration(xs:dayTimeDuration("PT1M12.5S")))', "CAST(12.5 AS DOUBLE)"),
+    "current_values": ("current-date() eq xs:date(current-dateTime()) and string-length(string(current-time())) gt 7", "true"),
     "fn_date_time": ('string(dateTime(xs:date("1999-12-31"), xs:time("12:00:00")))', "'1999-12-31T12:00:00'"),
     "string_of_datetime": ("string($x/o_orderdate)", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"),
     "current_stable": ("current-dateTime() eq current-dateTime() and implicit-timezone() eq xs:dayTimeDuration('PT0S')", "true"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import time
 import uuid
@@ -19,7 +20,7 @@ from xylem.plans.compiler import Compiler, Static
 from xylem.plans.parser import E, parse
 from xylem.plans.relation import Node, Relation, Row, Tuples
 from xylem.sources.catalog import Catalog, Connector, Indexes, Security
-from xylem.sources.nodes import SCHEMA, NodeStore, load, serialised
+from xylem.sources.nodes import SCHEMA, NodeStore, load, serialised, stored
 
 #: Triggers that may fire one another.
 CASCADE = 10
@@ -72,7 +73,7 @@ class Session:
     def load_xml(self, name: str, docs: DataFrame) -> NodeStore:
         """Bulk load of (doc_id, xml) as a collection."""
         self.check("LOAD-FILE")
-        store = load(self, docs, name, self.folder(f"nodes-{name}"))
+        store = load(self, docs, name)
         self.catalog.register(name, store)
         return store
 
@@ -405,14 +406,16 @@ class Session:
         self.fire("after", event, target_name, None)
         return self.done(kind)
 
-    def written(self, nodes: DataFrame) -> DataFrame:
-        """A table written to a folder of its own and read back: a version doesn't carry the plans of those before it."""
+    def fresh_folder(self, stem: str) -> str:
+        """A folder of its own for a stored table: in the session's folder, the cluster's shared one, or a temporary one."""
         root = self._folder or self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
             root = self._own = getattr(self, "_own", None) or "file://" + tempfile.mkdtemp(prefix="xylem-")
-        path = f"{root}/version-{uuid.uuid4().hex[:12]}"
-        nodes.write.parquet(path)
-        return self.spark.read.schema(nodes.schema).parquet(path)
+        return f"{root}/{re.sub(r'[^A-Za-z0-9_.-]', '_', stem)}-{uuid.uuid4().hex[:12]}"
+
+    def written(self, nodes: DataFrame) -> DataFrame:
+        """A version, stored: it doesn't carry the plans of those before it."""
+        return stored(self.spark, nodes, self.fresh_folder("version"))
 
     def replace_store(self, old: NodeStore, new: NodeStore) -> None:
         """The next version takes the old one's names."""

@@ -7,6 +7,7 @@ renumber. Simple elements and attributes carry their text as ``value``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
@@ -95,6 +96,18 @@ class NodeStore:
     only: list[int] | None = None
     version: int = 0
     history: list[DataFrame] = field(default_factory=list)
+    known: list[tuple[str, int]] | None = None
+
+    def paths(self) -> list[tuple[str, int]]:
+        """The distinct rooted paths and their ids: as many as the documents have shapes, not as they have nodes."""
+        if self.known is None:
+            self.known = [(r.path, r.path_id) for r in self.nodes.select("path", "path_id").distinct().collect()]
+        return self.known
+
+    def at_path(self, pattern: str) -> DataFrame:
+        """The nodes whose rooted path matches, read from the partitions of those paths only."""
+        ids = [i for path, i in self.paths() if re.fullmatch(pattern, path)]
+        return self.frame().where(F.col("path_id").isin(ids) & F.rlike(F.col("path"), F.lit(f"^(?:{pattern})$")) if ids else F.lit(False))
 
     def frame(self, axis: str = "self", test=None) -> DataFrame:
         found = self.nodes
@@ -114,13 +127,16 @@ class NodeStore:
         return self.frame().where("kind != 'document'").groupBy("path", "kind").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def load(session, docs: DataFrame, name: str, folder: str | None = None) -> NodeStore:
-    """Shreds ``docs`` (doc_id, xml) and, with ``folder``, writes the table by path, sorted by document order."""
-    nodes = node_table(docs)
-    if folder:
-        nodes.repartition("path_id").sortWithinPartitions("path_id", "doc_id", "pre").write.mode("overwrite").partitionBy("path_id").parquet(folder)
-        nodes = session.spark.read.parquet(folder).select(*(f.name for f in nodes.schema.fields))
-    return NodeStore(nodes, docs.select("doc_id"), name)
+def stored(spark, nodes: DataFrame, folder: str) -> DataFrame:
+    """A node table written by path, each file in document order, and read back."""
+    names = [c for c in nodes.columns if c != "path_id"]
+    nodes.repartition("path_id", F.expr("doc_id div 1024")).sortWithinPartitions("path_id", "doc_id", "pre").write.mode("overwrite").partitionBy("path_id").parquet(folder)
+    return spark.read.schema(nodes.select(*names, "path_id").schema).parquet(folder).select(*nodes.columns)
+
+
+def load(session, docs: DataFrame, name: str) -> NodeStore:
+    """Shreds ``docs`` (doc_id, xml) and stores the table by path."""
+    return NodeStore(stored(session.spark, node_table(docs), session.fresh_folder(f"nodes-{name}")), docs.select("doc_id"), name)
 
 
 def serialised(nodes: DataFrame, method: str = "xml", indent: bool = False, character_map: dict[str, str] | None = None) -> DataFrame:
