@@ -50,6 +50,14 @@ class Lazy:
 
     tree: E
     scope: dict[str, Any]
+    made: Relation | None = None
+
+    def relation(self, build) -> Relation:
+        """Built once; every use gets a copy, so that aggregates over one sequence can share a pass."""
+        if self.made is None:
+            self.made = build()
+        made = self.made.tuples
+        return Relation(replace(made, links=list(made.links), order=list(made.order), vars=dict(made.vars)), self.made.item)
 
 
 class Compiler:
@@ -121,7 +129,7 @@ class Compiler:
         if op == "var":
             bound = self.bound(e.args[0], t)
             if isinstance(bound, Lazy):
-                return self.relation(bound.tree, Tuples(t.df, bound.scope, t.focus, t.around) if bound.scope is not t.vars else t)
+                return bound.relation(lambda: self.relation(bound.tree, Tuples(t.df, bound.scope, t.focus, t.around) if bound.scope is not t.vars else t))
             if isinstance(bound, Relation):
                 return Relation(replace(bound.tuples, links=list(bound.links)), bound.item)
             return self.exploded(self.value(e, t), t)
@@ -157,6 +165,7 @@ class Compiler:
     def exploded(self, v: V, t: Tuples) -> Relation:
         """A cell sequence as rows, beside the tuples it comes from."""
         own = t if t.df is not None else self.one_row()
+        self.flush(own)
         item, pos = fresh("item"), fresh("pos")
         df = own.df.select("*", F.posexplode(array(v).col).alias(pos, item))
         return Relation(Tuples(df, dict(own.vars), own.focus, own.around, [*own.order, F.col(pos)]), V(F.col(item), v.type))
@@ -374,6 +383,8 @@ class Compiler:
         own = Tuples(r.df, r.tuples.vars, r.item, t)
         own.vars = {**own.vars, "fs:position": pos, "fs:last": last}
         v = self.value(p, own)
+        self.flush(own)
+        r.tuples.df = own.df
         r.tuples.where(compare("eq", pos, v).col if base(v.type) in NUMERIC else ebv(v))
         return r
 
@@ -480,6 +491,7 @@ class Compiler:
                     r = self.relation(step, own)
                 else:
                     v = self.value(step, own)
+                    self.flush(own)
                     r = Relation(replace(r.tuples, df=own.df), v)
                 continue
             if isinstance(r.item, Row):
@@ -765,20 +777,23 @@ class Compiler:
         name = fresh("agg")
         if t.df is None:
             t.df = self.one_row().df
-        t.waiting.append((inner, make.alias(name), name))
-        out = F.col(name) if empty is None else F.coalesce(F.col(name), empty)
-        self.flush(t)
-        return V(out, kind, many)
+        t.waiting.append((inner, make.alias(name)))
+        return V(F.col(name) if empty is None else F.coalesce(F.col(name), empty), kind, many)
 
     def flush(self, t: Tuples) -> None:
-        """Joins waiting aggregates to the tuples."""
-        for inner, make, name in t.waiting:
+        """Joins waiting aggregates to the tuples; those over the same rows and links share one pass."""
+        passes: dict[tuple, tuple[Relation, list[Column]]] = {}
+        for inner, make in t.waiting:
+            same = (id(inner.df), *((str(x.condition), str(x.inner), str(x.outer)) for x in inner.links))
+            passes.setdefault(same, (inner, []))[1].append(make)
+        t.waiting.clear()
+        for inner, make in passes.values():
             links = inner.links
             if not links:
-                t.df = t.df.crossJoin(F.broadcast(inner.df.agg(make)))  # one row
+                t.df = t.df.crossJoin(F.broadcast(inner.df.agg(*make)))  # one row
             elif all(x.inner is not None for x in links):
                 keys = [fresh("key") for _ in links]
-                sums = inner.df.groupBy(*(x.inner.alias(k) for x, k in zip(links, keys, strict=True))).agg(make)
+                sums = inner.df.groupBy(*(x.inner.alias(k) for x, k in zip(links, keys, strict=True))).agg(*make)
                 if t.distinct and len(links) == 1 and getattr(inner, "grouped", None) == t.distinct and len(t.df.columns) == 1:
                     key = t.df.columns[0]
                     t.df = sums.withColumnRenamed(keys[0], key).where(F.col(key).isNotNull())  # the distinct values are its groups
@@ -789,12 +804,22 @@ class Compiler:
                 used = sorted(set().union(*(names_of(x.condition) for x in links)) & have)
                 pairs = t.df.select(*used).distinct().join(inner.df, reduce(operator.and_, (x.condition for x in links)))
                 keys = [fresh("key") for _ in used]
-                sums = pairs.groupBy(*(F.col(u).alias(k) for u, k in zip(used, keys, strict=True))).agg(make)
+                sums = pairs.groupBy(*(F.col(u).alias(k) for u, k in zip(used, keys, strict=True))).agg(*make)
                 t.df = t.df.join(sums, reduce(operator.and_, (F.col(u).eqNullSafe(F.col(k)) for u, k in zip(used, keys, strict=True))), "left").drop(*keys)
-        t.waiting.clear()
+
+    def column_of(self, e: E, t: Tuples) -> Relation | None:
+        """``$v/column`` of a let-bound table sequence, nulls kept: aggregates pass over them."""
+        if e.op == "path" and e.args[0].op == "var" and len(e.info["steps"]) == 1:
+            bound, step = self.bound(e.args[0].args[0], t), e.info["steps"][0]
+            if isinstance(bound, Lazy) and isinstance(step, Step) and not step.predicates and step.test.name:
+                inner = self.relation(e.args[0], Tuples(None, {}, None, t))
+                if isinstance(inner.item, Row) and step.test.name in inner.item.columns and not inner.item.columns[step.test.name][1]:
+                    return Relation(inner.tuples, self.column(inner.item, step.test))
+        return None
 
     def call_aggregate(self, name: str, args: list[E], t: Tuples) -> V:
-        inner = self.relation(args[0], Tuples(None, {}, None, t))
+        inner = self.column_of(args[0], t) if name in ("sum", "avg", "min", "max") else None
+        inner = inner or self.relation(args[0], Tuples(None, {}, None, t))
         inner.grouped = self.grouping(args[0], t)
         if name == "count":
             return self.aggregate(inner, t, F.count(F.lit(1)), "integer", F.lit(0).cast("bigint"))
@@ -1001,7 +1026,7 @@ class Compiler:
 
     def local(self, t: Tuples, focus: Any, more: dict[str, Any]) -> Tuples:
         """A scope for an expression inside a lambda."""
-        return Tuples(t.df, {**t.vars, **more}, focus if focus is not None else t.focus, t.around)
+        return Tuples(t.df, {**t.vars, **more}, focus if focus is not None else t.focus, t.around, waiting=t.waiting)
 
     def cell_filter(self, v: V, predicates: list[E], t: Tuples) -> V:
         for p in predicates:
