@@ -72,6 +72,20 @@ def test_dynamic_error(session, text):
         session.xquery(text).collect()
 
 
+def test_ordered_relations(session, spark):
+    session.register("t", spark.createDataFrame([(3, "c"), (1, None), (2, "a"), (4, "a")], "k long, v string"))
+    run = lambda q: [r[0] for r in session.xquery(q).collect()]
+    rows = 'collection("t")/row'
+    assert run(f"for $x in {rows} order by $x/v, $x/k descending return $x/k") == [1, 4, 2, 3]
+    assert run(f"for $x in {rows} order by $x/v empty greatest, $x/k return $x/k") == [2, 4, 3, 1]
+    assert run(f"declare default order empty greatest; for $x in {rows} order by $x/v descending, $x/k return $x/k") == [1, 3, 2, 4]
+    assert run(f"(for $x in {rows} order by $x/v descending, $x/k return $x/k)[last()]") == [1]
+    assert run(f"reverse(for $x in {rows} order by $x/k return $x/k)") == [4, 3, 2, 1]
+    assert run(f"for $x at $i in reverse(for $y in {rows} order by $y/k return $y/k) where $i = 1 return $x") == [4]
+    assert run(f"string-join(for $x in {rows} order by $x/k descending return string($x/k), ',')") == ["4,3,2,1"]
+    assert run(f"count({rows}/v)") == [3] and run(f"count({rows}[empty(v)])") == [1] and run(f'count({rows}[not(v = "a")])') == [2]
+
+
 def test_registry_is_complete():
     assert len(FUNCTIONS) == 144
 

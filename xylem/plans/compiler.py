@@ -64,6 +64,7 @@ class Compiler:
     def __init__(self, session, static: Static):
         self.session, self.static, self.spark = session, static, session.spark
         self.active: list[tuple[str, int]] = []
+        self.opposites: dict[int, tuple[Column, Column]] = {}
 
     # ---- which expressions are relations
 
@@ -218,7 +219,7 @@ class Compiler:
         if name == "reverse":
             out = self.relation(args[0], t)
             self.positioned(out)
-            out.tuples.order = [F.col(out.pos).desc()]
+            out.tuples.order = [self.paired(F.col(out.pos).desc(), F.col(out.pos).asc())]
             return out
         if name in ("subsequence", "remove", "insert-before"):
             out = self.relation(args[0], t)
@@ -389,10 +390,12 @@ class Compiler:
         return r
 
     def turned(self, c: Column) -> Column:
-        text = str(c._jc.toString()) if hasattr(c, "_jc") else str(c)
-        if "DESC" in text:
-            return F.expr(text.split(" DESC")[0].replace("'", "")).asc()
-        return F.expr(text.split(" ASC")[0].replace("'", "")).desc()
+        """The opposite of a sort key; a bare column sorts upward."""
+        return self.opposites[id(c)][1] if id(c) in self.opposites else c.desc()
+
+    def paired(self, key: Column, opposite: Column) -> Column:
+        self.opposites[id(key)] = key, opposite
+        return key
 
     def bounds(self, p: E) -> tuple[int | None, int | None]:
         """Positions that a predicate keeps, if they are one constant range."""
@@ -682,9 +685,8 @@ class Compiler:
         self.flush(own)
         c = string(v) if v.type == "untyped" else v.col
         nulls_low = (low or self.static.empty) == "least"
-        if down:
-            return c.desc_nulls_last() if nulls_low else c.desc_nulls_first()
-        return c.asc_nulls_first() if nulls_low else c.asc_nulls_last()
+        up, back = (c.asc_nulls_first(), c.desc_nulls_last()) if nulls_low else (c.asc_nulls_last(), c.desc_nulls_first())
+        return self.paired(back, up) if down else self.paired(up, back)
 
     # ---- conditions
 
