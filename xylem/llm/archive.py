@@ -116,7 +116,10 @@ class Reader:
 
 
 def opened(place: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (pyarrow.fs.LocalFileSystem(), place)
+    """The store and the path in it; ``file:/x`` is how Hadoop writes ``file:///x``."""
+    if place.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + place.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(place) if "://" in place else (pyarrow.fs.LocalFileSystem(), place)
 
 
 def described(pages: DataFrame) -> DataFrame:

@@ -68,20 +68,25 @@ def frequent(docs: DataFrame, sets: Sets) -> np.ndarray:
     it saw ``COUNT_FROM`` times; the sums are ranked and the first ``FREQUENT`` reach the driver."""
 
     def run(batches):
-        held, size = [], 0
+        held, size = np.empty(COUNT_STEP, np.uint64), 0
 
         def report():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= COUNT_FROM
-            return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["token", "n"])
+            seen = held[:size]
+            seen.sort()
+            first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+            counts = np.diff(first, append=size)
+            often = first[counts >= COUNT_FROM]
+            return pa.RecordBatch.from_arrays([pa.array(seen[often].view(np.int64)), pa.array(counts[counts >= COUNT_FROM])], ["token", "n"])
 
         for batch in batches:
             for one in sets(batch.column(0)):
-                held.append(one)
-                size += len(one)
-                if size >= COUNT_STEP:
-                    yield report()
-                    held, size = [], 0
+                while len(one):
+                    part, one = one[: COUNT_STEP - size], one[COUNT_STEP - size :]
+                    held[size : size + len(part)] = part
+                    size += len(part)
+                    if size == COUNT_STEP:
+                        yield report()
+                        size = 0
         if size:
             yield report()
 

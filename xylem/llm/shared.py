@@ -28,8 +28,9 @@ _own_folder: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, or one of our own where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
+    if found:  # with its scheme, so that Spark and Python mean one place
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found.rstrip("/"))
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="xylem-"))
     return _own_folder[0]
@@ -71,7 +72,8 @@ class Scratch:
             except Exception:  # the session has ended
                 return
         self.made = left
-        self.tidy()
+        if but:
+            self.tidy()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
