@@ -366,7 +366,10 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "udf_external": (external_scalar, "SELECT p_partkey AS k, CAST(2 * p_size AS BIGINT) AS v FROM part"),
     "module_function": (module_function, "SELECT p_partkey AS k, CAST(p_size * p_size AS BIGINT) AS v FROM part"),
     "serialise_xml": (serialised_rows, "SELECT concat('<n k=\"', n_nationkey, '\"><name>', n_name, '</name></n>') AS xml FROM nation"),
-    "descriptive_schema": (descriptive_schema, None),
+    "descriptive_schema": (descriptive_schema, """
+        SELECT '/nation' || p AS path, count(*) AS nodes FROM nation, unnest(['', '/@key', '/@name', '/@xml:lang', '/comment()']) t(p) GROUP BY p
+        UNION ALL SELECT '/nation/customer' || p, count(*) FROM customer, unnest(['', '/@key', '/@segment', '/name', '/name/text()']) t(p) GROUP BY p
+        UNION ALL SELECT '/nation/customer/order' || p, count(*) FROM orders JOIN customer ON o_custkey = c_custkey, unnest(['', '/@key', '/@status']) t(p) GROUP BY p"""),
 }
 
 

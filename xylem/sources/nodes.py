@@ -30,7 +30,8 @@ def shred(xml: str, strip_space: bool = True) -> list[list]:
 
     def add(kind: str, pfx: str = "", local: str = "", value: str | None = None, ns: str = "") -> int:
         top = out[stack[-1]]
-        step = {"element": local if not pfx else f"{pfx}:{local}", "attribute": f"@{local}", "text": "text()"}.get(kind, f"{kind}()")
+        label = f"{pfx}:{local}" if pfx else local
+        step = {"element": label, "attribute": f"@{label}", "text": "text()"}.get(kind, f"{kind}()")
         out.append([len(out), 0, top[2] + 1, top[0], kind, ns, pfx, local, f"{top[8]}/{step}", value])
         return len(out) - 1
 
