@@ -120,6 +120,26 @@ def test_decontamination_edges(spark):
     assert decontaminate.contamination(docs.limit(0), some).count() == 0
 
 
+def test_short_texts_alone_in_a_step(spark):
+    import pyarrow as pa
+
+    from xylem.llm import jaccard
+
+    short = [" ".join(f"s{n}x{k}" for k in range(n)) for n in range(1, 8)]
+    texts = [t for x in short for t in ("y" * 1_100_000, x)]  # each short one is a step of its own
+    for x in short:
+        assert len(list(jaccard.shingle_sets(pa.array([x])))) == 1
+    assert [len(x) for x in jaccard.shingle_sets(pa.array(texts))] == [1] * 11 + [2, 1, 3]
+    items = [(n, x) for n, x in enumerate(short)]
+    got = decontaminate.contamination(table(spark, texts).coalesce(1), spark.createDataFrame(items, "item_id long, text string").repartition(7, "item_id"))
+    rows = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()}
+    assert rows == brute_windows(list(enumerate(texts)), items)
+    alone = decontaminate.contamination(table(spark, short[2:3]), spark.createDataFrame(items[2:3], "item_id long, text string"))
+    assert [(r.n_hit, r.n_items) for r in alone.collect()] == [(3, 1)]
+    rows = jaccard.similar_sets(table(spark, texts).coalesce(1), jaccard.shingle_sets).collect()
+    assert sorted((r.doc_id, r.n_shingles) for r in rows if r.doc_id % 2) == [(2 * k + 1, [1, 1, 1, 1, 1, 2, 3][k]) for k in range(7)]
+
+
 def test_a_kept_gram_in_every_window():
     import numpy as np
 

@@ -239,6 +239,8 @@ class Words:
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; only those that stay within a text mean anything."""
         h, out = self.hashes, np.zeros(max(0, len(self.hashes) - k + 1), np.uint64)
+        if not len(out):  # fewer words than a gram has
+            return out
         with np.errstate(over="ignore"):
             for j in range(k):
                 out = out * np.uint64(0xD6E8FEB86659FD93) + h[j : len(h) - k + 1 + j]
