@@ -192,6 +192,13 @@ def test_stages_keep_clashing_columns(spark):
     assert decontaminate.keep_clean(docs, items).columns == docs.columns
 
 
+def test_an_entity_of_one_text_is_scored(spark):
+    filler = [f"plain words number {k} about nothing special" for k in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["plain Zanzibar about z@corp.com", *filler])], "doc_id long, text string")
+    rows = {r.doc_id: [(x.start, x.stop) for x in r.terms] for r in personal.personal_spans(docs, Scratch(spark, "t")).collect()}
+    assert rows.pop(0) == [(6, 14)] and not any(rows.values())  # the word of that text alone, not the common ones
+
+
 def test_copies_disclose_nothing(spark):
     docs = spark.createDataFrame([(k, "agent Zanzibar writes to z@corp.com") for k in range(50)] + [(k, f"w{k}") for k in range(50, 99)], "doc_id long, text string")
     assert personal.personal_spans(docs, Scratch(spark, "t")).where("size(terms) > 0").count() == 0

@@ -3,8 +3,10 @@
 Information-theoretic sanitisation. The patterns' matches (addresses, cards, phones) are the protected
 entities. A term t near an entity e discloses it as far as knowing t makes e likely: with document frequencies
 over the whole corpus, PMI(e; t) / IC(e) is the share of e's information that t gives away; it is 1 if t occurs
-nowhere without e. Terms that reach ``DISCLOSE`` in ``SUPPORT`` different texts are generalised, those that
-reach ``REMOVE`` are removed.
+nowhere without e. Every entity and every term near it is scored, in however few texts they are; few texts say
+little, so each term counts as if ``PRIOR`` more texts had it without the entity, which bounds the share from
+below. Terms that reach ``DISCLOSE`` are generalised, those that reach ``REMOVE`` are removed. (One text alone
+is enough for an entity and a term from about 250 different texts in the table on.)
 
 All of it is DataFrame functions: the texts are read once for the spans and the terms around them, and once
 for the document frequencies of candidate terms; only small rows are shuffled. Counts are combined before each
@@ -32,8 +34,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone"]
 #: Code points on either side of an entity within which terms are looked for, and what a term is.
 NEAR, TERM = 64, r"\p{L}{4,}"
-#: Different texts that must have entity and term together; shares of the entity's information to generalise and to remove at.
-SUPPORT, DISCLOSE, REMOVE = 3, 0.8, 0.98
+#: Texts that each term is taken to be in besides, without the entity; shares of the entity's information to generalise and to remove at.
+PRIOR, DISCLOSE, REMOVE = 2, 0.8, 0.98
 #: Candidate terms up to which they are sent to all executors.
 SENT = 100_000
 
@@ -78,12 +80,12 @@ def terms_near(x: Column) -> Column:
 def disclosures(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
     """(entity, term, share) of the terms that disclose entities."""
     near = spans.select("tkey", F.explode("near").alias("x")).select("tkey", "x.entity", "x.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     alone = spans.select("tkey", F.explode("base").alias("x")).select("tkey", F.xxhash64(F.col("x.kind"), F.lower("x.value")).alias("entity")).distinct()
-    entities = alone.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= SUPPORT)
+    entities = alone.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     total = F.lit(float(max(docs.count(), 1)))
     inform = F.log2(total / F.col("with_entity"))
-    share = lambda n: F.when(inform > 0, F.log2(F.col("both") * total / (F.col("with_entity") * F.col(n))) / inform).otherwise(0.0)
+    share = lambda n: F.when(inform > 0, F.log2(F.col("both") * total / (F.col("with_entity") * (F.col(n) + PRIOR))) / inform).otherwise(0.0)
     # a term is in as many texts at least as it is near entities: that bounds its share from above, and common words drop out
     around = near.select("tkey", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least_with_term"))
     pairs = scratch.keep(pairs.join(entities, "entity").join(around, "term").where(share("least_with_term") >= DISCLOSE), "pairs")
