@@ -205,6 +205,14 @@ def test_copies_disclose_nothing(spark):
     assert personal.sanitised(docs.limit(0)).count() == 0
 
 
+def test_copies_hide_no_disclosing_term(spark):
+    close = [f"plain Zanzibar about z@corp.com number {w}" for w in ("alpha", "bravo", "gamma")]
+    filler = [f"plain words number {k} about nothing special" for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate([*close, *filler, *close[:1] * 300])), "doc_id long, text string")
+    rows = {r.doc_id: [(x.start, x.stop) for x in r.terms] for r in personal.personal_spans(docs, Scratch(spark, "t")).collect()}
+    assert all(rows[k] == [(6, 14)] for k in (0, 1, 2, 203, 502)) and not rows[3]
+
+
 # ---- secrets
 
 SECRETS = [

@@ -36,7 +36,7 @@ KINDS = ["email", "ip", "card", "phone"]
 NEAR, TERM = 64, r"\p{L}{4,}"
 #: Texts that each term is taken to be in besides, without the entity; shares of the entity's information to generalise and to remove at.
 PRIOR, DISCLOSE, REMOVE = 2, 0.8, 0.98
-#: Candidate terms up to which they are sent to all executors.
+#: Keys of copied texts up to which they are sent to all executors.
 SENT = 100_000
 
 CHECKS = {
@@ -72,27 +72,42 @@ def terms_near(x: Column) -> Column:
         part = F.substring(text, first + 1, last - first)
         found = placed(part, TERM, matches(part, TERM))
         cut = lambda t: ((t["start"] == 0) & (first > 0) & (first < x["start"])) | ((t["stop"] == last - first) & (last > x["stop"]) & (last < F.char_length(text)))
-        return F.transform(F.filter(found, lambda t: ~cut(t)), lambda t: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + first).alias("start"), (t["stop"] + first).alias("stop")))
+        return F.transform(F.filter(found, lambda t: ~cut(t)), lambda t: F.struct(entity.alias("entity"), F.xxhash64(F.lower(t["value"])).alias("term"), (t["start"] + first).alias("start"), (t["stop"] + first).alias("stop")))
 
     return F.concat(side(F.greatest(x["start"] - NEAR, F.lit(0)), x["start"]), side(x["stop"], F.least(x["stop"] + NEAR, F.char_length(text))))
 
 
+def terms_of(text: Column) -> Column:
+    """Hashes of the different terms of ``text``."""
+    return F.array_distinct(F.transform(matches(text, TERM), lambda t: F.xxhash64(F.lower(t))))
+
+
+def texts_with(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """(term, with_term): in how many different texts of ``docs`` (text, tkey) a term is; ``copied`` has the tkey of each text of several rows.
+
+    Texts of one row are counted by term alone before the shuffle, which so carries the vocabulary of each task and
+    not each word; only those of several rows are told apart by their key.
+    """
+    copied = copied.select(F.col("tkey").alias("copy"))
+    rows = docs.join(F.broadcast(copied) if copied.count() <= SENT else copied, F.col("tkey") == F.col("copy"), "left")
+    each = rows.select("copy", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("copy", "term").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("with_term"))
+
+
 def disclosures(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
-    """(entity, term, share) of the terms that disclose entities."""
+    """(entity, term, share) of the terms that disclose entities; all counts are of different texts."""
     near = spans.select("tkey", F.explode("near").alias("x")).select("tkey", "x.entity", "x.term").distinct()
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     alone = spans.select("tkey", F.explode("base").alias("x")).select("tkey", F.xxhash64(F.col("x.kind"), F.lower("x.value")).alias("entity")).distinct()
     entities = alone.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    total = F.lit(float(max(docs.count(), 1)))
+    texts = scratch.keep(spans.groupBy("tkey").agg(F.count(F.lit(1)).alias("n")), "texts")
+    total = F.lit(float(max(texts.count(), 1)))
     inform = F.log2(total / F.col("with_entity"))
     share = lambda n: F.when(inform > 0, F.log2(F.col("both") * total / (F.col("with_entity") * (F.col(n) + PRIOR))) / inform).otherwise(0.0)
     # a term is in as many texts at least as it is near entities: that bounds its share from above, and common words drop out
     around = near.select("tkey", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least_with_term"))
     pairs = scratch.keep(pairs.join(entities, "entity").join(around, "term").where(share("least_with_term") >= DISCLOSE), "pairs")
-    wanted = pairs.select("term").distinct()
-    n = wanted.count()
-    words = docs.select(F.explode(F.array_distinct(matches(F.lower("text"), TERM))).alias("term"))
-    seen = words.join(F.broadcast(wanted) if n <= SENT else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    seen = texts_with(docs, texts.where("n > 1"))
     return pairs.join(seen, "term").select("entity", "term", share("with_term").alias("share")).where(F.col("share") >= DISCLOSE)
 
 
@@ -101,7 +116,7 @@ def personal_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spans = with_base(rows.withColumn("tkey", F.xxhash64("text"))).withColumn("near", F.flatten(F.transform("base", terms_near)))
     spans = scratch.keep(spans.select("doc_id", "tkey", "base", "near"), "spans")
-    flagged = scratch.keep(disclosures(docs.select("text"), spans, scratch), "flagged")
+    flagged = scratch.keep(disclosures(rows.select("text", F.xxhash64("text").alias("tkey")), spans, scratch), "flagged")
     found = spans.select("doc_id", "tkey", F.explode("near").alias("x")).select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "x.entity", "x.term", "x.start", "x.stop")
     found = found.join(flagged, ["entity", "term"]).groupBy("d", "t", "start", "stop").agg(F.max("share").alias("share"))
     found = found.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("terms"))
