@@ -213,6 +213,16 @@ def test_copies_hide_no_disclosing_term(spark):
     assert all(rows[k] == [(6, 14)] for k in (0, 1, 2, 203, 502)) and not rows[3]
 
 
+def test_disclosing_terms_of_the_whole_text(spark):
+    far = " plain words about nothing special" * 9
+    long = f"z@corp.com{far} Zanzibar{far} ZANZIBAR and zanzibar@corp.com"
+    docs = spark.createDataFrame(list(enumerate([long, *(f"plain words number {k} about nothing special" for k in range(400))])), "doc_id long, text string")
+    rows = {r.doc_id: [(x.start, x.stop) for x in r.terms] for r in personal.personal_spans(docs, Scratch(spark, "t")).collect()}
+    assert rows.pop(0) == [m.span() for m in re.finditer(r"Zanzibar|ZANZIBAR", long)] and not any(rows.values())
+    out = {r.doc_id: r.text for r in personal.sanitised(docs).collect()}
+    assert out[0] == f"<EMAIL>{far} <TERM>{far} <TERM> and <EMAIL>"
+
+
 # ---- secrets
 
 SECRETS = [

@@ -1,15 +1,19 @@
 """Personal data: patterns, and terms that reveal what the patterns found.
 
 Information-theoretic sanitisation. The patterns' matches (addresses, cards, phones) are the protected
-entities. A term t near an entity e discloses it as far as knowing t makes e likely: with document frequencies
+entities. A term t of an entity e's texts discloses it as far as knowing t makes e likely: with document frequencies
 over the whole corpus, PMI(e; t) / IC(e) is the share of e's information that t gives away; it is 1 if t occurs
-nowhere without e. Every entity and every term near it is scored, in however few texts they are; few texts say
+nowhere without e. Every entity and every term of its texts is scored, in however few texts they are; few texts say
 little, so each term counts as if ``PRIOR`` more texts had it without the entity, which bounds the share from
 below. Terms that reach ``DISCLOSE`` are generalised, those that reach ``REMOVE`` are removed. (One text alone
 is enough for an entity and a term from about 250 different texts in the table on.)
 
-All of it is DataFrame functions: the texts are read once for the spans and the terms around them, and once
-for the document frequencies of candidate terms; only small rows are shuffled. Counts are combined before each
+Terms are looked for in the whole text, and each occurrence of a flagged one in a text that holds the entity is a
+span, except where it overlaps an entity.
+
+All of it is DataFrame functions: the texts are read once for the spans, and once for the document frequencies
+of terms. Texts with entities are kept aside, and shuffled if the flagged terms are too many to be sent; of the
+others only small rows are. Counts are combined before each
 shuffle, so an entity, a term or a copied text that a third of all rows have is spread over all tasks. Equal
 texts count once for what they support, so copies alone disclose nothing.
 
@@ -32,8 +36,9 @@ IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone"]
-#: Code points on either side of an entity within which terms are looked for, and what a term is.
-NEAR, TERM = 64, r"\p{L}{4,}"
+TERMS = "array<struct<start:int,stop:int,share:double>>"
+#: What a term is.
+TERM = r"\p{L}{4,}"
 #: Texts that each term is taken to be in besides, without the entity; shares of the entity's information to generalise and to remove at.
 PRIOR, DISCLOSE, REMOVE = 2, 0.8, 0.98
 #: Keys of copied texts up to which they are sent to all executors.
@@ -63,20 +68,6 @@ def with_base(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base", F.concat(*(named(k, F.col(f"m_{k}")) for k in KINDS))).drop(*(f"m_{k}" for k in KINDS))
 
 
-def terms_near(x: Column) -> Column:
-    """Whole terms within NEAR code points of the span ``x``: entity, term, start, stop."""
-    text = F.col("text")
-    entity = F.xxhash64(x["kind"], F.lower(x["value"]))
-
-    def side(first: Column, last: Column) -> Column:
-        part = F.substring(text, first + 1, last - first)
-        found = placed(part, TERM, matches(part, TERM))
-        cut = lambda t: ((t["start"] == 0) & (first > 0) & (first < x["start"])) | ((t["stop"] == last - first) & (last > x["stop"]) & (last < F.char_length(text)))
-        return F.transform(F.filter(found, lambda t: ~cut(t)), lambda t: F.struct(entity.alias("entity"), F.xxhash64(F.lower(t["value"])).alias("term"), (t["start"] + first).alias("start"), (t["stop"] + first).alias("stop")))
-
-    return F.concat(side(F.greatest(x["start"] - NEAR, F.lit(0)), x["start"]), side(x["stop"], F.least(x["stop"] + NEAR, F.char_length(text))))
-
-
 def terms_of(text: Column) -> Column:
     """Hashes of the different terms of ``text``."""
     return F.array_distinct(F.transform(matches(text, TERM), lambda t: F.xxhash64(F.lower(t))))
@@ -95,33 +86,61 @@ def texts_with(docs: DataFrame, copied: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
-    """(entity, term, share) of the terms that disclose entities; all counts are of different texts."""
-    near = spans.select("tkey", F.explode("near").alias("x")).select("tkey", "x.entity", "x.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    alone = spans.select("tkey", F.explode("base").alias("x")).select("tkey", F.xxhash64(F.col("x.kind"), F.lower("x.value")).alias("entity")).distinct()
-    entities = alone.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    """(tkey, term, share) of the terms that disclose an entity of their text; all counts are of different texts.
+
+    A term of more texts than ``most`` reaches DISCLOSE with no entity of its text, whatever they have in common, so
+    only rarer ones are paired with entities. Entities of one text alone have the same counts with each of its terms:
+    they stand for one.
+    """
     texts = scratch.keep(spans.groupBy("tkey").agg(F.count(F.lit(1)).alias("n")), "texts")
-    total = F.lit(float(max(texts.count(), 1)))
-    inform = F.log2(total / F.col("with_entity"))
-    share = lambda n: F.when(inform > 0, F.log2(F.col("both") * total / (F.col("with_entity") * (F.col(n) + PRIOR))) / inform).otherwise(0.0)
-    # a term is in as many texts at least as it is near entities: that bounds its share from above, and common words drop out
-    around = near.select("tkey", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least_with_term"))
-    pairs = scratch.keep(pairs.join(entities, "entity").join(around, "term").where(share("least_with_term") >= DISCLOSE), "pairs")
+    total = float(max(texts.count(), 1))
+    some = spans.where(F.size("base") > 0)
+    alone = some.select("tkey", F.explode("base").alias("x")).select("tkey", F.xxhash64(F.col("x.kind"), F.lower("x.value")).alias("entity")).distinct()
+    counts = alone.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") < total)
+    of_text = alone.join(counts, "entity").select("tkey", F.when(F.col("with_entity") == 1, F.col("tkey")).otherwise(F.col("entity")).alias("entity"), "with_entity")
+    entities = scratch.keep(of_text.distinct(), "entities")
+    most = lambda n: F.pow(n, F.lit(DISCLOSE)) * total ** (1 - DISCLOSE) * (1 + 1e-9) - PRIOR
+    terms = some.select("tkey", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
+    top = entities.groupBy("tkey").agg(F.max("with_entity").alias("top"))
     seen = texts_with(docs, texts.where("n > 1"))
-    return pairs.join(seen, "term").select("entity", "term", share("with_term").alias("share")).where(F.col("share") >= DISCLOSE)
+    rare = scratch.keep(terms.join(top, "tkey").join(seen, "term").where(F.col("with_term") <= most(F.col("top"))).select("tkey", "term", "with_term"), "rare")
+    near = scratch.keep(rare.join(entities, "tkey").where(F.col("with_term") <= most(F.col("with_entity"))), "near")
+    both = near.groupBy("entity", "term", "with_entity", "with_term").agg(F.count(F.lit(1)).alias("both"))
+    inform = F.log2(total / F.col("with_entity"))
+    share = F.log2(F.col("both") * total / (F.col("with_entity") * (F.col("with_term") + PRIOR))) / inform
+    flagged = both.select("entity", "term", share.alias("share")).where(F.col("share") >= DISCLOSE)
+    return near.join(flagged, ["entity", "term"]).groupBy("tkey", "term").agg(F.max("share").alias("share"))
+
+
+def terms_in(text: Column, found: Column, hashes: Column, shares: Column) -> Column:
+    """(start, stop, share) of those of the ``found`` terms whose hash is one of ``hashes``."""
+    gaps = F.slice(F.split(text, TERM, -1), F.lit(1), F.size(found))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(TERMS).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + F.char_length(x["gap"])
+        stop = start + F.char_length(x["value"])
+        one = F.struct(start.alias("start"), stop.alias("stop"), F.get(shares, (x["place"] - 1).cast("int")).alias("share"))
+        return F.struct(stop.alias("at"), F.when(x["place"] > 0, F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
+
+    both = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value"), F.array_position(hashes, F.xxhash64(F.lower(v))).alias("place")))
+    return F.aggregate(both, zero, step, lambda s: s["out"])
 
 
 def personal_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, tkey (hash of the text), base spans and disclosing terms (start, stop, share) of each row."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = with_base(rows.withColumn("tkey", F.xxhash64("text"))).withColumn("near", F.flatten(F.transform("base", terms_near)))
-    spans = scratch.keep(spans.select("doc_id", "tkey", "base", "near"), "spans")
-    flagged = scratch.keep(disclosures(rows.select("text", F.xxhash64("text").alias("tkey")), spans, scratch), "flagged")
-    found = spans.select("doc_id", "tkey", F.explode("near").alias("x")).select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "x.entity", "x.term", "x.start", "x.stop")
-    found = found.join(flagged, ["entity", "term"]).groupBy("d", "t", "start", "stop").agg(F.max("share").alias("share"))
-    found = found.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("terms"))
-    joined = spans.drop("near").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")), "left").drop("d", "t")
-    return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,share:double>>")))
+    spans = with_base(rows.withColumn("tkey", F.xxhash64("text")))
+    spans = scratch.keep(spans.select("doc_id", "tkey", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "spans")
+    flagged = disclosures(rows.select("text", F.xxhash64("text").alias("tkey")), spans, scratch)
+    lists = flagged.groupBy("tkey").agg(F.array_sort(F.collect_list(F.struct("term", "share"))).alias("flags"))
+    lists = scratch.keep(lists.select(F.col("tkey").alias("t"), F.col("flags.term").alias("hashes"), F.col("flags.share").alias("shares")), "flagged")
+    none = F.array().cast(TERMS)
+    some = spans.where(F.size("base") > 0).join(lists, F.col("tkey") == F.col("t"), "left").withColumn("found", matches(F.col("text"), TERM))
+    at = F.when(F.col("t").isNotNull(), terms_in(F.col("text"), F.col("found"), F.col("hashes"), F.col("shares"))).otherwise(none)
+    free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
+    some = some.withColumn("terms", at).select("doc_id", "tkey", "base", F.filter("terms", free).alias("terms"))
+    return spans.where(F.size("base") == 0).select("doc_id", "tkey", "base", none.alias("terms")).unionByName(some)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
@@ -132,7 +151,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("put")))
     edits = scratch.keep(found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias("_edit_id"), F.col("tkey").alias("_edit_key"), F.array_sort(F.concat(base, terms)).alias("_edits")).distinct(), "edits")
     scratch.drop(but=[edits])
-    # texts without any entity stay where they are: terms are only looked for near entities
+    # texts without any entity stay where they are: terms are only looked for in texts with one
     body = F.coalesce("text", F.lit(""))
     some = F.rlike(body, F.lit(EMAIL)) | F.rlike(body, F.lit(IP)) | F.rlike(body, F.lit(r"[0-9](?:[\x20-]?[0-9]){12}")) | F.rlike(body, F.lit(PHONE))
     touched = docs.where(some).join(edits, F.col("doc_id").eqNullSafe(F.col("_edit_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_edit_key")), "left")
