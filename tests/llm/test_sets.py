@@ -122,6 +122,15 @@ def test_one_row_follows_itself_and_ties(spark):
     assert len(many) == 4 and spots.compared(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_without_common_words_count_whole():
+    head, body = "zzq yyq ", [f"wq{k}" for k in range(60)]
+    texts = [head + " ".join(body), head + " ".join(f"vq{k}" for k in range(60)), head + " ".join(body[:40] + [f"uq{k}" for k in range(20)]), "the cat " + " ".join(body), "xa xb xc", "xa xb xd", "xa", ""]
+    p = spots.prints(texts)
+    assert spots.likeness(p[0], p[1]) < 0.1 and 0.3 < spots.likeness(p[0], p[2]) < 0.7 and spots.likeness(p[0], p[3]) > 0.8
+    assert spots.likeness(p[4], p[5]) < 1 and [len(x) for x in p[4:]] == [2, 2, 1, 0]
+    assert all(spots.prints([t])[0].tolist() == x.tolist() for t, x in zip(texts, p, strict=True))
+
+
 def test_spot_signatures_follow_anchors():
     a, b, c = spots.spot_sets(pa.array(["zz the red fox", "qq the red fox", "red fox the"]))
     assert len(set(a.tolist()) & set(b.tolist())) == 1 and not set(a.tolist()) & set(c.tolist())

@@ -2,7 +2,8 @@
 
 Each common word (an anchor) starts a signature: the anchor and the next ``CHAIN`` content words after it. The
 start of a text is an anchor too, and a chain that the text ends is kept, so every text with a word has a
-signature. A fingerprint is the sorted set of 32-bit signature hashes in hexadecimal; texts without any word
+signature. Where more than ``STRETCH`` words stand without a common one, or the text has none at all (other
+languages, code, tables), each of them past the first starts a signature too, so the whole text counts. A fingerprint is the sorted set of 32-bit signature hashes in hexadecimal; texts without any word
 are fingerprinted by their bytes. Two fingerprints are compared by Jaccard, pruned by their lengths: what the
 shorter one can reach at most bounds it from above. :func:`similar_spots` groups near duplicates by
 signatures, partitioned by set length.
@@ -29,6 +30,8 @@ from xylem.llm.jaccard import similar_sets
 from xylem.llm.shared import ALNUM, Words, mix, over_texts, small_batches, text_steps
 
 CHAIN = 2
+#: Content words in a row from which on they are anchors themselves.
+STRETCH = 8
 #: Anchors: the commonest words of English, German, French and Spanish (fixed values).
 ANCHORS = """a an and are as at be been but by for from had has have he her his if in into is it its no not of on or she that the their them then there they
 this to was we were which will with would you der die das den dem des ein eine einen und oder ist sind war mit von zu zum zur im auf für nicht als auch sich es
@@ -41,6 +44,16 @@ def hashes_of(words: list[str]) -> np.ndarray:
     return np.unique(Words(np.frombuffer(b"".join(data), np.uint8), offsets, ALNUM).hashes)
 
 
+def in_stretches(common: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which words are anchors without being common: those past the first of a long stretch, or of a text, without common ones."""
+    at = np.arange(len(common))
+    owner = np.searchsorted(bounds, at, "right") - 1
+    first = np.maximum(np.maximum.accumulate(np.where(common, at + 1, 0)), bounds[owner])
+    last = np.minimum(np.minimum.accumulate(np.where(common, at, len(common))[::-1])[::-1], bounds[owner + 1])
+    whole = (first == bounds[owner]) & (last == bounds[owner + 1])
+    return ~common & (at - first >= CHAIN - 1) & ((last - first > STRETCH) | whole)
+
+
 ANCHOR_HASHES = hashes_of(ANCHORS)
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -52,6 +65,7 @@ def spot_sets(texts: pa.Array):
         anchor = np.isin(words.hashes, ANCHOR_HASHES)
         content = np.flatnonzero(~anchor)
         bounds = words.bounds
+        anchor = anchor | in_stretches(anchor, bounds)
         heads = bounds[:-1][np.diff(bounds) > 0]
         at = np.concatenate([np.flatnonzero(anchor), heads])  # words that start a chain; a text's start is an anchor before its first word
         lead = np.concatenate([words.hashes[anchor], np.zeros(len(heads), np.uint64)])
