@@ -60,6 +60,8 @@ def numbers(v: V) -> V:
 def sum_(v, zero=None):
     v = numbers(v)
     kind = base(v.type)
+    if kind not in [*NUMERIC, "dayTimeDuration", "yearMonthDuration"]:
+        raise StaticError("FORG0006", f"no sum of xs:{v.type}")
     start = F.lit(0).cast(SPARK[kind]) if kind in NUMERIC else F.make_dt_interval() if kind == "dayTimeDuration" else F.make_ym_interval()
     total = F.aggregate(v.col, start, lambda a, x: (a + x).cast(SPARK[kind]) if kind in NUMERIC else a + x)
     empty = cast(zero, kind).col if zero is not None else start

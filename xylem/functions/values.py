@@ -29,6 +29,7 @@ SPARK = {
     "string": "string", "untyped": "string", "empty": "string", "anyURI": "string", "boolean": "boolean", "integer": "bigint", "decimal": "decimal(38,12)", "float": "float", "double": "double",
     "date": "date", "dateTime": "timestamp", "time": "string", "dayTimeDuration": "interval day to second", "yearMonthDuration": "interval year to month",
     "hexBinary": "binary", "base64Binary": "binary", "QName": "struct<ns:string,prefix:string,local:string>",
+    "item": "struct<kind:string,text:string>",
 } | {k: "bigint" for k in INTEGERS} | {k: "string" for k in [*STRINGS, *FRAGMENTS]}
 
 
@@ -74,6 +75,8 @@ def of_spark(kind: T.DataType) -> tuple[str, bool]:
 
 def base(name: str) -> str:
     """The type that arithmetic and comparison treat ``name`` as."""
+    if name.startswith("item("):
+        return "item"
     return "integer" if name in INTEGERS else "string" if name in STRINGS or name == "anyURI" else name
 
 
@@ -87,6 +90,45 @@ def lit(value) -> V:
     return V(F.lit(value), "string")
 
 
+def members(name: str) -> list[str]:
+    """The types that items of a mixed type can have: ``item(integer|string)`` is kept as the kind and text of each item."""
+    return name[5:-1].split("|") if name.startswith("item(") else []
+
+
+def settle(v: V, mixed: str = "string") -> V:
+    """A mixed value as one type: the widest number if all its items are numbers, else ``mixed``."""
+    kinds = members(v.type)
+    if not kinds:
+        return v
+    to = max((base(k) for k in kinds), key=NUMERIC.index) if all(base(k) in NUMERIC for k in kinds) else mixed
+    one = lambda x: cast(V(x["text"], "untyped"), to).col
+    return v.but(F.transform(v.col, one) if v.many else one(v.col), to)
+
+
+def tagged(v: V) -> Column:
+    """An item of a known type as an item of a mixed one."""
+    if members(v.type):
+        return v.col
+    if v.fields:
+        from xylem.session import element_text
+
+        return F.struct(F.lit("element()").alias("kind"), element_text(v, v.name or "row").alias("text"))
+    return F.when(v.col.isNotNull(), F.struct(F.lit(v.type).alias("kind"), string(v).alias("text")))
+
+
+def mixture(values: list[V]) -> str:
+    """The type of a sequence of all these: a common one, or a mixed one."""
+    kinds = dict.fromkeys(k for v in values if v.type != "empty" for k in members(v.type) or ["element()" if v.fields else v.type])
+    if len(kinds) == 1 or len({base(k) for k in kinds}) == 1 or not kinds:
+        return common(values)
+    return f"item({'|'.join(kinds)})"
+
+
+def as_kind(v: V, kind: str) -> Column:
+    """An item cast to ``kind``, which may be a mixed one."""
+    return tagged(v) if members(kind) else cast(v, kind).col
+
+
 def text(v: V) -> Column:
     """The item as a string; the empty sequence as the empty string."""
     return F.coalesce(string(v), F.lit(""))
@@ -95,6 +137,8 @@ def text(v: V) -> Column:
 def string(v: V) -> Column:
     """The item's string value; null stays null."""
     kind = base(v.type)
+    if kind == "item":
+        return v.col["text"]
     if kind == "double" or kind == "float":
         whole = (F.abs(v.col) < 1e6) & (v.col == F.floor(v.col))
         plain = F.regexp_replace(v.col.cast("string"), r"\.0$", "")
@@ -162,6 +206,9 @@ def ebv(v: V) -> Column:
         out = F.length(v.col) > 0
     elif kind in ("struct", "node", "row"):
         out = v.col.isNotNull()
+    elif kind == "item":
+        n = v.col["text"].try_cast("double")
+        out = F.when(v.col["kind"] == "boolean", v.col["text"] == "true").when(v.col["kind"].isin([k for k in members(v.type) if base(k) in NUMERIC]), (n != 0) & ~F.isnan(n)).otherwise((v.col["kind"] == "element()") | (F.length(v.col["text"]) > 0))
     else:
         raise StaticError("FORG0006", f"no effective boolean value of xs:{v.type}")
     return F.coalesce(out, F.lit(False))
@@ -187,6 +234,8 @@ PATTERN_YM = r"^(-?)P(?:(\d+)Y)?(?:(\d+)M)?$"
 
 def cast(v: V, to: str, safe: bool = False) -> V:
     """``cast as`` of an item; ``safe``: null where it fails."""
+    if members(v.type):
+        v = V(v.col["text"], "untyped")
     have = base(v.type)
     if to not in SPARK:
         raise StaticError("XPST0051", f"unknown type xs:{to}")
@@ -324,6 +373,10 @@ def compare(op: str, a: V, b: V, general: bool = False) -> V:
     """Value comparison of items; with ``general`` untyped operands take the other's type."""
     if "empty" in (a.type, b.type):
         return V(F.lit(None).cast("boolean"), "boolean")
+    if members(a.type) or members(b.type):  # what an item is shows at run time; text that is no number equals none
+        general, a, b = True, settle(a, "untyped"), settle(b, "untyped")
+        sides = [cast(x, "double", safe=True) if x.type == "untyped" and base(y.type) in NUMERIC else x for x, y in ((a, b), (b, a))]
+        a, b = sides
     if not general:
         a, b = (v.but(v.col, "string") if v.type == "untyped" else v for v in (a, b))
     elif a.type == b.type == "untyped":
@@ -358,7 +411,7 @@ def general(op: str, a: V, b: V) -> V:
 def array(v: V) -> V:
     """The value as an array of its items."""
     if v.many:
-        return v.but(F.coalesce(v.col, F.array().cast(f"array<{SPARK.get(base(v.type), 'string')}>")) if v.type in SPARK else v.col)
+        return v.but(F.coalesce(v.col, F.array().cast(f"array<{SPARK[base(v.type)]}>")) if base(v.type) in SPARK else v.col)
     none = F.filter(F.array(v.col), lambda x: F.lit(False))
     return v.but(F.when(v.col.isNull(), none).otherwise(F.array(v.col)), many=True)
 
@@ -377,7 +430,10 @@ def concatenated(values: list[V]) -> V:
     """The comma operator on cell sequences."""
     if not values:
         return V(F.array().cast("array<string>"), "string", True)
-    kind = common(values)
+    kind = mixture(values)
+    if members(kind):
+        made = [F.transform(v.col, lambda x, v=v: tagged(V(x, v.type))) if v.many and not members(v.type) else v.col if v.many else F.filter(F.array(tagged(v)), lambda x: x.isNotNull()) for v in values if v.type != "empty"]
+        return V(F.concat(*made), kind, True)
     same = [array(v) if base(v.type) == kind else array(v).but(_each(array(v), kind), kind) for v in values]
     return V(F.concat(*(v.col for v in same)), kind, True)
 

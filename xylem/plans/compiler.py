@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.functions import library
-from xylem.functions.values import GENERAL, INTEGERS, NUMERIC, SPARK, STRINGS, StaticError, V, arithmetic, array, base, cast, common, compare, concatenated, ebv, general, lit, of_spark, string
+from xylem.functions.values import GENERAL, INTEGERS, NUMERIC, SPARK, STRINGS, StaticError, V, arithmetic, array, base, cast, common, compare, concatenated, ebv, general, as_kind, lit, members, mixture, of_spark, promoted, settle, string, tagged
 from xylem.plans.interpret import recursive_udf
 from xylem.plans.parser import E, Step, Test, positional
 from xylem.plans.relation import Link, Node, Relation, Row, Tuples, flat, fresh, numbered
@@ -335,7 +335,7 @@ class Compiler:
                 order = [F.col(seen)]
             r.tuples.df = r.df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
         else:
-            r.tuples.df = numbered(r.df, r.tuples.order, name)
+            r.tuples.df = numbered(r.df, r.tuples.order, name, self.session.fresh_folder("numbered"))
         r.pos = name
 
     def filtered(self, r: Relation, predicates: list[E], t: Tuples, focus: list[Column] | None) -> Relation:
@@ -436,12 +436,12 @@ class Compiler:
     def stacked(self, parts: list[tuple[Relation, Column]], t: Tuples) -> Relation:
         """Concatenation, ordered by branch and then within it."""
         values = [self.atomized(r.item, r.tuples) for r, _ in parts]
-        kind, branch, place, item = common(values), fresh("branch"), fresh("place"), fresh("item")
+        kind, branch, place, item = mixture(values), fresh("branch"), fresh("place"), fresh("item")
         frames = []
         for (r, k), v in zip(parts, values, strict=True):
             if not hasattr(r, "pos"):
                 self.positioned(r)
-            frames.append(r.df.select(k.alias(branch), F.col(r.pos).cast("bigint").alias(place), cast(v, kind).col.alias(item)))
+            frames.append(r.df.select(k.alias(branch), F.col(r.pos).cast("bigint").alias(place), as_kind(v, kind).alias(item)))
         return Relation(Tuples(reduce(DataFrame.unionByName, frames), around=t, order=[F.col(branch), F.col(place)]), V(F.col(item), kind))
 
     # ---- paths
@@ -681,7 +681,7 @@ class Compiler:
         own.vars[name] = v
 
     def sort_key(self, key: E, down: bool, low: str | None, own: Tuples) -> Column:
-        v = self.one(self.value(key, own), own)
+        v = settle(self.one(self.value(key, own), own))
         self.flush(own)
         c = string(v) if v.type == "untyped" else v.col
         nulls_low = (low or self.static.empty) == "least"
@@ -746,6 +746,14 @@ class Compiler:
             for a, b in ((x, y), (y, x)):
                 if base(x.type) == base(y.type) and names_of(a.col) <= have and not names_of(b.col) & have:
                     link = Link(x.col == y.col, b.col, a.col)
+        if not negate and e.op in ("general", "value") and GENERAL.get(e.info["sign"], e.info["sign"]) in ("lt", "le", "gt", "ge"):
+            x, y = (self.one(self.raw(a, own), own) for a in e.args)
+            sign = GENERAL.get(e.info["sign"], e.info["sign"])
+            p, q, kind = promoted(x, y)
+            if not members(x.type) and not members(y.type) and kind in [*NUMERIC, "date", "dateTime"] and x.tz is None and y.tz is None:
+                for a, b, s in ((p, q, sign), (q, p, {"lt": "gt", "le": "ge", "gt": "lt", "ge": "le"}[sign])):
+                    if names_of(a) <= have and not names_of(b) & have:
+                        link.ranged = s, a, b
         own.links.append(link)
 
     def test(self, e: E, own: Tuples) -> Column:
@@ -756,7 +764,7 @@ class Compiler:
             a, b = (self.test(x, own) for x in e.args)
             return a & b if e.op == "and" else a | b
         if e.op in ("general", "value") and not any(self.is_rel(a, own) for a in e.args):
-            a, b = (self.item(x, own) for x in e.args)
+            a, b = (self.raw(x, own) for x in e.args)
             if e.op == "value":
                 a, b = self.one(a, own), self.one(b, own)
             if not a.many and not b.many and "empty" not in (a.type, b.type):
@@ -774,22 +782,24 @@ class Compiler:
 
     # ---- aggregates of relations
 
-    def aggregate(self, inner: Relation, t: Tuples, make, kind: str, empty: Column | None, many: bool = False) -> V:
-        """An aggregate over an inner relation as a column of ``t``; ``empty``: what it is over no rows."""
+    def aggregate(self, inner: Relation, t: Tuples, make, kind: str, empty: Column | None, many: bool = False, fold: tuple | None = None) -> V:
+        """An aggregate over an inner relation as a column of ``t``; ``empty``: what it is over no rows; ``fold``: (of
+        rows, of parts, at last) if it can be made of aggregates of parts."""
         name = fresh("agg")
         if t.df is None:
             t.df = self.one_row().df
-        t.waiting.append((inner, make.alias(name)))
+        t.waiting.append((inner, make.alias(name), (name, *fold) if fold else None))
         return V(F.col(name) if empty is None else F.coalesce(F.col(name), empty), kind, many)
 
     def flush(self, t: Tuples) -> None:
         """Joins waiting aggregates to the tuples; those over the same rows and links share one pass."""
-        passes: dict[tuple, tuple[Relation, list[Column]]] = {}
-        for inner, make in t.waiting:
+        passes: dict[tuple, tuple[Relation, list[Column], list]] = {}
+        for inner, make, fold in t.waiting:
             same = (id(inner.df), *((str(x.condition), str(x.inner), str(x.outer)) for x in inner.links))
-            passes.setdefault(same, (inner, []))[1].append(make)
+            held = passes.setdefault(same, (inner, [], []))
+            held[1].append(make), held[2].append(fold)
         t.waiting.clear()
-        for inner, make in passes.values():
+        for inner, make, folds in passes.values():
             links = inner.links
             if not links:
                 t.df = t.df.crossJoin(F.broadcast(inner.df.agg(*make)))  # one row
@@ -801,6 +811,8 @@ class Compiler:
                     t.df = sums.withColumnRenamed(keys[0], key).where(F.col(key).isNotNull())  # the distinct values are its groups
                     continue
                 t.df = t.df.join(sums, reduce(operator.and_, (x.outer == F.col(k) for x, k in zip(links, keys, strict=True))), "left").drop(*keys)
+            elif len(links) == 1 and links[0].ranged and all(folds):
+                self.folded(t, inner.df, *links[0].ranged, folds)
             else:
                 have = set(t.df.columns)
                 used = sorted(set().union(*(names_of(x.condition) for x in links)) & have)
@@ -809,6 +821,38 @@ class Compiler:
                 sums = pairs.groupBy(*(F.col(u).alias(k) for u, k in zip(used, keys, strict=True))).agg(*make)
                 t.df = t.df.join(sums, reduce(operator.and_, (F.col(u).eqNullSafe(F.col(k)) for u, k in zip(used, keys, strict=True))), "left").drop(*keys)
 
+    def folded(self, t: Tuples, df: DataFrame, sign: str, inner: Column, outer: Column, folds: list[tuple]) -> None:
+        """Aggregates over the rows whose ``inner`` side is less (or more) than a tuple's ``outer`` side, without making pairs.
+
+        Rows are aggregated by value. Quantiles cut the values of both sides into ranges; within a range aggregates
+        run along the sorted values, and what the ranges before it hold, one row for each range, is added.
+        """
+        at = t.put("at", outer)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        names = [fresh("fold") for _ in folds]
+        kind = df.select(inner.alias("v")).schema["v"].dataType
+        real = (lambda c: ~F.isnan(c) & c.isNotNull()) if kind.simpleString() in ("double", "float") else (lambda c: c.isNotNull())
+        rows = df.groupBy(inner.alias("v")).agg(*(rule(None).alias(n) for (_, rule, *_), n in zip(folds, names, strict=True))).where(real(F.col("v")))
+        wanted = t.df.select(F.col(at).alias("v")).distinct().where(real(F.col("v")))
+        both = rows.withColumn("side", F.lit(0)).unionByName(wanted.withColumn("side", F.lit(1)), allowMissingColumns=True)
+        cuts = both.agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], 1000)).first()[0] if parts > 1 else None
+        literal = F.array(*(F.lit(c).cast(kind) for c in sorted(set(cuts)))) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
+        both = both.withColumn("range", F.size(F.filter(literal, lambda c: c < F.col("v"))))
+        up = sign in ("lt", "le")
+        tie = F.col("side").asc() if sign in ("le", "ge") else F.col("side").desc()  # equal rows come first only if they count
+        along = Window.partitionBy("range").orderBy(F.col("v").asc() if up else F.col("v").desc(), tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = both.groupBy("range").agg(*(merge(n).alias(n) for (_, _, merge, _), n in zip(folds, names, strict=True)))
+        across = Window.orderBy(F.col("range").asc() if up else F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        before = whole.select("range", *(merge(n).over(across).alias(f"{n}_before") for (_, _, merge, _), n in zip(folds, names, strict=True)))
+        run = both.select("v", "side", "range", *(merge(n).over(along).alias(n) for (_, _, merge, _), n in zip(folds, names, strict=True))).where("side = 1")
+        ends = run.join(F.broadcast(before), "range", "left")
+        made = []
+        for (name, _, merge, finish), n in zip(folds, names, strict=True):
+            a, b = F.col(n), F.col(f"{n}_before")
+            made.append(finish({"sum": F.coalesce(a + b, a, b), "min": F.least(a, b), "max": F.greatest(a, b)}[merge.__name__]).alias(name))
+        key = fresh("key")
+        t.df = t.df.join(ends.select(F.col("v").alias(key), *made), F.col(at) == F.col(key), "left").drop(key, at)
+
     def column_of(self, e: E, t: Tuples) -> Relation | None:
         """``$v/column`` of a let-bound table sequence, nulls kept: aggregates pass over them."""
         if e.op == "path" and e.args[0].op == "var" and len(e.info["steps"]) == 1:
@@ -824,9 +868,9 @@ class Compiler:
         inner = inner or self.relation(args[0], Tuples(None, {}, None, t))
         inner.grouped = self.grouping(args[0], t)
         if name == "count":
-            return self.aggregate(inner, t, F.count(F.lit(1)), "integer", F.lit(0).cast("bigint"))
+            return self.aggregate(inner, t, F.count(F.lit(1)), "integer", F.lit(0).cast("bigint"), fold=(lambda _: F.count(F.lit(1)), F.sum, lambda c: c.cast("bigint")))
         if name in ("exists", "empty", "boolean", "not"):
-            some = self.aggregate(inner, t, F.count(F.lit(1)) > 0, "boolean", F.lit(False))
+            some = self.aggregate(inner, t, F.count(F.lit(1)) > 0, "boolean", F.lit(False), fold=(lambda _: F.count(F.lit(1)), F.sum, lambda c: c > 0))
             return V(~some.col, "boolean") if name in ("empty", "not") else some
         v = self.atomized(inner.item, inner.tuples)
         if name == "string-join":
@@ -834,12 +878,15 @@ class Compiler:
             made = F.transform(F.array_sort(F.collect_list(F.struct(*(self.sort_struct(inner)), string(v).alias("s")))), lambda x: x["s"])
             joined = self.aggregate(inner, t, made, "string", F.array().cast("array<string>"), True)
             return V(F.call_function("array_join", joined.col, library.text(sep)), "string")
+        v = settle(v)
         if v.type == "untyped":
             v = cast(v, "double")
         k = base(v.type)
+        if name in ("sum", "avg") and k not in [*NUMERIC, "empty", "dayTimeDuration", "yearMonthDuration"]:
+            raise StaticError("FORG0006", f"no {name} of xs:{v.type}")
         if name == "sum":
             zero = cast(self.value(args[1], t), k).col if len(args) > 1 else F.lit(0).cast(SPARK[k])
-            return self.aggregate(inner, t, F.sum(v.col).cast(SPARK[k]), k, zero)
+            return self.aggregate(inner, t, F.sum(v.col).cast(SPARK[k]), k, zero, fold=(lambda _: F.sum(v.col), F.sum, lambda c: c.cast(SPARK[k])) if k in NUMERIC else None)
         if name == "avg":
             if k in ("integer", "decimal"):
                 return self.aggregate(inner, t, (F.sum(v.col.cast("decimal(28,10)")) / F.count(v.col)).cast("decimal(38,12)"), "decimal", None)
@@ -847,7 +894,8 @@ class Compiler:
         pick = F.max(v.col) if name == "max" else F.min(v.col)
         if name == "min" and k in ("double", "float"):
             pick = F.when(F.max(F.isnan(v.col)), float("nan")).otherwise(pick)
-        return self.aggregate(inner, t, pick, k, None)
+        fold = (lambda _: pick, F.max if name == "max" else F.min, lambda c: c) if k not in ("double", "float") or name == "max" else None
+        return self.aggregate(inner, t, pick, k, None, fold=fold)
 
     def sort_struct(self, r: Relation) -> list[Column]:
         """What a collected sequence is sorted by: the place of each row among those of its outer tuple."""
@@ -925,9 +973,9 @@ class Compiler:
         if op == "path":
             return self.scalar_path(e, t)
         if op == "seq":
-            return concatenated([self.item(a, t) for a in e.args])
+            return concatenated([self.raw(a, t) for a in e.args])
         if op == "filter":
-            return self.cell_filter(self.item(e.args[0], t), e.info["predicates"], t)
+            return self.cell_filter(self.raw(e.args[0], t), e.info["predicates"], t)
         if op == "flwor":
             return self.cell_flwor(e, t)
         if op == "quant":
@@ -944,16 +992,14 @@ class Compiler:
             a, b = (self.one(self.item(x, t), t).col for x in e.args)
             return V(F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>")), "integer", True)
         if op == "if":
-            return self.branches([(ebv(self.truth(e.args[0], t)), self.item(e.args[1], t)), (None, self.item(e.args[2], t))])
+            test, told = ebv(self.truth(e.args[0], t)), e.args[0]
+            narrow = told.args[0].args[0] if told.op == "instance" and told.args[0].op == "var" else None
+            yes = self.narrowed(narrow, told.info["kind"], e.args[1], t) if narrow else self.raw(e.args[1], t)
+            return self.branches([(test, yes), (None, self.raw(e.args[2], t))])
         if op in ("cast", "castable", "instance", "treat"):
             return self.typed(e, t)
         if op == "typeswitch":
-            v = self.value(e.args[0], t)
-            for name, kind, body in e.info["cases"]:
-                if self.is_instance(v, kind):
-                    return self.value(body, self.extended(t, name, v))
-            name, body = e.info["default"]
-            return self.value(body, self.extended(t, name, v))
+            return self.typeswitch(e, t)
         if op == "make":
             return self.construct(e, t)
         if op == "call":
@@ -967,9 +1013,46 @@ class Compiler:
             return self.call_aggregate("exists", [e], t)
         return self.value(e, t)
 
-    def item(self, e: E, t: Tuples) -> V:
+    def raw(self, e: E, t: Tuples) -> V:
+        """A value whose items may be of different types."""
         return self.atomized(self.value(e, t), t)
 
+    def item(self, e: E, t: Tuples) -> V:
+        return settle(self.raw(e, t))
+
+    def typeswitch(self, e: E, t: Tuples) -> Any:
+        """The first case whose type the value has. Where types are known, so is the case; else each row decides."""
+        over = e.args[0]
+        v = self.value(over, t)
+        if isinstance(v, V) and not v.fields:
+            self.flush(t) if t.df is not None else None
+        own = over.args[0] if over.op == "var" else None
+        parts: list[tuple[Column | None, Any]] = []
+        for name, kind, body in [*e.info["cases"], (e.info["default"][0], None, e.info["default"][1])]:
+            known = True if kind is None else self.is_instance(v, kind)
+            if known is False:
+                continue
+            value = self.narrowed(own, kind, body, t, name, v)
+            if known is True:
+                parts.append((None, value))
+                break
+            parts.append((known, value))
+        if len(parts) == 1:
+            return parts[0][1]
+        return self.branches([(c, self.atomized(x, t)) for c, x in parts])
+
+    def narrowed(self, own: str | None, kind: tuple | None, body: E, t: Tuples, name: str | None = None, v: Any = None) -> Any:
+        """``body`` where variable ``own`` (and ``name``, bound to the same) is known to be of a type."""
+        v = self.bound(own, t) if v is None else v
+        if kind and isinstance(v, V) and members(v.type) and not v.many and kind[0] in SPARK:
+            v = cast(v, kind[0], safe=True)
+        saved = t.vars
+        t.vars = {**saved, **{n: v for n in (own, name) if n}}
+        try:
+            return self.value(body, t)
+        finally:
+            t.vars = saved
+
     def extended(self, t: Tuples, name: str | None, v: Any) -> Tuples:
         if name is None:
             return t
@@ -988,7 +1071,7 @@ class Compiler:
             v = self.atomized(inner.item, inner.tuples)
             value, kind = v.col, v.type
         made = F.transform(F.array_sort(F.collect_list(F.struct(*self.sort_struct(inner), value.alias("x")))), lambda s: s["x"]) if kind != "struct" else F.collect_list(value)
-        empty = F.array().cast(f"array<{SPARK[base(kind)]}>") if kind in SPARK else None
+        empty = F.array().cast(f"array<{SPARK[base(kind)]}>") if base(kind) in SPARK else None
         out = self.aggregate(inner, t, made, kind, empty, True)
         return replace(out, name=getattr(inner.item, "name", None) or (None if not isinstance(inner.item, Node) else "node"))
 
@@ -1065,7 +1148,7 @@ class Compiler:
             return array(v).but(F.when(test, array(v).col).otherwise(none), many=True) if none is not None else v.but(F.when(test, v.col))
         if kind == "order":
             raise StaticError("SE0003", "order by needs a for clause before it")
-        over = array(self.item(body, t))
+        over = array(self.raw(body, t))
         if rest and rest[-1][0] == "order":
             keys = rest[-1][2]
 
@@ -1105,7 +1188,7 @@ class Compiler:
             some = self.aggregate(Relation(inner, None), t, F.count(F.lit(1)) > 0, "boolean", F.lit(False))
             return V(~some.col if every else some.col, "boolean")
         (name, body, _, _), rest = e.info["binds"][0], e.info["binds"][1:]
-        over = array(self.item(body, t))
+        over = array(self.raw(body, t))
         test = e.args[0] if not rest else replace_info(e, binds=rest)
         pick = F.exists if e.info["kind"] == "some" else F.forall
         return V(pick(over.col, lambda x: ebv(self.value(test, self.local(t, None, {name: V(x, over.type)})))), "boolean")
@@ -1120,10 +1203,12 @@ class Compiler:
             return self.aggregate(inner, t, F.count(F.lit(1)) > 0, "boolean", F.lit(False))
         if e.op == "node":
             return self.node_comparison(e, t)
-        a, b = (self.item(x, t) for x in e.args)
+        a, b = (self.raw(x, t) for x in e.args)
         if e.op == "general":
             return general(e.info["sign"], a, b)
         a, b = self.one(a, t), self.one(b, t)
+        if e.op == "arith":
+            a, b = settle(a, "untyped"), settle(b, "untyped")
         return arithmetic(e.info["sign"], a, b) if e.op == "arith" else compare(e.info["sign"], a, b)
 
     def node_comparison(self, e: E, t: Tuples) -> V:
@@ -1137,7 +1222,11 @@ class Compiler:
         values = [v for _, v in parts]
         real = [v for v in values if v.type != "empty"] or values
         kept = {id(v) for v in real}
-        kind, many = common(real), any(v.many for v in real)
+        kind, many = mixture(real), any(v.many for v in real)
+        if members(kind):
+            real = [v if v.many else v.but(tagged(v), kind) for v in real]
+            whole = [(test, next((r for r, o in zip(real, [x for x in values if id(x) in kept], strict=True) if o is v), None)) for test, v in parts]
+            return self.mixed_branches(whole, kind, many)
         out = None
         for test, v in parts:
             if id(v) not in kept:
@@ -1148,18 +1237,40 @@ class Compiler:
             out = c if test is None and out is None else out.otherwise(c) if test is None else F.when(test, c) if out is None else out.when(test, c)
         return V(out, kind, many)
 
+    def mixed_branches(self, parts: list[tuple[Column | None, V | None]], kind: str, many: bool) -> V:
+        """Branches of different types; None is the empty sequence."""
+        out = None
+        for test, v in parts:
+            if v is None:
+                c = F.lit(None)
+            elif many:
+                c = concatenated([v]).col if not v.many else F.transform(v.col, lambda x, v=v: tagged(V(x, v.type)))
+            else:
+                c = v.col
+            out = c if test is None and out is None else out.otherwise(c) if test is None else F.when(test, c) if out is None else out.when(test, c)
+        return V(out, kind, many)
+
     # ---- types
 
     def typed(self, e: E, t: Tuples) -> V:
         kind, _, sign = e.info["kind"]
         v = self.value(e.args[0], t)
         if e.op == "instance":
-            return lit(self.is_instance(v, e.info["kind"]))
+            known = self.is_instance(v, e.info["kind"])
+            return lit(known) if isinstance(known, bool) else V(known, "boolean")
         if e.op == "treat":
-            if not self.is_instance(v, e.info["kind"]):
+            known = self.is_instance(v, e.info["kind"])
+            if known is False:
                 raise StaticError("XPDY0050", f"not a {kind}{sign}")
+            if known is not True:
+                fail = F.raise_error(F.lit(f"XPDY0050: not a {kind}{sign}"))
+                v = v.but(F.when(known, v.col).otherwise(fail), name=v.name)
+                if members(v.type) and kind in SPARK:
+                    v = v.but(F.transform(v.col, lambda x: cast(V(x, v.type), kind).col) if v.many else cast(v, kind).col, kind)
             return v
         v = self.one(self.atomized(v, t), t)
+        if members(v.type):
+            v = V(v.col["text"], "untyped")
         if e.op == "castable":
             try:
                 out = cast(v, kind, safe=True)
@@ -1169,22 +1280,40 @@ class Compiler:
         out = cast(v, kind)
         return out
 
-    def is_instance(self, v: Any, kind: tuple) -> bool:
-        """A static test: types are known."""
+    def is_instance(self, v: Any, kind: tuple) -> bool | Column:
+        """Whether a value has a sequence type: told at once where its type and number of items are known, else a condition."""
         name, _, sign = kind
         if isinstance(v, (Row, Node)):
             return name in ("item()", "node()", "element()")
-        if v.many and sign not in ("*", "+"):
-            return False
+        none = F.size(array(v).col) == 0 if v.many else v.col.isNull()
         if name == "empty":
-            return False
-        if name in ("item()",):
+            return v.type == "empty" or (none if v.many or not v.fields else False)
+        mixed = members(v.type)
+        fits = [m for m in mixed if self.fits(m, name, False)] if mixed else None
+        if mixed and len(fits) < len(mixed):
+            each = F.forall(v.col, lambda x: x["kind"].isin(fits)) if v.many else v.col["kind"].isin(fits)
+            each = F.coalesce(each, F.lit(True)) if fits else none
+        elif not mixed and v.type != "empty" and not self.fits(v.type, name, bool(v.fields) or v.name is not None):
+            return False if sign in ("", "+") else none
+        else:
+            each = None
+        if v.many:
+            size = F.size(array(v).col)
+            number = {"": size == 1, "?": size <= 1, "+": size >= 1, "*": None}[sign or ""]
+        else:
+            number = None if sign in ("?", "*") or v.fields else ~none
+        found = [c for c in (each, number) if c is not None]
+        return reduce(operator.and_, found) if found else True
+
+    @staticmethod
+    def fits(have: str, name: str, node: bool) -> bool:
+        """Whether an item of type ``have`` is of the item type ``name``."""
+        if name == "item()":
             return True
         if name in ("node()", "element()", "attribute()", "text()"):
-            return bool(v.fields) or v.name is not None
-        have = v.type
+            return node or have == name or name == "node()" and have == "element()"
         if name in ("anyAtomicType", "anySimpleType"):
-            return not v.fields
+            return have not in ("struct", "element()")
         return name == have or name == "decimal" and base(have) == "integer" or name == "integer" and have in INTEGERS or name == "string" and have in STRINGS or name == "untypedAtomic" and have == "untyped"
 
     # ---- calls
@@ -1362,11 +1491,12 @@ class Compiler:
         fields: dict[str, V] = {}
         for key, parts in e.info["attributes"]:
             value = self.value(parts[0], t) if len(parts) == 1 else None
-            value = self.atomized(value, t) if value is not None else V(F.concat(*(library.text(self.one(self.item(p, t), t)) for p in parts)) if parts else F.lit(""), "string")
+            value = settle(self.atomized(value, t)) if value is not None else V(F.concat(*(library.text(self.one(self.item(p, t), t)) for p in parts)) if parts else F.lit(""), "string")
             fields["@" + key.split(":")[-1]] = replace(value, name=None)
         body = e.args[0].args if e.args[0].op == "seq" else [e.args[0]]
         for k, part in enumerate(body):
             v = self.value(part, t)
+            v = settle(v) if isinstance(v, V) else v
             if isinstance(v, Row):
                 fields |= {c: V(F.col(v.prefix + c), kk, many, name=c) for c, (kk, many) in v.columns.items()}
                 continue

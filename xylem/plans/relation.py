@@ -6,8 +6,9 @@ from dataclasses import dataclass, field
 from itertools import count
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from xylem.functions.values import V, of_spark
 
@@ -49,11 +50,13 @@ class Node:
 
 @dataclass
 class Link:
-    """A condition between an inner relation and the tuples around it; for an equality also its two sides."""
+    """A condition between an inner relation and the tuples around it; for an equality also its two sides, for an
+    inequality ``ranged``: (sign, inner side, outer side), both of one ordered type."""
 
     condition: Column
     outer: Column | None = None
     inner: Column | None = None
+    ranged: tuple[str, Column, Column] | None = None
 
 
 @dataclass
@@ -141,14 +144,27 @@ def flat(df: DataFrame, stem: str, table: str | None = None) -> tuple[DataFrame,
     return df.select(*(F.col(f"`{c}`").alias(prefix + c) for c in df.columns)), row
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` with positions from 1. Without a global window: each partition numbers its own rows, and the sums of
-    the partitions before it are added, of which there is one row for each partition."""
-    if order:
-        df = df.orderBy(*order)
-    marked = df.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("_id"), 33)
-    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    joined = marked.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return joined.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before", "_id")
+def numbered(df: DataFrame, order: list[Column], name: str, folder: str) -> DataFrame:
+    """``df`` with positions from 1, without a global window.
+
+    The ordered rows are written to ``folder`` once, each with its partition and its place in it; positions are
+    those places plus the sizes of the partitions before, of which there is one number for each partition. Were the
+    rows not stored, the sizes and the rows would come from two runs of one plan, which adaptive execution may
+    split into partitions differently.
+    """
+    spark = df.sparkSession
+    held = {c: f"c{k}" for k, c in enumerate(df.columns) if not isinstance(df.schema[k].dataType, NullType)}
+    rows = df.orderBy(*order) if order else df
+    rows.select(*(F.col(f"`{c}`").alias(p) for c, p in held.items()), F.monotonically_increasing_id().alias("at")).write.parquet(folder)
+    back = spark.read.parquet(folder)
+    part = F.shiftrightunsigned("at", 33)
+    sizes = sorted((r.part, r.n) for r in back.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for k, n in sizes:
+        starts.append((k, total))
+        total += n
+    before = F.broadcast(spark.createDataFrame(starts, "_part long, _before long"))
+    known = F.coalesce("_before", F.raise_error(F.lit("SE0003: rows of an unknown partition")).cast("bigint"))
+    joined = back.withColumn("_part", part).join(before, "_part", "left")
+    columns = [F.col(held[c]).alias(c) if c in held else F.lit(None).alias(c) for c in df.columns]
+    return joined.select(*columns, (known + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import time
 import uuid
@@ -13,7 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xylem.functions.values import StaticError, V
+from xylem.functions.values import StaticError, V, settle
 from xylem.operators import updates
 from xylem.operators.fulltext import FullText
 from xylem.plans.compiler import Compiler, Static
@@ -50,6 +52,7 @@ class Session:
         self.modules: dict[str, list] = {}
         self.externals: dict[str, tuple[Callable, str]] = {}
         self.depth = 0
+        self._own = ""
 
     def folder(self, name: str) -> str | None:
         return f"{self._folder}/{name}" if self._folder else None
@@ -186,7 +189,7 @@ class Session:
             return df.select(*(F.col(item.prefix + c).alias(c) for c in Node.COLUMNS))
         if item.fields:
             return df.select(*(v.col.alias(k.lstrip("@") if k != "_VALUE" else "value") for k, v in item.fields.items()))
-        return df.select(item.col.alias("item"))
+        return df.select(settle(item).col.alias("item"))
 
     def xml(self, text: str, root: str | None = None) -> DataFrame:
         """A query's result serialised: the column ``xml``, an element for each item."""
@@ -409,8 +412,13 @@ class Session:
     def fresh_folder(self, stem: str) -> str:
         """A folder of its own for a stored table: in the session's folder, the cluster's shared one, or a temporary one."""
         root = self._folder or self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root and not self.spark.sparkContext.master.startswith("local"):
+            raise StaticError("SE1003", "tables need a folder that all executors share: set spark.checkpoint.dir")
         if not root:
-            root = self._own = getattr(self, "_own", None) or "file://" + tempfile.mkdtemp(prefix="xylem-")
+            if not self._own:
+                self._own = "file://" + tempfile.mkdtemp(prefix="xylem-")
+                atexit.register(shutil.rmtree, self._own.removeprefix("file://"), ignore_errors=True)
+            root = self._own
         return f"{root}/{re.sub(r'[^A-Za-z0-9_.-]', '_', stem)}-{uuid.uuid4().hex[:12]}"
 
     def written(self, nodes: DataFrame) -> DataFrame:
