@@ -103,3 +103,58 @@ def test_explain_and_profile(session):
 def test_steps_parse_to_one_descendant_step():
     steps = parse('doc("a")//b[@c = 1]').args[0].info["steps"]
     assert [s.axis for s in steps] == ["descendant"]
+
+
+MIXED = [
+    ('for $x in (1, "a", 2.5) return if ($x instance of xs:string) then "s" else if ($x instance of xs:integer) then "i" else "d"', ["i", "s", "d"]),
+    ('for $x in (1, "a") return typeswitch ($x) case xs:integer return "i" case xs:string return "s" default return "o"', ["i", "s"]),
+    ('for $x in (1, "a", 2.5) return typeswitch ($x) case $i as xs:integer return $i + 1 case xs:string return concat($x, "!") default return 0', ["2", "a!", "0"]),
+    ('(1, "a", <b/>)', ["1", "a", "<b></b>"]), ('(1, "a", <b>x</b>)[3] instance of element()', [True]), ("(1, 2.5)[1] instance of xs:integer", [True]), ("(1, 2.5)[2] instance of xs:integer", [False]),
+    ("sum((1, 2.5))", [D("3.5")]), ('(1, "a") = "a"', [True]), ('(1, "a") = 2', [False]), ('(1, "a") instance of xs:integer+', [False]), ("(1, 2) instance of xs:integer+", [True]), ("(1, 2) instance of xs:integer", [False]),
+    ("() instance of xs:integer?", [True]), ("() instance of xs:integer", [False]), ("() instance of empty-sequence()", [True]), ('(1, "a")[2] treat as xs:string', ["a"]), ('count((1, "a", 2.5))', [3]), ('for $x in (2, "b", 1) order by $x return $x', ["1", "2", "b"]),
+    ('some $x in (1, "a") satisfies $x instance of xs:string', [True]), ('if (1 = 2) then error("E") else 3', [3]), ('distinct-values((1, "a", 1))', ["1", "a"]), ('string-join(("a", string(1)), ",")', ["a,1"]),
+]
+
+
+@pytest.mark.parametrize("text,want", MIXED, ids=[c[0][:60] for c in MIXED])
+def test_mixed_sequences(session, text, want):
+    assert [r[0] for r in session.xquery(text).collect()] == want
+
+
+@pytest.mark.parametrize("text", ['sum((1, "2"))', 'avg(("a", "b"))'])
+def test_sums_of_strings_are_coded_errors(session, text):
+    with pytest.raises(StaticError, match="FORG0006"):
+        session.xquery(text)
+
+
+def test_positions_of_many_rows(spark, tmp_path):
+    """Two million rows, split into partitions as adaptive execution likes: each gets one position."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.range(2_000_000).selectExpr("id * 7919 % 2000003 AS k", "id AS v", "repeat('x', 20) AS pad").write.parquet(str(tmp_path / "t.parquet"))
+        found = Session(spark).tables(str(tmp_path), "t").xquery('for $x at $i in (for $t in collection("t")/row order by $t/k return $t) return <r i="{$i}" k="{$x/k}"/>')
+        n, least, most, total = found.selectExpr("count(1)", "min(i)", "max(i)", "sum(i)").first()
+        assert (n, least, most, total) == (2_000_000, 1, 2_000_000, 2_000_000 * 2_000_001 // 2)
+        assert [r.k for r in found.where("i <= 3").orderBy("i").collect()] == [0, 1, 2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+@pytest.mark.parametrize("sign,sql", [("<", "<"), ("<=", "<="), (">", ">"), (">=", ">=")])
+def test_aggregates_under_an_inequality(spark, sign, sql):
+    """Ties, nulls and NaN on either side; no pair of rows is made."""
+    nan = float("nan")
+    left = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, None), (4, nan), (5, -1.0), (6, 9.0)], "k long, x double")
+    right = spark.createDataFrame([(1, 2.0, 5), (2, 1.0, 7), (3, 2.0, None), (4, nan, 1), (5, None, 2), (6, 9.0, 3)], "j long, y double, w long")
+    s = Session(spark).register("l", left).register("r", right)
+    found = s.xquery(f'for $l in collection("l")/row let $r := for $r in collection("r")/row where $r/y {sign} $l/x return $r return <r k="{{$l/k}}" n="{{count($r)}}" s="{{sum($r/w)}}" m="{{max($r/w)}}" e="{{exists($r)}}"/>')
+    assert "Join" not in [x for x in found._jdf.queryExecution().toString().split() if "NestedLoop" in x]
+    rows = [r for r in right.collect() if r.y is not None and r.y == r.y]
+    test = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[sign]
+    want = {}
+    for r in left.collect():
+        hit = [x for x in rows if r.x is not None and r.x == r.x and test(x.y, r.x)]
+        w = [x.w for x in hit if x.w is not None]
+        want[r.k] = (len(hit), sum(w), max(w, default=None), bool(hit))
+    assert {r.k: (r.n, r.s, r.m, r.e) for r in found.collect()} == want

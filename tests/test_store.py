@@ -184,3 +184,50 @@ def test_highlight_blocks_and_engine_functions(spark):
     assert s.xquery("fthighlight-blocks('fox', 'one two three four five six seven fox eight')").first()[0] == "three four five six seven <hit>fox</hit> eight"
     assert s.xquery("se:checkpoint()").count() == 0 and s.xquery("se:get-property('$user')").first()[0] == "SYSTEM"
     assert s.xquery("crypto:sha512('a')").first()[0].startswith("1F40FC92") and s.xquery("crypto:digest('sha384', 'a')").first()[0].startswith("54A59B9F") and s.xquery("crypto:sha224('a')").first()[0].startswith("ABD37534")
+
+
+# Words and their stems as the algorithm's published description has them.
+STEMS = {"caresses": "caress", "ponies": "poni", "ties": "tie", "cats": "cat", "agreed": "agre", "hopping": "hop", "hoping": "hope", "falling": "fall", "happy": "happi", "relational": "relat", "conditional": "condit", "triplicate": "triplic", "hopeful": "hope", "goodness": "good", "adjustment": "adjust", "generous": "generous", "consistency": "consist", "knightly": "knight", "sky": "sky", "dying": "die", "cars": "car", "carpet": "carpet"}
+
+
+@pytest.mark.parametrize("word,want", STEMS.items())
+def test_stems(word, want):
+    from xylem.operators.stemming import english
+
+    assert english(word) == want
+
+
+def test_stemmed_full_text(spark):
+    s = Session(spark).register("t", spark.createDataFrame([(1, "two cars"), (2, "a carpet"), (3, "the car")], "doc_id long, text string"))
+    ids = lambda q: {r[0] for r in s.xquery(q).collect()}
+    s.xquery('CREATE FULL-TEXT INDEX "a" ON collection("t")/row/text TYPE "string-value" WITH OPTIONS "stemming=en"')
+    s.xquery('CREATE FULL-TEXT INDEX "b" ON collection("t")/row/text TYPE "string-value" WITH OPTIONS "stemming=en,stemtype=both"')
+    assert ids('for $d in ftindex-scan("a", "cars") return $d/doc_id') == {1, 3}
+    assert ids('for $d in ftindex-scan("b", "cars") return $d/doc_id') == {1}
+    assert ids('for $d in ftindex-scan("b", "cars~") return $d/doc_id') == {1, 3}
+    with pytest.raises(StaticError, match="SE3022"):
+        s.xquery('CREATE FULL-TEXT INDEX "c" ON collection("t")/row TYPE "string-value" WITH OPTIONS "stemming=xx"')
+    s.fulltext.append("a", spark.createDataFrame([(9, "my car")], "doc_id long, text string"))
+    assert ids('for $d in ftindex-scan("a", "cars") return $d/doc_id') == {1, 3, 9}
+
+
+def test_full_text_of_nodes(spark):
+    s = Session(spark)
+    s.load_xml("m", spark.createDataFrame([(1, '<m k="attr"><title>red fox</title><b>un</b><b>do</b></m>'), (2, "<m><body>red hen</body></m>")], "doc_id long, xml string"))
+    ids = lambda name, q: {r[0] for r in s.xquery(f'for $d in ftindex-scan("{name}", "{q}") return $d/doc_id').collect()}
+    for name, form in (("x", '"xml"'), ("s", '"string-value"'), ("d", '"delimited-value"'), ("c", '"customized-value" (("b", "string-value"), ("k", "xml"))')):
+        s.xquery(f'CREATE FULL-TEXT INDEX "{name}" ON collection("m")/m TYPE {form}')
+    assert ids("x", "title CONTAINS red") == {1} and ids("x", "body CONTAINS red") == {2} and ids("x", "title") == {1} and ids("x", "attr") == {1}
+    assert ids("s", "foxundo") == {1} and ids("s", "undo") == set() and ids("d", "un do") == {1} and ids("d", "title") == set() and ids("d", "red") == {1, 2}
+    assert ids("c", "title") == {1} and ids("c", "b") == set()
+    s.xquery('UPDATE insert <note>blue</note> into collection("m")/m[title]')
+    assert ids("d", "blue") == {1}  # made anew for the later version
+
+
+def test_index_reads_a_stored_table(spark):
+    s = Session(spark).register("t", spark.range(1000).selectExpr("id AS k", "id % 7 AS g"))
+    s.xquery('CREATE INDEX "i" ON collection("t")/row BY k AS xs:integer')
+    plan = s.explain('for $r in index-scan("i", 5, "EQ") return $r/g')
+    assert "index-i" in plan and "EqualTo(k,5)" in plan
+    with pytest.raises(StaticError, match="SE2034"):
+        s.xquery('CREATE INDEX "j" ON collection("t")/row BY k AS xs:integer USING "bstrie"')

@@ -563,7 +563,7 @@ def any_digest(algorithm, v):
 @function("error", 0, 3)
 def error(*args):
     code = text(args[0]) if args else F.lit("FOER0000")
-    return V(F.raise_error(F.concat_ws(": ", code, *(text(a) for a in args[1:2]))).cast("string"), "string")
+    return V(F.raise_error(F.concat_ws(": ", code, *(text(a) for a in args[1:2]))), "never")
 
 
 @function("trace", 2)

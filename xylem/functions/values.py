@@ -29,7 +29,7 @@ SPARK = {
     "string": "string", "untyped": "string", "empty": "string", "anyURI": "string", "boolean": "boolean", "integer": "bigint", "decimal": "decimal(38,12)", "float": "float", "double": "double",
     "date": "date", "dateTime": "timestamp", "time": "string", "dayTimeDuration": "interval day to second", "yearMonthDuration": "interval year to month",
     "hexBinary": "binary", "base64Binary": "binary", "QName": "struct<ns:string,prefix:string,local:string>",
-    "item": "struct<kind:string,text:string>",
+    "item": "struct<kind:string,text:string>", "never": "string",
 } | {k: "bigint" for k in INTEGERS} | {k: "string" for k in [*STRINGS, *FRAGMENTS]}
 
 
@@ -116,9 +116,16 @@ def tagged(v: V) -> Column:
     return F.when(v.col.isNotNull(), F.struct(F.lit(v.type).alias("kind"), string(v).alias("text")))
 
 
+def all_tagged(v: V) -> Column:
+    """The items of a value as items of a mixed type, in an array."""
+    if not v.many:
+        return F.filter(F.array(tagged(v)), lambda x: x.isNotNull())
+    return v.col if members(v.type) else F.transform(v.col, lambda x: tagged(V(x, v.type)))
+
+
 def mixture(values: list[V]) -> str:
     """The type of a sequence of all these: a common one, or a mixed one."""
-    kinds = dict.fromkeys(k for v in values if v.type != "empty" for k in members(v.type) or ["element()" if v.fields else v.type])
+    kinds = dict.fromkeys(k for v in values if v.type not in ("empty", "never") for k in members(v.type) or ["element()" if v.fields else v.type])
     if len(kinds) == 1 or len({base(k) for k in kinds}) == 1 or not kinds:
         return common(values)
     return f"item({'|'.join(kinds)})"
@@ -418,7 +425,7 @@ def array(v: V) -> V:
 
 def common(values: list[V]) -> str:
     """The type that all items of a sequence are stored as."""
-    kinds = list(dict.fromkeys(base(v.type) for v in values if v.type != "empty")) or ["empty"]
+    kinds = list(dict.fromkeys(base(v.type) for v in values if v.type not in ("empty", "never"))) or ["empty"]
     if len(kinds) == 1:
         return kinds[0]
     if all(k in NUMERIC for k in kinds):
@@ -432,8 +439,7 @@ def concatenated(values: list[V]) -> V:
         return V(F.array().cast("array<string>"), "string", True)
     kind = mixture(values)
     if members(kind):
-        made = [F.transform(v.col, lambda x, v=v: tagged(V(x, v.type))) if v.many and not members(v.type) else v.col if v.many else F.filter(F.array(tagged(v)), lambda x: x.isNotNull()) for v in values if v.type != "empty"]
-        return V(F.concat(*made), kind, True)
+        return V(F.concat(*(all_tagged(v) for v in values if v.type != "empty")), kind, True)
     same = [array(v) if base(v.type) == kind else array(v).but(_each(array(v), kind), kind) for v in values]
     return V(F.concat(*(v.col for v in same)), kind, True)
 

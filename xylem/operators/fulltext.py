@@ -1,6 +1,6 @@
 """Full-text search: a postings table, a small query language, scores and highlighting.
 
-Query language: words, ``word*`` (beginning), ``"a phrase"``, ``OR``, ``( )``, ``~word`` (stem), ``:N`` (boost) and
+Query language: words, ``word*`` (beginning), ``"a phrase"``, ``OR``, ``( )``, ``word~`` (stem), ``:N`` (boost) and
 ``tag CONTAINS word``; words side by side must all occur. There is no NOT.
 
 Score of a document: the sum over query words of sqrt(occurrences * boost) / sqrt(words in it) * idf**2 with
@@ -10,12 +10,15 @@ idf = 1 + ln(N / (df + 1)), in real division.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xylem.functions.values import StaticError
+from xylem.operators.stemming import stemmer
 
 #: What separates words.
 BREAK = r"[^\p{L}\p{N}]+"
@@ -26,25 +29,46 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), BREAK), lambda w: w != "")
 
 
-def stem(column: str) -> Column:
-    """English stems by stripping the commonest endings, longest first."""
-    ends = ("ational", "ization", "fulness", "ousness", "iveness", "ements", "ations", "ement", "ation", "ness", "ings", "ies", "ing", "ers", "est", "ed", "er", "ly", "es", "s")
+@dataclass(frozen=True)
+class Options:
+    """Options of an index: the language of stems ("" for none), and whether words are kept beside them."""
 
-    def one(w: str) -> str:
-        for e in ends:
-            if w.endswith(e) and len(w) - len(e) >= 3:
-                return w[: -len(e)] + ("y" if e == "ies" else "")
-        return w
+    language: str = ""
+    both: bool = False
 
-    return F.pandas_udf(lambda words: words.map(one), "string", F.PandasUDFType.SCALAR)(column)
+    @staticmethod
+    def of(text: str) -> Options:
+        found = {}
+        for part in filter(None, (x.strip() for x in text.split(","))):
+            name, _, value = part.partition("=")
+            if name not in ("backend", "native", "stemming", "stemtype") or name in found or name == "stemtype" and value != "both" or name == "backend" and value != "native":
+                raise StaticError("SE3022", f"bad options for full-text index: {part}")
+            found[name] = value
+        if found.get("stemming"):
+            stemmer(found["stemming"])
+        return Options(found.get("stemming", ""), "stemtype" in found)
 
+    def column(self, stemmed: bool) -> str:
+        """The column of postings that a query word is looked up in."""
+        return "stem" if self.language and (stemmed or not self.both) else "term"
 
-def postings(docs: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(doc_id, term, pos, path, length) of ``docs`` (doc_id, text[, path]); ``pos`` counts the document's words."""
-    path = F.col("path") if "path" in docs.columns else F.lit("")
-    rows = docs.select("doc_id", path.alias("path"), words_of(F.coalesce("text", F.lit(""))).alias("words"))
-    out = rows.select("doc_id", "path", F.size("words").alias("length"), F.posexplode("words").alias("pos", "term"))
-    return out.withColumn("term", stem("term")) if stemmed else out
+    def word(self, word: str, stemmed: bool) -> str:
+        return stemmer(self.language)(word) if self.column(stemmed) == "stem" else word
+
+
+def stems(language: str, column: str) -> Column:
+    rule = stemmer(language)
+    return F.pandas_udf(lambda words: words.map(rule), "string", F.PandasUDFType.SCALAR)(column)
+
+
+def postings(docs: DataFrame, options: Options = Options()) -> DataFrame:
+    """(doc_id, term, stem, pos, path, length) of ``docs`` (doc_id, and text or parts: array of (path, text)); ``pos`` counts the document's words."""
+    if "parts" not in docs.columns:
+        docs = docs.select("doc_id", F.array(F.struct(F.lit("").alias("path"), F.col("text").alias("text"))).alias("parts"))
+    words = F.flatten(F.transform("parts", lambda p: F.transform(words_of(F.coalesce(p["text"], F.lit(""))), lambda w: F.struct(p["path"].alias("path"), w.alias("term")))))
+    rows = docs.select("doc_id", words.alias("words"))
+    out = rows.select("doc_id", F.size("words").alias("length"), F.posexplode("words").alias("pos", "w")).select("doc_id", F.col("w.term").alias("term"), "pos", F.col("w.path").alias("path"), "length")
+    return out.withColumn("stem", stems(options.language, "term") if options.language else F.lit(None).cast("string"))
 
 
 @dataclass
@@ -54,11 +78,12 @@ class Want:
     kind: str
     parts: list = field(default_factory=list)
     word: str = ""
+    stemmed: bool = False
     boost: float = 1.0
     tag: str = ""
 
 
-_TOKEN = re.compile(r'\s*(?:(\()|(\))|"([^"]*)"|(OR)\b|(CONTAINS)\b|(~?[\w]+\*?(?::\d+)?))')
+_TOKEN = re.compile(r'\s*(?:(\()|(\))|"([^"]*)"|(OR)\b|(CONTAINS)\b|(~?[\w]+\*?~?(?::\d+)?))')
 
 
 def parse_query(text: str) -> Want:
@@ -105,7 +130,7 @@ def parse_query(text: str) -> Want:
 
     def word(raw: str) -> Want:
         raw, _, boost = raw.partition(":")
-        return Want("word", word=raw.lower(), boost=float(boost or 1))
+        return Want("word", word=raw.strip("~").lower(), stemmed="~" in raw, boost=float(boost or 1))
 
     return any_of()
 
@@ -114,30 +139,28 @@ def leaves(want: Want) -> list[Want]:
     return [want] if want.kind in ("word", "phrase", "within") else [x for p in want.parts for x in leaves(p)]
 
 
-def hits(index: DataFrame, want: Want) -> DataFrame:
+def hits(index: DataFrame, want: Want, options: Options = Options()) -> DataFrame:
     """(doc_id, n, length) of the documents that have a leaf of the query."""
     if want.kind == "within":
-        return hits(index.where(F.col("path").rlike(rf"(^|/){re.escape(want.tag)}(/|$)")), want.parts[0])
+        return hits(index.where(F.col("path").rlike(rf"(^|/){re.escape(want.tag)}(/|$)")), want.parts[0], options)
     if want.kind == "word":
-        w = want.word.lstrip("~")
-        cond = F.col("term").startswith(w[:-1]) if w.endswith("*") else F.col("term") == w
-        if want.word.startswith("~"):
-            root = re.sub(r"(ings?|ed|es|s|ly)$", "", w)
-            cond = F.col("term").startswith(root)
+        at = F.col(options.column(want.stemmed))
+        cond = at.startswith(want.word[:-1]) if want.word.endswith("*") else at == options.word(want.word, want.stemmed)
         return index.where(cond).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("length"))
-    wanted = index.where(F.col("term").isin(list(set(want.parts)))).select("doc_id", "path", "term", "pos", "length")
+    column, parts = options.column(False), [options.word(w, False) for w in want.parts]
+    wanted = index.where(F.col(column).isin(list(set(parts)))).select("doc_id", "path", F.col(column).alias("term"), "pos", "length")
     found = None
-    for k, w in enumerate(want.parts):  # all words of a phrase start at one place
+    for k, w in enumerate(parts):  # all words of a phrase start at one place
         part = wanted.where(F.col("term") == w).select("doc_id", "path", (F.col("pos") - k).alias("start"), *(["length"] if k == 0 else []))
         found = part if found is None else found.join(part, ["doc_id", "path", "start"])
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("length"))
 
 
-def search(index: DataFrame, query: str, total: int | None = None) -> DataFrame:
+def search(index: DataFrame, query: str, total: int | None = None, options: Options = Options()) -> DataFrame:
     """(doc_id, score) of the documents that match: one grouped pass over the postings of all leaves."""
     want = parse_query(query)
     parts = leaves(want)
-    frames = [hits(index, x).select("doc_id", F.lit(k).alias("leaf"), "n", "length", F.lit(x.boost).alias("boost")) for k, x in enumerate(parts)]
+    frames = [hits(index, x, options).select("doc_id", F.lit(k).alias("leaf"), "n", "length", F.lit(x.boost).alias("boost")) for k, x in enumerate(parts)]
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f)
@@ -160,22 +183,30 @@ def search(index: DataFrame, query: str, total: int | None = None) -> DataFrame:
     return docs.where(holds(want)).select("doc_id", "score")
 
 
-def matches_query(text: Column, query: str, kind: str = "string-value") -> Column:
-    """Whether a text matches, without an index."""
+def matches_query(text: Column, query: str, kind: str = "string-value", parts: Column | None = None) -> Column:
+    """Whether a text matches, without an index; ``parts``: (path, text) of its elements."""
     if kind not in TYPES:
         raise StaticError("SE3022", f"unknown document type {kind}")
     words = words_of(text)
 
     def holds(w: Want) -> Column:
         if w.kind == "word":
-            plain = w.word.lstrip("~")
-            if plain.endswith("*"):
-                return F.exists(words, lambda x: x.startswith(plain[:-1]))
-            return F.array_contains(words, plain)
+            if w.word.endswith("*"):
+                return F.exists(words, lambda x: x.startswith(w.word[:-1]))
+            return F.array_contains(words, w.word)
         if w.kind == "phrase":
             return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(" " + " ".join(w.parts) + " ")
         if w.kind == "within":
-            return F.rlike(text, F.lit(rf"(?is)<{w.tag}\b[^>]*>[^<]*\b{w.parts[0].word}\b"))
+            if parts is None:
+                raise StaticError("SE3022", "CONTAINS needs elements")
+            inner = w.parts[0]
+            own = F.filter(parts, lambda p: p["path"].rlike(rf"(^|/){re.escape(w.tag)}(/|$)"))
+            bodies = F.transform(own, lambda p: words_of(F.coalesce(p["text"], F.lit(""))))
+            if inner.kind == "phrase":
+                return F.exists(bodies, lambda b: F.concat(F.lit(" "), F.array_join(b, " "), F.lit(" ")).contains(" " + " ".join(inner.parts) + " "))
+            if inner.word.endswith("*"):
+                return F.exists(bodies, lambda b: F.exists(b, lambda x: x.startswith(inner.word[:-1])))
+            return F.exists(bodies, lambda b: F.array_contains(b, inner.word))
         out = None
         for p in w.parts:
             c = holds(p)
@@ -199,44 +230,67 @@ def highlighted(text: Column, query: str, blocks: bool = False) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(around), F.lit(0)), lambda x: F.regexp_replace(x, F.lit(pattern), F.lit("<hit>$1</hit>"))), " ... ")
 
 
+@dataclass
+class Stored:
+    """A full-text index: stored postings, its number of documents, options, and how it is made anew."""
+
+    table: DataFrame
+    total: int
+    kind: str
+    options: str
+    again: Callable[[], DataFrame] | None = None
+    source: Any = None
+
+
 class FullText:
-    """Full-text indexes of a session."""
+    """Full-text indexes of a session. One over a store that has a later version is made anew when it is next used."""
 
     def __init__(self, session):
         self.session = session
-        self.indexes: dict[str, tuple[DataFrame, int | None, str]] = {}
+        self.indexes: dict[str, Stored] = {}
 
-    def create(self, name: str, docs: DataFrame, kind: str = "string-value", options: str = "") -> None:
+    def create(self, name: str, docs: DataFrame, kind: str = "string-value", options: str = "", again: Callable[[], DataFrame] | None = None, source: Callable[[], Any] | None = None) -> None:
+        """An index of ``docs`` (doc_id, parts)."""
         if kind not in TYPES:
             raise StaticError("SE3022", f"unknown document type {kind}")
         if name in self.indexes:
             raise StaticError("SE2033", f"index {name} exists")
-        table = postings(docs, "stemming" in options)
-        folder = self.session.folder(f"ft-{name}")
-        if folder:
-            table.repartition("term").sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(folder)
-            table = self.session.spark.read.parquet(folder)
-        self.indexes[name] = table, None, options
+        table = self.written(name, postings(docs, Options.of(options)))
+        self.indexes[name] = Stored(table, table.select("doc_id").distinct().count(), kind, options, again, (source, source()) if source else None)
+
+    def written(self, name: str, table: DataFrame) -> DataFrame:
+        """Postings sorted by what is looked up, so that a scan reads the row groups of the words it wants."""
+        folder = self.session.fresh_folder(f"ft-{name}")
+        table.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos").write.parquet(folder)
+        return self.session.spark.read.parquet(folder)
 
     def drop(self, name: str) -> None:
         if self.indexes.pop(name, None) is None:
             raise StaticError("SE1061", f"no index {name}")
 
-    def open(self, name: str) -> DataFrame:
+    def open(self, name: str) -> Stored:
         if name not in self.indexes:
             raise StaticError("SE1061", f"no index {name}")
-        return self.indexes[name][0]
+        held = self.indexes[name]
+        if held.source and held.again and held.source[0]() is not held.source[1]:
+            del self.indexes[name]
+            self.create(name, held.again(), held.kind, held.options, held.again, held.source[0])
+            held = self.indexes[name]
+        return held
 
     def append(self, name: str, docs: DataFrame) -> None:
-        """Postings of more documents beside those there are."""
-        table, total, options = self.indexes[name]
-        self.indexes[name] = table.unionByName(postings(docs, "stemming" in options)), total, options
+        """Postings of more documents (doc_id, parts) beside those there are."""
+        held = self.open(name)
+        held.table = held.table.unionByName(self.written(name, postings(docs, Options.of(held.options))))
+        held.total = held.table.select("doc_id").distinct().count()
 
     def dictionary(self, name: str) -> DataFrame:
-        return self.open(name).select("term").distinct()
+        held = self.open(name)
+        return held.table.select(F.col(Options.of(held.options).column(False)).alias("term")).distinct()
 
     def scan(self, name: str, query: str, options: str = "") -> DataFrame:
-        found = search(self.open(name), query)
+        held = self.open(name)
+        found = search(held.table, query, held.total, Options.of(held.options))
         if "count_only" in options:
             return found.agg(F.count(F.lit(1)).alias("count"))
         return found.drop("score") if "nosort" in options else found

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.functions import library
-from xylem.functions.values import GENERAL, INTEGERS, NUMERIC, SPARK, STRINGS, StaticError, V, arithmetic, array, base, cast, common, compare, concatenated, ebv, general, as_kind, lit, members, mixture, of_spark, promoted, settle, string, tagged
+from xylem.functions.values import GENERAL, INTEGERS, NUMERIC, SPARK, STRINGS, StaticError, V, all_tagged, arithmetic, array, base, cast, common, compare, concatenated, ebv, general, as_kind, lit, members, mixture, of_spark, promoted, settle, string, tagged
 from xylem.plans.interpret import recursive_udf
 from xylem.plans.parser import E, Step, Test, positional
 from xylem.plans.relation import Link, Node, Relation, Row, Tuples, flat, fresh, numbered
@@ -194,7 +194,8 @@ class Compiler:
             inner = Tuples(held.df, held.vars, focus, t)
             body = self.value(E("path", [E("context")], {"steps": [Step("self", Test("node"), [])]}), inner) if isinstance(focus, V) else None
             text = string(body) if body is not None else self.row_text(focus)
-            held.where(matches_query(text, self.constant(args[1], t), self.constant(args[2], t) if len(args) > 2 else "string-value"))
+            parts = F.array(*(F.struct(F.lit(f"row/{c}").alias("path"), string(V(F.col(focus.prefix + c), k)).alias("text")) for c, (k, many) in focus.columns.items() if not many and k != "struct")) if isinstance(focus, Row) else None
+            held.where(matches_query(text, self.constant(args[1], t), self.constant(args[2], t) if len(args) > 2 else "string-value", parts))
             return found
         if name == "sql:execute":
             query = self.constant(args[1], t)
@@ -1220,17 +1221,17 @@ class Compiler:
 
     def branches(self, parts: list[tuple[Column | None, V]]) -> V:
         values = [v for _, v in parts]
-        real = [v for v in values if v.type != "empty"] or values
+        real = [v for v in values if v.type not in ("empty", "never")] or values
         kept = {id(v) for v in real}
         kind, many = mixture(real), any(v.many for v in real)
         if members(kind):
             real = [v if v.many else v.but(tagged(v), kind) for v in real]
-            whole = [(test, next((r for r, o in zip(real, [x for x in values if id(x) in kept], strict=True) if o is v), None)) for test, v in parts]
+            whole = [(test, next((r for r, o in zip(real, [x for x in values if id(x) in kept], strict=True) if o is v), v if v.type == "never" else None)) for test, v in parts]
             return self.mixed_branches(whole, kind, many)
         out = None
         for test, v in parts:
             if id(v) not in kept:
-                c = F.lit(None)
+                c = v.col if v.type == "never" else F.lit(None)
             else:
                 v = cast(v, kind) if not v.many and base(v.type) != kind else v
                 c = array(v).col if many else v.col
@@ -1243,8 +1244,8 @@ class Compiler:
         for test, v in parts:
             if v is None:
                 c = F.lit(None)
-            elif many:
-                c = concatenated([v]).col if not v.many else F.transform(v.col, lambda x, v=v: tagged(V(x, v.type)))
+            elif many and v.type != "never":
+                c = all_tagged(v)
             else:
                 c = v.col
             out = c if test is None and out is None else out.otherwise(c) if test is None else F.when(test, c) if out is None else out.when(test, c)

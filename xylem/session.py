@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xylem.functions.values import StaticError, V, settle
+from xylem.functions.values import StaticError, V, settle, string
 from xylem.operators import updates
 from xylem.operators.fulltext import FullText
 from xylem.plans.compiler import Compiler, Static
@@ -244,11 +244,8 @@ class Session:
             self.create_index(e, static)
         elif kind == "full-text index":
             self.check("CREATE-INDEX")
-            rows, _ = self.keyed(e.info["on"], None, static)
-            text = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
-            key = next((f.name for f in rows.schema.fields if f.name.endswith("_id") or f.name.endswith("key")), rows.columns[0])
-            body = F.col("text") if "text" in rows.columns else F.concat_ws(" ", *text)
-            self.fulltext.create(name, rows.select(F.col(key).alias("doc_id"), body.alias("text")), e.info["type"], e.info["options"])
+            on, form, kinds = e.info["on"], e.info["type"], e.info.get("kinds") or {}
+            self.fulltext.create(name, self.bodies(on, form, kinds, static), form, e.info["options"], lambda: self.bodies(on, form, kinds, static), lambda: self.catalog.open(path_of(on)[0]))
         elif kind == "trigger":
             self.check("CREATE-TRIGGER")
             actions = e.info["actions"]
@@ -291,8 +288,50 @@ class Session:
         return r.tuples.df.select(r.item.col("doc_id").alias("doc_id"), text.alias("text")), key
 
     def create_index(self, e: E, static: Static) -> None:
-        rows, key = self.keyed(e.info["on"], e.info["by"], static)
-        self.indexes.create(e.info["name"], rows, key, e.info["type"], e.info["using"])
+        make = lambda: self.keyed(e.info["on"], e.info["by"], static)
+        self.indexes.create(e.info["name"], *make(), e.info["type"], e.info["using"], make, lambda: self.catalog.open(path_of(e.info["on"])[0]))
+
+    def bodies(self, on: E, form: str, kinds: dict[str, str], static: Static) -> DataFrame:
+        """(doc_id, parts) of the rows or nodes of a path: their texts as ``form`` has them, each with its elements' names.
+
+        ``xml``: the words of the XML representation, names among them; ``string-value``: text only, in one piece;
+        ``delimited-value``: text only, element by element; ``customized-value``: ``kinds`` has the form of each element
+        name, others are xml.
+        """
+        compiler, column = Compiler(self, static), None
+        r = compiler.relation(on, Tuples(None))
+        if isinstance(r.item, V) and on.op == "path" and len(on.info["steps"]) > 1:  # a column of rows
+            column = on.info["steps"][-1].test.name
+            r = compiler.relation(E("path", on.args, {**on.info, "steps": on.info["steps"][:-1]}), Tuples(None))
+        part = lambda path, text: F.struct(F.lit(path).alias("path"), text.alias("text"))
+        if isinstance(r.item, Row):
+            row = r.item
+            cell = lambda c: string(V(F.col(row.prefix + c), row.columns[c][0]))
+            names = [column] if column else [c for c, (k, many) in row.columns.items() if not many and k != "struct"]
+            key = next((c for c in row.columns if c.endswith("_id") or c.endswith("key")), next(iter(row.columns)))
+            parts = [part(f"row/{c}", cell(c)) for c in names]
+            if form in ("xml", "xml-hl") or form == "customized-value":
+                parts += [part("", F.lit(c)) for c in names if kinds.get(c, "xml") == "xml"]
+            return r.df.select(F.col(row.prefix + key).cast("long").alias("doc_id"), F.array(*parts).alias("parts"))
+        if not isinstance(r.item, Node):
+            raise StaticError("SE2030", "a full-text index needs rows or nodes")
+        store, node = r.item.store, r.item
+        tops = r.df.select(node.col("doc_id").alias("d"), node.col("pre").alias("p"), (node.col("pre") + node.col("size")).alias("e")).distinct()
+        below = store.frame().join(tops, (F.col("doc_id") == F.col("d")) & (F.col("pre") >= F.col("p")) & (F.col("pre") <= F.col("e")))
+        names = form in ("xml", "xml-hl", "customized-value")
+        below = below.where(F.col("kind") == "text" if not names else F.col("kind").isin("text", "element", "attribute"))
+        own = F.regexp_replace(F.regexp_replace("path", "/(text\\(\\)|@[^/]*)$", ""), "[^/:]+:", "")
+        text = F.when(F.col("kind") == "element", F.col("local")).when(F.col("kind") == "attribute", F.concat_ws(" ", "local", "value")).otherwise(F.col("value"))
+        if names and kinds:
+            last = F.element_at(F.split(own, "/"), -1)
+            below = below.where((F.col("kind") == "text") | ~last.isin([k for k, f in kinds.items() if f != "xml"]))
+        one = F.struct("pre", F.struct(own.alias("path"), text.alias("text")).alias("part"))
+        parts = F.transform(F.array_sort(F.collect_list(one)), lambda x: x["part"])
+        found = below.groupBy("d", "p").agg(parts.alias("parts"))
+        if form == "string-value":  # texts that touch make one word
+            whole = F.array_join(F.transform("parts", lambda x: x["text"]), "")
+            found = found.withColumn("parts", F.when(F.size("parts") == 1, F.col("parts")).otherwise(F.array(F.struct(F.get(F.col("parts"), F.lit(0))["path"].alias("path"), whole.alias("text")))))
+        return found.groupBy(F.col("d").alias("doc_id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "parts"))), lambda x: x["parts"])).alias("parts"))
 
     def do_drop(self, e: E, static: Static) -> DataFrame:
         kind, name = e.info["kind"], e.info["name"]
@@ -388,22 +427,20 @@ class Session:
         over = e.args[1] if kind == "insert" else e.args[0]
         target_name = path_of(over)[0]
         self.check(_NEEDS[kind], target_name)
-        r = compiler.relation(over, Tuples(None))
+        event = "delete" if kind == "delete_undeep" else kind
+        new = self.fire("before", event, target_name, fragment(e.args[0]) if kind == "insert" else "" if kind == "replace" else None)
+        r = compiler.relation(over, Tuples(None))  # after the triggers, which may make a version themselves
         if not isinstance(r.item, Node):
             raise StaticError("SE2020", "updates need stored nodes")
         target = r.df.select(r.item.col("doc_id").alias("doc_id"), r.item.col("pre").alias("pre")).distinct()
-        event = "delete" if kind == "delete_undeep" else kind
         store: NodeStore = r.item.store
         nodes = store.nodes
         if kind == "insert":
-            xml = self.fire("before", "insert", target_name, fragment(e.args[0]))
-            out = nodes if xml is None else updates.insert(nodes, target, xml, e.info["where"])
+            out = nodes if new is None else updates.insert(nodes, target, new, e.info["where"])
         elif kind == "replace":
             name, template = e.info["name"], e.args[1]
-            self.fire("before", "replace", target_name, "")
             out = updates.replace(nodes, target, lambda xml: fragment(template, {name: xml}))
         else:
-            self.fire("before", event, target_name, None)
             out = {"delete": lambda: updates.delete(nodes, target), "delete_undeep": lambda: updates.delete_undeep(nodes, target), "rename": lambda: updates.rename(nodes, target, e.info.get("new"))}[kind]()
         self.replace_store(store, store.replaced(self.written(out)))
         self.fire("after", event, target_name, None)
@@ -501,7 +538,7 @@ def text_of(e: E, known: dict[str, str]) -> str:
 
 def element_text(v: Any, name: str, characters: dict[str, str] | None = None):
     """An element's XML text as a column."""
-    from xylem.functions.values import array, string
+    from xylem.functions.values import array
 
     def plain(c):
         for old, new in {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", **(characters or {})}.items():
@@ -532,6 +569,6 @@ def element_text(v: Any, name: str, characters: dict[str, str] | None = None):
 
 
 def items(v: V, name: str, plain):
-    from xylem.functions.values import array, string
+    from xylem.functions.values import array
 
     return F.transform(array(v).col, lambda i: F.concat(F.lit(f"<{name}>"), plain(string(V(i, v.type))), F.lit(f"</{name}>")))

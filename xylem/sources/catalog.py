@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from xylem.functions.values import SPARK, StaticError, V, cast, of_spark
 from xylem.sources.nodes import NodeStore
 
+#: System documents (fixed values).
 SYSTEM = ["$documents", "$collections", "$schema", "$indexes", "$version", "$ftindexes", "$triggers", "$errors", "$modules"]
 INDEX_TYPES = ["string", "integer", "float", "double", "date", "time", "dateTime", "yearMonthDuration", "dayTimeDuration"]
 
@@ -110,7 +112,7 @@ class Catalog:
         spark, session = self.session.spark, self.session
         rows = {
             "$collections": lambda: self.names("collections"), "$documents": lambda: self.names("documents"), "$version": lambda: [("3.6", "xylem")],
-            "$indexes": lambda: [(n, x[1]) for n, x in session.indexes.indexes.items()], "$ftindexes": lambda: [(n, x[2]) for n, x in session.fulltext.indexes.items()],
+            "$indexes": lambda: [(n, x[1]) for n, x in session.indexes.indexes.items()], "$ftindexes": lambda: [(n, x.options) for n, x in session.fulltext.indexes.items()],
             "$triggers": lambda: [(t.name, f"{t.time} {t.event}") for t in session.triggers.values()], "$modules": lambda: [(n, "") for n in session.modules],
             "$errors": lambda: [("XPST0003", "syntax"), ("XPST0008", "unbound name"), ("XPTY0004", "type"), ("FORG0001", "value to cast")],
         }
@@ -134,20 +136,22 @@ class Indexes:
     def __init__(self, session):
         self.session = session
         self.indexes: dict[str, tuple[DataFrame, str]] = {}
+        self.makers: dict[str, tuple] = {}
 
-    def create(self, name: str, rows: DataFrame, key: str, kind: str, using: str = "btree") -> None:
-        """An index over ``rows`` by column ``key`` cast to ``kind``; rows without a key aren't in it."""
+    def create(self, name: str, rows: DataFrame, key: str, kind: str, using: str = "btree", again: Callable[[], tuple[DataFrame, str]] | None = None, source: Callable[[], Any] | None = None) -> None:
+        """An index over ``rows`` by column ``key`` cast to ``kind``; rows without a key aren't in it. ``again``: makes the
+        rows anew, when ``source`` has changed."""
         if name in self.indexes:
             raise StaticError("SE2033", f"index {name} exists")
         if kind not in INDEX_TYPES or using == "bstrie" and kind != "string" or using not in ("btree", "bstrie"):
             raise StaticError("SE2034", f"no {using} index on xs:{kind}")
         have = of_spark(rows.schema[key].dataType)[0]
         table = rows.withColumn(key, cast(V(F.col(key), have), kind).col if have != kind else F.col(key)).where(F.col(key).isNotNull())
-        folder = self.session.folder(f"index-{name}")
-        if folder:
-            table.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").parquet(folder)
-            table = self.session.spark.read.parquet(folder)
-        self.indexes[name] = table, key
+        folder = self.session.fresh_folder(f"index-{name}")
+        table.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.parquet(folder)
+        self.indexes[name] = self.session.spark.read.parquet(folder), key
+        if again and source:
+            self.makers[name] = again, source, source(), kind, using
 
     def drop(self, name: str) -> None:
         if self.indexes.pop(name, None) is None:
@@ -156,6 +160,11 @@ class Indexes:
     def table(self, name: str) -> tuple[DataFrame, str]:
         if name not in self.indexes:
             raise StaticError("SE1061", f"no index {name}")
+        if name in self.makers:
+            again, source, held, kind, using = self.makers[name]
+            if source() is not held:  # its documents have a later version
+                del self.indexes[name]
+                self.create(name, *again(), kind, using, again, source)
         return self.indexes[name]
 
     def keys(self, name: str) -> DataFrame:
