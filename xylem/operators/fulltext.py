@@ -230,6 +230,11 @@ def highlighted(text: Column, query: str, blocks: bool = False) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(around), F.lit(0)), lambda x: F.regexp_replace(x, F.lit(pattern), F.lit("<hit>$1</hit>"))), " ... ")
 
 
+def documents(table: DataFrame) -> int:
+    """How many documents have a word: each has one at place 0."""
+    return table.where("pos = 0").select("doc_id").distinct().count()
+
+
 @dataclass
 class Stored:
     """A full-text index: stored postings, its number of documents, options, and how it is made anew."""
@@ -255,13 +260,16 @@ class FullText:
             raise StaticError("SE3022", f"unknown document type {kind}")
         if name in self.indexes:
             raise StaticError("SE2033", f"index {name} exists")
+        least = self.session.spark.sparkContext.defaultParallelism
+        docs = docs if docs.rdd.getNumPartitions() >= least else docs.repartition(least)
         table = self.written(name, postings(docs, Options.of(options)))
-        self.indexes[name] = Stored(table, table.select("doc_id").distinct().count(), kind, options, again, (source, source()) if source else None)
+        self.indexes[name] = Stored(table, documents(table), kind, options, again, (source, source()) if source else None)
 
     def written(self, name: str, table: DataFrame) -> DataFrame:
-        """Postings sorted by what is looked up, so that a scan reads the row groups of the words it wants."""
+        """Postings in segments: each task sorts the words of its own documents, so nothing is shuffled, a common word is
+        spread over all segments, and a scan reads only the row groups of the words it wants."""
         folder = self.session.fresh_folder(f"ft-{name}")
-        table.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos").write.parquet(folder)
+        table.sortWithinPartitions("term", "doc_id", "pos").write.option("parquet.block.size", 4 << 20).parquet(folder)
         return self.session.spark.read.parquet(folder)
 
     def drop(self, name: str) -> None:
@@ -282,7 +290,7 @@ class FullText:
         """Postings of more documents (doc_id, parts) beside those there are."""
         held = self.open(name)
         held.table = held.table.unionByName(self.written(name, postings(docs, Options.of(held.options))))
-        held.total = held.table.select("doc_id").distinct().count()
+        held.total = documents(held.table)
 
     def dictionary(self, name: str) -> DataFrame:
         held = self.open(name)
