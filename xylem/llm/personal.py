@@ -18,7 +18,8 @@ shuffle, so an entity, a term or a copied text that a third of all rows have is
 texts count once for what they support, so copies alone disclose nothing.
 
 Defined results: a null text is the empty text and has no spans; rows are told apart by doc_id and text, and
-equal rows each get their row; spans of different kinds may overlap; a null doc_id is kept; extra columns are
+equal rows each get their row; spans of different kinds may overlap; texts of any length are scanned whole, in time
+that grows with their length; a null doc_id is kept; extra columns are
 ignored.
 """
 
@@ -28,15 +29,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xylem.llm.shared import Scratch
-from xylem.llm.spans import digits, listed, luhn, matches, named, placed, replaced
+from xylem.llm.spans import digits, let, listed, luhn, matches, named, placed, replaced
 
-# Fixed patterns; groups are possessive, which matches the same and needs no stack for long runs.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+# Fixed patterns; groups are possessive, which matches the same and needs no stack for long runs. A match that starts
+# with a run starts at the run's start or where the match before it ended, so no run is walked from each of its places.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone"]
-TERMS = "array<struct<start:int,stop:int,share:double>>"
+TERMS = "array<struct<start:int,stop:int,share:double,at:int,end:int>>"
 #: What a term is.
 TERM = r"\p{L}{4,}"
 #: Texts that each term is taken to be in besides, without the entity; shares of the entity's information to generalise and to remove at.
@@ -113,22 +115,14 @@ def disclosures(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFram
 
 
 def terms_in(text: Column, found: Column, hashes: Column, shares: Column) -> Column:
-    """(start, stop, share) of those of the ``found`` terms whose hash is one of ``hashes``."""
-    gaps = F.slice(F.split(text, TERM, -1), F.lit(1), F.size(found))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(TERMS).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.char_length(x["gap"])
-        stop = start + F.char_length(x["value"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), F.get(shares, (x["place"] - 1).cast("int")).alias("share"))
-        return F.struct(stop.alias("at"), F.when(x["place"] > 0, F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
-
-    both = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value"), F.array_position(hashes, F.xxhash64(F.lower(v))).alias("place")))
-    return F.aggregate(both, zero, step, lambda s: s["out"])
+    """(start, stop, share, and bytes at to end) of those of the ``found`` terms whose hash is one of ``hashes``."""
+    one = lambda x, share: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), share[F.xxhash64(F.lower(x["value"]))].alias("share"), x["at"].alias("at"), (x["at"] + F.octet_length(x["value"])).alias("end"))
+    scored = let(F.map_from_arrays(hashes, shares), lambda share: F.transform(placed(text, TERM, found), lambda x: one(x, share)))
+    return F.filter(scored, lambda x: x["share"].isNotNull())
 
 
 def personal_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, tkey (hash of the text), base spans and disclosing terms (start, stop, share) of each row."""
+    """doc_id, tkey (hash of the text), base spans and disclosing terms of each row."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spans = with_base(rows.withColumn("tkey", F.xxhash64("text")))
     spans = scratch.keep(spans.select("doc_id", "tkey", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "spans")
@@ -147,8 +141,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with each entity replaced by its kind, disclosing terms generalised or removed, and n_chars anew."""
     scratch = Scratch(docs.sparkSession, "personal")
     found = personal_spans(docs, scratch)
-    terms = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.when(x["share"] >= REMOVE, "").otherwise("<TERM>").alias("put")))
-    base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("put")))
+    terms = F.transform("terms", lambda x: F.struct(x["at"].alias("at"), x["end"].alias("end"), F.when(x["share"] >= REMOVE, "").otherwise("<TERM>").alias("put")))
+    base = F.transform("base", lambda x: F.struct(x["at"].alias("at"), (x["at"] + F.octet_length(x["value"])).alias("end"), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("put")))
     edits = scratch.keep(found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias("_edit_id"), F.col("tkey").alias("_edit_key"), F.array_sort(F.concat(base, terms)).alias("_edits")).distinct(), "edits")
     scratch.drop(but=[edits])
     # texts without any entity stay where they are: terms are only looked for in texts with one
@@ -165,8 +159,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
 def op3_personal_data(spark, sf_dir) -> DataFrame:
     scratch = Scratch(spark, "personal")
     found = personal_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch)
-    terms = F.transform("terms", lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit("").alias("value")))
+    told = lambda spans, kind: F.transform(spans, lambda x: F.struct((kind if kind is not None else x["kind"]).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    result = scratch.keep(found.select("doc_id", *(count(k) for k in KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", terms)).alias("spans")), "result")
+    result = scratch.keep(found.select("doc_id", *(count(k) for k in KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat(told("base", None), told("terms", F.lit("term")))).alias("spans")), "result")
     scratch.drop(but=[result])
     return result

@@ -1,8 +1,8 @@
 """Secret scans: patterns, and credentials that are told by their parts.
 
-Multipart credential linking. Beside the plain patterns there are weak candidates: user names and short-lived
-key ids (identifiers), long mixed strings (secrets) and addresses of services (endpoints). Alone they mean
-nothing. Each is taken with an interval of ``SCOPE`` code points on either side, and intervals are joined with
+Multipart credential linking. Beside the plain patterns there are weak candidates: user names, mail addresses and
+short-lived key ids (identifiers), long mixed strings (secrets) and addresses of services and machines (endpoints).
+Alone they mean nothing. Each is taken with an interval of ``SCOPE`` code points on either side, and intervals are joined with
 the other parts of the same text; a weak candidate is reported only where complementary parts lie within its
 scope: an identifier with a secret, a secret with an identifier or an endpoint, an endpoint with both.
 
@@ -10,13 +10,13 @@ The interval join is an equi-join on text and bucket of ``SCOPE`` code points, s
 and what it makes grows with the length of a text. All of it is DataFrame functions.
 
 Defined results: a null text is the empty text and has no spans; rows are told apart by doc_id and text, and
-equal rows each get their row; weak candidates that overlap a plain match are part of it; a null doc_id is
-kept; extra columns are ignored.
+equal rows each get their row; weak candidates that overlap a plain match are part of it; texts of any length are
+scanned whole, in time that grows with their length; a null doc_id is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xylem.llm.shared import Scratch
@@ -32,9 +32,13 @@ BASE = ["assign", "access", "hex"]
 WEAK = {
     "identifier": r"""\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}+|\b(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}+""",
     "key": r"[A-Za-z0-9+/_-]{20,}+={0,2}",
+    "mail": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "host": r"(?:\G|(?<![0-9.]))[0-9]{1,3}+\.[0-9]{1,3}+\.[0-9]{1,3}+\.[0-9]{1,3}+(?::[0-9]{1,5}+)?+(?!\.?[0-9])",
     "endpoint": r"""\b(?i:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]++""",
 }
-ROLE = {"access": "identifier", "assign": "key", "hex": "key", "identifier": "identifier", "key": "key", "endpoint": "endpoint"}
+ROLE = {"access": "identifier", "assign": "key", "hex": "key", "identifier": "identifier", "mail": "identifier", "key": "key", "host": "endpoint", "endpoint": "endpoint"}
+#: What a text must contain to have a candidate of a kind.
+SIGNS = {"access": "AKIA", "endpoint": "://", "mail": "@", "host": "."}
 #: Code points on either side of a candidate that are its scope.
 SCOPE = 200
 
@@ -45,8 +49,8 @@ def with_parts(rows: DataFrame) -> DataFrame:
     every = {"assign": ASSIGN, "access": ACCESS, "hex": HEX} | WEAK
     for kind, pattern in every.items():
         found = matches(text, pattern)
-        if kind in ("access", "endpoint"):
-            found = F.when(text.contains("AKIA" if kind == "access" else "://"), found).otherwise(F.array().cast("array<string>"))
+        if kind in SIGNS:
+            found = F.when(text.contains(SIGNS[kind]), found).otherwise(F.array().cast("array<string>"))
         rows = rows.withColumn(f"m_{kind}", found)
     rows = rows.withColumn("m_key", F.filter("m_key", lambda x: x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]")))
     for kind, pattern in every.items():
@@ -64,6 +68,13 @@ def with_parts(rows: DataFrame) -> DataFrame:
     return rows.drop(*(f"m_{k}" for k in every))
 
 
+def by_start(*spans: str) -> Column:
+    """All spans by start, then kind as listed: plain ones first."""
+    order = F.create_map(*(F.lit(x) for k, name in enumerate([*BASE, *WEAK]) for x in (name, k)))
+    keyed = F.transform(F.concat(*spans), lambda x: F.struct(x["start"].alias("start"), order[x["kind"]].alias("rank"), x["stop"].alias("stop"), x["kind"].alias("kind")))
+    return F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
+
+
 def linked(parts: DataFrame) -> DataFrame:
     """(d, t, extra): the weak candidates of each text that complementary parts bear out, by start."""
     role = F.create_map(*(F.lit(x) for pair in ROLE.items() for x in pair))
@@ -76,7 +87,8 @@ def linked(parts: DataFrame) -> DataFrame:
     close = (F.col("y.start") < F.col("x.stop") + SCOPE) & (F.col("x.start") < F.col("y.stop") + SCOPE)
     has = lambda k: F.max(F.col("y.role") == k)
     seen = left.join(right, same & close & (F.col("x.role") != F.col("y.role"))).groupBy("x.doc_id", "x.tkey", "x.kind", "x.start", "x.stop").agg(has("identifier").alias("i"), has("key").alias("k"), has("endpoint").alias("e"))
-    good = seen.where(F.when(F.col("kind") == "identifier", F.col("k")).when(F.col("kind") == "key", F.col("i") | F.col("e")).otherwise(F.col("i") & F.col("k")))
+    own = role[F.col("kind")]
+    good = seen.where(F.when(own == "identifier", F.col("k")).when(own == "key", F.col("i") | F.col("e")).otherwise(F.col("i") & F.col("k")))
     return good.groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("extra"))
 
 
@@ -94,6 +106,6 @@ def op5_secrets(spark, sf_dir) -> DataFrame:
     scratch = Scratch(spark, "secrets")
     found = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch)
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    result = scratch.keep(found.select("doc_id", *(count(k) for k in BASE), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "extra")).alias("spans")), "result")
+    result = scratch.keep(found.select("doc_id", *(count(k) for k in BASE), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(by_start("base", "extra")).alias("spans")), "result")
     scratch.drop(but=[result])
     return result
