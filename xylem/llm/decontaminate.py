@@ -165,10 +165,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with the columns of ``docs``."""
-    pair = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")), F.col("tkey"))
-    bad = contamination(docs, benchmark).where("contaminated").select(pair.alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(docs["doc_id"], F.lit(-(1 << 63)).cast("long")), F.xxhash64(docs["text"])))
-    return without(keyed, bad, "_key").select(docs.columns)
+    pair = lambda key: F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), key)
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), pair(F.col("tkey")).alias("_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    return without(docs.withColumn("_key", pair(F.xxhash64("text"))), bad, "_key", same).select(docs.columns)
 
 
 def op2_decontamination(spark, sf_dir) -> DataFrame:

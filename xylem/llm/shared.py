@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -26,11 +26,13 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is set."""
+    """The cluster's shared folder, or one of our own where none is set and all executors are on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:  # with its scheme, so that Spark and Python mean one place
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found.rstrip("/"))
         return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("the executors need a folder that they share: set spark.checkpoint.dir")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="xylem-"))
     return _own_folder[0]
@@ -56,6 +58,11 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def folder(self, name: str) -> str:
+        """A folder for files other than tables; ``drop`` deletes it too."""
+        self.made.append(path := f"{self.root}/{name}-{len(self.made)}")
+        return path
+
     def drop(self, but: Iterable[DataFrame] = ()) -> None:
         keep = {f.split("file:")[-1].lstrip("/") for x in but for f in x.inputFiles()}
         jvm = self.spark.sparkContext._jvm
@@ -76,8 +83,14 @@ class Scratch:
             self.tidy()
 
 
+#: Bytes from which on an Arrow batch is sent, however few its rows are.
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows: whole texts can be long, and a batch is held at once on both sides."""
+    """Arrow batches of at most ``rows`` rows and about ``BATCH_BYTES``, in this session from now on: whole texts can be
+    long, a batch is held at once on both sides, and Spark reads the setting when a plan runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -128,8 +141,8 @@ def spark_xxhash64(keys: np.ndarray, seed: int = 42) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``rows`` without those whose 64-bit ``key`` is in ``gone``; a null key stays.
+def without(rows: DataFrame, gone: DataFrame, key: str, same: Column | None = None) -> DataFrame:
+    """``rows`` without those whose 64-bit ``key`` is in ``gone``, or of which ``same`` holds besides; a null key stays.
 
     Rows that a bounded filter over ``gone`` rules out stay where they are; only the others, about as many as
     there are to drop, are shuffled for the exact anti join.
@@ -145,7 +158,11 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     kind = StructType([*rows.schema.fields, StructField("_maybe", BooleanType())])
     both = over_texts(rows, marked, kind)
     stay = both.where("not _maybe").drop("_maybe")
-    return stay.unionByName(both.where("_maybe").drop("_maybe").join(gone.select(key), key, "left_anti").select(rows.columns))
+    if same is None:
+        met = gone.select(key), key, "left_anti"
+    else:
+        met = gone.withColumnRenamed(key, "_gone"), (F.col(key) == F.col("_gone")) & same, "left_anti"
+    return stay.unionByName(both.where("_maybe").drop("_maybe").join(*met).select(rows.columns))
 
 
 # ---------------------------------------------------------------- connected components
