@@ -195,9 +195,10 @@ def similar_sets(docs: DataFrame, sets: Sets = shingle_sets) -> DataFrame:
     copies = scratch.keep(some.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "uid")).alias("rep")).select("h1", "h2", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.uid").alias("uid")), "copies")
     reps = some.join(copies.select("uid"), "uid", "left_semi").withColumnRenamed("doc_id", "id")
 
-    tile = "partition by token"
-    tiles = reps.select("id", "n", F.explode("rare").alias("token")).select("*", F.expr(f"min(struct(id, n)) over ({tile})").alias("first"), F.expr(f"count(*) over ({tile})").alias("members"))
-    tiles = scratch.keep(tiles.where("members > 1").select("id", "n", "token", "members", F.col("first.id").alias("pivot"), F.col("first.n").alias("pivot_n")), "tiles")
+    # a token's pivot and size are combined before they move; its rows meet them in a join, of which a hot token's side can be split
+    filed = reps.select("id", "n", F.explode("rare").alias("token"))
+    shared = filed.groupBy("token").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    tiles = scratch.keep(filed.join(shared, "token").select("id", "n", "token", "members", F.col("first.id").alias("pivot"), F.col("first.n").alias("pivot_n")), "tiles")
     bits = scratch.keep(reps.join(tiles.select("id").distinct(), "id", "left_semi").select("id", "n", "bits", "wide"), "bits")
     slim = scratch.keep(known.select("doc_id", "n", "h1", "h2"), "slim")
     scratch.drop(but=[tiles, bits, copies, slim])
