@@ -23,13 +23,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xylem.llm.jaccard import similar_sets
 from xylem.llm.shared import ALNUM, Words, mix, over_texts, small_batches, text_steps
 
 CHAIN = 2
+#: Bytes of a partition of whole texts.
+PART_BYTES = 64 << 20
 #: Content words in a row from which on they are anchors themselves.
 STRETCH = 8
 #: Anchors: the commonest words of English, German, French and Spanish (fixed values).
@@ -124,32 +126,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return over_texts(docs.select("doc_id", "text"), run, "doc_id long, fingerprint string")
 
 
+def parts_for(docs: DataFrame) -> int:
+    """Partitions for a shuffle of whole texts: the session's number, or more if that makes them larger than ``PART_BYTES``."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES if size < 1 << 60 else 0)
+
+
+def bucket_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are below ``key``: first the block of cuts, then the place in it."""
+    if not cuts:
+        return F.lit(0)
+    width = max(1, round(len(cuts) ** 0.5))
+    blocks = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    block = F.greatest(F.size(F.filter(longs([b[0] for b in blocks]), lambda c: c < key)) - 1, F.lit(0))
+    return block * width + F.size(F.filter(F.get(F.array(*(longs(b) for b in blocks)), block), lambda c: c < key))
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (bucket, guest, key, tie, doc_id, text), each partition sorted so that every row that isn't a guest is followed by its next one."""
     least = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    cuts = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    own = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("own", own)
+    cuts = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
+    rows = rows.withColumn("own", bucket_of(F.col("key"), sorted(set(cuts or []))))
     tops = {r.own: r.top for r in rows.groupBy("own").agg(F.max(F.struct("key", "tie")).alias("top")).collect()}  # a row for each bucket
     order = sorted(tops)
-    target = {b: order[(k + 1) % len(order)] for k, b in enumerate(order)}
-    guest = F.lit(None).cast("int")
-    for b, top in tops.items():
-        guest = F.when((F.col("own") == b) & (F.col("key") == top.key) & (F.col("tie") == top.tie), F.lit(target[b])).otherwise(guest)
+    target = [(b, tops[b].key, tops[b].tie, order[(k + 1) % len(order)]) for k, b in enumerate(order)]
+    firsts = F.broadcast(docs.sparkSession.createDataFrame(target, "own int, top_key long, top_tie long, target int"))
+    guest = F.when((F.col("key") == F.col("top_key")) & (F.col("tie") == F.col("top_tie")), F.col("target"))
     both = F.when(F.col("guest_of").isNull(), F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("guest")))).otherwise(
         F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("guest")), F.struct(F.col("guest_of").alias("bucket"), F.lit(1).alias("guest")))
     )
-    sent = rows.withColumn("guest_of", guest).select(F.explode(both).alias("b"), "key", "tie", "doc_id", "text").select("b.*", "key", "tie", "doc_id", "text")
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), F.desc("tie"), F.desc("text"))
+    sent = rows.join(firsts, "own", "left").withColumn("guest_of", guest).select(F.explode(both).alias("b"), "key", "tie", "doc_id", "text").select("b.*", "key", "tie", "doc_id", "text")
+    return sent.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("key"), F.desc("tie"), F.desc("text"))
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints and both likenesses of each row."""
     spark = docs.sparkSession
     small_batches(spark, 500)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(docs)
 
     def run(batches):
         held = None  # the last row: its bucket, id, text and fingerprint
@@ -180,5 +196,10 @@ def compared(docs: DataFrame) -> DataFrame:
     return with_next(docs, parts).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def spots_near_duplicates(spark, sf_dir) -> DataFrame:
+    """Near duplicates by signatures of all documents: partitioned by set length, pruned, compared exactly."""
+    return similar_spots(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_fingerprints(spark, sf_dir) -> DataFrame:
     return compared(spark.read.parquet(f"{sf_dir}/documents.parquet"))
