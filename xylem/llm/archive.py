@@ -6,7 +6,8 @@ frame, and offset and length within the decompressed frame, so one record costs
 
 Of records with equal payloads of at least ``LEAST`` bytes that with the smallest page_id is a response and the
 others are revisits that refer to it; that is decided by a map-side-combined aggregation over digests before
-anything is written. Bundles are named by partition and put in place by a rename, so a retried task rewrites
+anything is written. A payload is one Arrow value, so it and its frame stay under two gigabytes, which the seek
+table's 32-bit sizes hold. Bundles are named by partition and put in place by a rename, so a retried task rewrites
 the same file.
 
 Defined results: a null payload is empty; a null page_id never is what others refer to, and such a row is a
@@ -28,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.shared import Scratch, shared_folder, small_batches
+from xylem.llm.shared import Scratch, small_batches
 
 #: Bytes of records in a frame (one longer record is a frame of its own), Zstandard level, least payload that is told once.
 FRAME, LEVEL, LEAST = 256 << 10, 3, 100
+#: Repeated payloads up to which their digests (32 bytes and an id each) are sent to all executors; keys of one digest beyond.
+SENT, SALT = 200_000, 16
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2020-01-01T00:00:00Z"
@@ -122,12 +125,23 @@ def opened(place: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(place) if "://" in place else (pyarrow.fs.LocalFileSystem(), place)
 
 
-def described(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest and refers_to (null for responses) of each row."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    large = rows.where(F.octet_length("payload") >= LEAST)
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+def described(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """page_id, url, payload, digest and refers_to (null for responses) of each row.
+
+    Payloads stay where they are: what is shuffled is digests, combined before they move. Only if the payloads that
+    occur more than once are more than ``SENT`` are the rows shuffled, and then those of one digest go to ``SALT`` keys.
+    """
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    large = pages.select("page_id", html.alias("payload")).where(F.octet_length("payload") >= LEAST).select("page_id", F.unhex(F.sha2("payload", 256)).alias("d"))
+    first = large.groupBy("d").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).select("d", "first")
+    first = scratch.keep(first, "first")
+    rows = pages.select("page_id", "url", html.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("d", F.unhex("digest"))
+    if first.count() <= SENT:
+        joined = rows.join(F.broadcast(first), "d", "left")
+    else:
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["d", "salt"], "left")
+    return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write_bundles(pages: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
@@ -153,7 +167,7 @@ def write_bundles(pages: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
             bundle.close()
             files.move(draft, f"{root}/{name}")
 
-    return scratch.keep(described(pages).mapInArrow(run, INDEX), "index")
+    return scratch.keep(described(pages, scratch).mapInArrow(run, INDEX), "index")
 
 
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
@@ -179,7 +193,8 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    spread = frames.repartition("bundle").sortWithinPartitions("bundle", "frame")
+    bundles = index.agg(F.countDistinct("bundle")).first()[0]  # a bundle is a task's worth of work, however small its index is
+    spread = frames.repartition(max(1, bundles), "bundle").sortWithinPartitions("bundle", "frame")
     return spread.mapInArrow(run, "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -193,9 +208,11 @@ def lookup(index: DataFrame, folder: str, page_id: int) -> tuple[dict[str, str],
 
 def op8_warc(spark, sf_dir) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex[:12]}"
+    folder = scratch.folder("archive")
     index = write_bundles(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, scratch)
-    return read_bundles(index, folder).drop("payload")
+    result = scratch.keep(read_bundles(index, folder).drop("payload"), "result")
+    scratch.drop(but=[result])  # the archive too: the query returns what was read back
+    return result
 
 
 OP8_SQL = f"""
