@@ -5,7 +5,8 @@ lower-case text, runs of anything but letters counting as one space). A document
 n-grams are ranked likewise; its distance to a profile is the sum of how far each of its n-grams is out of
 place there, or ``PLACES`` if it is absent. The nearest profile wins.
 
-Profiles are learned from at most ``SAMPLE`` labelled documents (a fixed bound); every whole text is ranked.
+A profile is learned from at most ``SAMPLE`` labelled documents of its language (a fixed bound), however rare the
+language is; every whole text is ranked.
 
 Defined results: null text and text without a letter are ``und`` with score 0; without any profile every text
 is ``und``; ties go to the language that sorts first; equal texts have equal results; extra columns are ignored.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from xylem.llm.learn import remainder
 from xylem.llm.shared import over_texts
 
-#: Most labelled documents that profiles are learned from, and n-grams in a profile or ranking.
-SAMPLE, PLACES = 10_000, 400
+#: Most labelled documents of each language that its profile is learned from, and n-grams in a profile or ranking.
+SAMPLE, PLACES = 4000, 400
 #: Share of the greatest distance by which a language must be nearer to be e times as likely.
 WARMTH = 0.03
 _OTHER = re.compile(r"[\W\d_]+")
@@ -90,8 +91,12 @@ def learn(docs: DataFrame) -> Profiles:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    rows = known.join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    # the smallest hashes of each language: a share that leaves about twice as many first, so no task sorts a whole language
+    sizes = F.broadcast(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")))
+    some = known.select("lang", "doc_id").join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) * (2 * SAMPLE + 100) / F.col("size"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
+    chosen = some.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("lang", "doc_id").distinct()
+    rows = known.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "text")
     counts = over_texts(rows, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top: dict[str, list[int]] = {}

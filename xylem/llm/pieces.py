@@ -114,6 +114,7 @@ class Pieces:
         proto = sentencepiece_model_pb2.ModelProto()
         with open(model, "rb") as f:
             proto.ParseFromString(f.read())
+        self.unknown = self.library.unk_id()
         byte, control = proto.SentencePiece.BYTE, proto.SentencePiece.CONTROL
         self.widths = np.array([1 if p.type == byte else 0 if p.type == control else len(p.piece.encode()) for p in proto.pieces])
         self.normalize = Normalizer(proto.normalizer_spec, proto.trainer_spec.treat_whitespace_as_suffix)
@@ -124,7 +125,7 @@ class Pieces:
         length, source = self.normalize(data)
         cuts = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(self.widths[ids], out=cuts[1:])
-        if cuts[-1] != length:  # unknown pieces are as wide as the text they stand for
+        if cuts[-1] != length or (ids == self.unknown).any():  # unknown pieces are as wide as the text they stand for
             spans = self.library.encode(text, out_type="immutable_proto").pieces
             at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
             begins = np.array([0, *(at[p.begin] for p in spans), len(data)], np.int64)

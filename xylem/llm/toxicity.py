@@ -2,7 +2,8 @@
 
 The lexicon is a trie of terms learned from labelled documents (words, and word beginnings, that toxic ones
 have and others lack) beside a short list of common insults. Each word is run through the Levenshtein
-automaton of one edit (two for long terms) intersected with the trie: states are sets of (trie node, edits),
+automaton of one edit (two for terms of nine letters or more, none for terms of four: those have too many
+neighbours that are words themselves; a swap counts as two edits) intersected with the trie: states are sets of (trie node, edits),
 made deterministic as words need them, so most words leave the automaton after two or three letters. Each find
 is weighed by its context: within quotation marks, or after a word that reports speech, it counts as quoted.
 A logistic model over the counts gives the score.
