@@ -186,6 +186,22 @@ def exact_links(docs: DataFrame, sets: Sets, pairs: DataFrame) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
+def only_shared(reps: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, n, token) of the rare shingles that another document may have too, by a filter of fixed size: the others stay
+    where they are."""
+    table = key_filter(shared, "token")
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            tokens, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            hit = may_contain(table, tokens.to_numpy(zero_copy_only=False))
+            owner = np.repeat(np.arange(len(batch)), sizes)[hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), tokens.filter(pa.array(hit))], ["id", "n", "token"])
+
+    return over_texts(reps.select("id", "n", "rare"), run, "id long, n long, token long")
+
+
 def similar_sets(docs: DataFrame, sets: Sets = shingle_sets) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text). See the module's text."""
     spark = docs.sparkSession
@@ -193,17 +209,19 @@ def similar_sets(docs: DataFrame, sets: Sets = shingle_sets) -> DataFrame:
     known = scratch.keep(described(docs, sets, frequent(docs, sets)).withColumn("uid", F.monotonically_increasing_id()), "sets")
     some = known.where("n > 0 and doc_id is not null")
     copies = scratch.keep(some.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "uid")).alias("rep")).select("h1", "h2", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.uid").alias("uid")), "copies")
-    reps = some.join(copies.select("uid"), "uid", "left_semi").withColumnRenamed("doc_id", "id")
+    slim = scratch.keep(known.select("doc_id", "n", "h1", "h2"), "slim")
+    reps = scratch.keep(some.join(copies.select("uid"), "uid", "left_semi").select(F.col("doc_id").alias("id"), "n", "rare", "bits", "wide"), "reps")
+    scratch.drop(but=[copies, slim, reps])
+    known = slim
+    del some
 
     # a token's pivot and size are combined before they move; its rows meet them in a join, of which a hot token's side can be split
-    filed = reps.select("id", "n", F.explode("rare").alias("token"))
-    shared = filed.groupBy("token").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    tiles = scratch.keep(filed.join(shared, "token").select("id", "n", "token", "members", F.col("first.id").alias("pivot"), F.col("first.n").alias("pivot_n")), "tiles")
+    shared = reps.select("id", "n", F.explode("rare").alias("token")).groupBy("token").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("pivot_n"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = scratch.keep(shared, "shared")
+    tiles = scratch.keep(only_shared(reps, shared).join(shared, "token").select("id", "n", "token", "members", "pivot", "pivot_n"), "tiles")
     bits = scratch.keep(reps.join(tiles.select("id").distinct(), "id", "left_semi").select("id", "n", "bits", "wide"), "bits")
-    slim = scratch.keep(known.select("doc_id", "n", "h1", "h2"), "slim")
     scratch.drop(but=[tiles, bits, copies, slim])
-    known = slim
-    del reps, some
+    del reps
 
     near = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * LEAST
     star = tiles.where((F.col("id") != F.col("pivot")) & near).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
