@@ -182,7 +182,9 @@ def exact_links(docs: DataFrame, sets: Sets, pairs: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     held = over_texts(docs.select("doc_id", "text"), arrays, "id long, tokens binary")
-    full = pairs.join(held.withColumnsRenamed({"id": "a", "tokens": "x"}), "a").join(held.withColumnsRenamed({"id": "b", "tokens": "y"}), "b")
+    # sorted joins even of few pairs: a broadcast one would put both Python steps in one task, with a worker for each
+    sets_of = lambda end, tokens: held.withColumnsRenamed({"id": end, "tokens": tokens}).hint("merge")
+    full = pairs.join(sets_of("a", "x"), "a").join(sets_of("b", "y"), "b")
     return full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
