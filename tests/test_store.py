@@ -231,3 +231,42 @@ def test_index_reads_a_stored_table(spark):
     assert "index-i" in plan and "EqualTo(k,5)" in plan
     with pytest.raises(StaticError, match="SE2034"):
         s.xquery('CREATE INDEX "j" ON collection("t")/row BY k AS xs:integer USING "bstrie"')
+
+
+@pytest.mark.parametrize("what,first,second", [("//B", "<A/>", '<A k="1">x<!--n--><?p q?></A>'), ("//comment()", MINI, '<A k="1">x<B>y</B><?p q?></A>'), ("/A/@k", MINI, "<A>x<B>y</B><!--n--><?p q?></A>"), ("//B/text()", MINI, '<A k="1">x<B/><!--n--><?p q?></A>')])
+def test_deletions_keep_numbers_and_values(session, what, first, second):
+    session.xquery(f'UPDATE delete collection("c"){what}')
+    assert text(session) == {1: first, 2: second}
+    assert session.xquery('test(collection("c"))').first()[0] is True
+    session.xquery('UPDATE insert <N/> into collection("c")/A')  # the next version of a table with gaps
+    assert session.xquery('count(collection("c")/A/N)').first()[0] == 2
+
+
+def test_a_deletion_makes_a_simple_element(spark):
+    s = Session(spark)
+    s.load_xml("d", spark.createDataFrame([(1, "<a><t>x<b/>y</t><u><v/></u></a>")], "doc_id long, xml string"))
+    s.xquery('UPDATE delete (collection("d")//b union collection("d")//v)')
+    assert [r.value for r in s.catalog.open("d").nodes.where("kind = 'element'").orderBy("pre").collect()] == [None, "xy", ""]
+
+
+def test_export_and_restore(session, spark, tmp_path):
+    session.xquery('CREATE INDEX "i" ON collection("c")/A BY @k AS xs:integer')
+    session.load_module('module namespace m = "u"; declare function m:f($x) { $x + 1 };')
+    session.xquery('CREATE USER "u" WITH PASSWORD "p"')
+    session.xquery('GRANT QUERY ON COLLECTION "c" TO "u"')
+    session.register("t", spark.range(5).toDF("k"))
+    session.export(str(tmp_path / "out"))
+    other = Session(spark).restore(str(tmp_path / "out"))
+    assert text(other) == text(session) and other.xquery('count(collection("t")/row)').first()[0] == 5
+    assert other.xquery('count(index-scan("i", 1, "EQ"))').first()[0] == 1 and other.xquery('import module namespace m = "u"; m:f(2)').first()[0] == 3
+    other.security.login("u", "p")
+    assert other.xquery('count(collection("c")/A)').first()[0] == 2
+    with pytest.raises(StaticError, match="SE3065"):
+        other.xquery('count(collection("t")/row)')
+
+
+def test_debug_mode_names_the_expressions(session):
+    session.debug = True
+    with pytest.raises(StaticError) as e:
+        session.xquery('for $x in (1, 2) return concat("a", $x + $nothing)')
+    assert "concat > arith > var" in e.value.__notes__[0]

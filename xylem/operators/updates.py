@@ -118,15 +118,21 @@ def insert(nodes: DataFrame, target: DataFrame, xml: str, where: str = "into") -
 
 
 def delete(nodes: DataFrame, target: DataFrame) -> DataFrame:
-    """Without the targets and what is below them. An anti join; the rows left are renumbered where it matters."""
-
-    def edit(tree: Tree, chosen: set[int]) -> None:
-        for n in chosen:
-            if n in tree.up:
-                parent, _ = tree.place(n)
-                parent.below = [x for x in parent.below if x.number != n]
-
-    return edited(nodes, target, edit)
+    """Without the targets and what is below them: an anti join on ranges of ``pre``.
+
+    Numbers may have gaps, so the nodes left keep theirs; only the text values of the targets' parents are made anew.
+    """
+    hit = nodes.join(target.select("doc_id", "pre").distinct(), ["doc_id", "pre"]).where("kind != 'document'")
+    ranges = hit.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_first"), (F.col("pre") + F.col("size")).alias("_last"))
+    left = nodes.join(ranges, (F.col("doc_id") == F.col("_d")) & (F.col("pre") >= F.col("_first")) & (F.col("pre") <= F.col("_last")), "left_anti")
+    owners = hit.select(F.col("doc_id").alias("_d"), F.col("parent").alias("_p")).distinct()
+    below = left.where("kind != 'attribute'").join(owners, (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_p")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"])
+    made = below.groupBy("_d", "_p").agg(F.min(F.col("kind") == "text").alias("_plain"), texts.alias("_texts"))
+    values = owners.join(made, ["_d", "_p"], "left").select("_d", "_p", F.when(F.coalesce("_plain", F.lit(True)), F.array_join(F.coalesce("_texts", F.array().cast("array<string>")), "")).alias("_value"))
+    joined = left.join(values, (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_p")), "left")
+    value = F.when(F.col("_p").isNotNull() & (F.col("kind") == "element"), F.col("_value")).otherwise(F.col("value"))
+    return joined.withColumn("value", value).select(*nodes.columns)
 
 
 def delete_undeep(nodes: DataFrame, target: DataFrame) -> DataFrame:
@@ -174,7 +180,7 @@ def replace(nodes: DataFrame, target: DataFrame, make) -> DataFrame:
 
 
 def rename(nodes: DataFrame, target: DataFrame, name: str) -> DataFrame:
-    """Elements and attributes renamed: a column expression; paths below follow."""
+    """Elements and attributes renamed by a join with the targets; the paths below follow, document by document."""
     pfx, _, local = name.rpartition(":")
     hit = target.select("doc_id", "pre").distinct().withColumn("_hit", F.lit(True))
     joined = nodes.join(hit, ["doc_id", "pre"], "left")

@@ -1424,9 +1424,19 @@ class Compiler:
         if name == "root":
             return self.value(args[0], t) if args else t.focused()
         if name == "test":
-            raise StaticError("SE1002", "test checks storage that this engine doesn't have")
+            return lit(self.sound(self.relation(args[0], Tuples(None))))
         raise StaticError("XPST0017", f"{name} isn't possible here")
 
+    def sound(self, r: Relation) -> bool:
+        """Whether the stored nodes of ``r`` nest: each below a parent of the level above whose range holds its own. One job."""
+        if not isinstance(r.item, Node):
+            raise StaticError("XPTY0004", "test needs stored nodes")
+        nodes = r.item.store.frame()
+        owners = nodes.select(F.col("doc_id").alias("d"), F.col("pre").alias("p"), (F.col("pre") + F.col("size")).alias("e"), F.col("level").alias("l"))
+        both = nodes.where("kind != 'document'").join(owners, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("p")), "left")
+        nested = (F.col("p") < F.col("pre")) & (F.col("pre") + F.col("size") <= F.col("e")) & (F.col("level") == F.col("l") + 1)
+        return not both.where(~F.coalesce(nested, F.lit(False))).take(1)
+
     def node_text(self, node: Node, t: Tuples) -> Column:
         """String value: kept for simple nodes, else the text below in document order."""
         from xylem.operators.axes import related

@@ -468,6 +468,17 @@ def sql_statements(spark, sf_dir):
     return rows.withColumn("closed", F.lit(closed))
 
 
+def exported(spark, sf_dir):
+    """A session's collections, indexes and users, written to files and read into another session."""
+    s = session(spark, sf_dir, '"nations"')
+    s.xquery('CREATE INDEX "by_segment" ON collection("nations")/nation/customer BY @segment AS xs:string')
+    s.xquery('CREATE USER "u" WITH PASSWORD "p"')
+    s.export(folder := s.fresh_folder("export"))
+    other = Session(spark).restore(folder)
+    found = other.xquery('<r orders="{count(collection("nations")//order)}" indexed="{count(index-scan("by_segment", "BUILDING", "EQ"))}"/>')
+    return found.withColumn("users", F.lit(len(other.security.users)).cast("long"))
+
+
 def profile(spark, sf_dir):
     return session(spark, sf_dir, '"nation"').xquery(f"PROFILE {N}/n_name").where("part = 'rows'").select(F.col("text").alias("rows"))
 
@@ -591,6 +602,8 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "table_schema": (table_schema, "SELECT * FROM (VALUES ('/row/r_regionkey', 'int'), ('/row/r_name', 'string')) t(path, kind)"),
     "permissions": (permissions, "SELECT step, t.name, CASE WHEN step = 'granted' AND t.name = 'region' THEN (SELECT count(*) FROM region) ELSE -3065 END AS n FROM (VALUES ('created'), ('granted'), ('revoked')) s(step), (VALUES ('region'), ('nation')) t(name)"),
     "sql_statements": (sql_statements, "SELECT n_name AS n, '2' AS put, '2' AS kept, true AS closed FROM nation WHERE n_regionkey = 2"),
+    "fn_test": (lambda spark, sf_dir: session(spark, sf_dir, '"nations" "region"').xquery('for $r in collection("region")/row return <r k="{$r/r_regionkey}" v="{test(collection("nations"))}"/>'), "SELECT r_regionkey AS k, true AS v FROM region"),
+    "export_restore": (exported, "SELECT count(*) AS orders, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS indexed, 1::BIGINT AS users FROM orders JOIN customer ON o_custkey = c_custkey"),
     "profile": (profile, "SELECT count(*)::VARCHAR AS rows FROM nation"),
     "library_modules": (library_modules, "SELECT CAST(3 * n_nationkey AS BIGINT) AS item FROM nation"),
     "sql_execute": (sql_execute, "SELECT n_name AS n FROM nation WHERE n_nationkey < 10 AND n_regionkey > 1"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import re
 import shutil
 import tempfile
@@ -50,8 +51,12 @@ class Session:
         self.security, self.connector = Security(), Connector(spark)
         self.triggers: dict[str, Trigger] = {}
         self.modules: dict[str, list] = {}
+        self.module_texts: dict[str, str] = {}
         self.externals: dict[str, tuple[Callable, str]] = {}
         self.depth = 0
+        self.debug = False
+        self._scratch: list[str] = []
+        self.made: dict[str, str] = {}
         self._own = ""
 
     def folder(self, name: str) -> str | None:
@@ -103,7 +108,83 @@ class Session:
         A sequence of atomic items has the column ``item``; constructed elements have a column for each attribute
         and child; rows and nodes have their own columns. ``order by`` gives an ordered DataFrame.
         """
-        return self.run(parse(text), variables)
+        tree = parse(text)
+        if not self.debug:
+            out = self.run(tree, variables)
+        else:
+            out = self.debugged(tree, variables)
+        body = tree.args[0]
+        if body.op == "create" and body.info["kind"] in ("index", "full-text index", "trigger"):
+            self.made[body.info["name"]] = text
+        elif body.op == "drop":
+            self.made.pop(body.info["name"], None)
+        return out
+
+    def debugged(self, tree: E, variables: dict[str, Any]) -> DataFrame:
+        """With ``debug`` set: an error of the analysis says which expressions it is in, innermost last."""
+        from xylem.plans import compiler
+
+        stack: list[str] = []
+        kept = compiler.Compiler.value, compiler.Compiler.relation
+
+        def noted(run):
+            def wrapped(own, e, t):
+                stack.append(e.info.get("name") if e.op == "call" else e.op)
+                out = run(own, e, t)
+                stack.pop()
+                return out
+
+            return wrapped
+
+        compiler.Compiler.value, compiler.Compiler.relation = map(noted, kept)
+        try:
+            return self.run(tree, variables)
+        except StaticError as e:
+            e.add_note("in " + " > ".join(stack))
+            raise
+        finally:
+            compiler.Compiler.value, compiler.Compiler.relation = kept
+
+    def export(self, folder: str) -> None:
+        """Collections, documents, indexes, triggers, modules, users and privileges as files of ``folder``."""
+        stores: list = []
+
+        def number(x: Any) -> int:
+            at = next((k for k, y in enumerate(stores) if y is x), None)
+            if at is None:
+                stores.append(x)
+                (x.nodes if isinstance(x, NodeStore) else x).write.parquet(f"{folder}/data/{len(stores) - 1}")
+            return len(stores) - 1 if at is None else at
+
+        kind = lambda x: "nodes" if isinstance(x, NodeStore) else "table"
+        rows = [("collection", n, None, kind(x), number(x)) for n, x in self.catalog.collections.items()]
+        rows += [("document", n, c, kind(x), number(x)) for (c, n), x in self.catalog.documents.items()]
+        rows += [("statement", n, text, None, None) for n, text in self.made.items()]
+        rows += [("module", uri, self.module_texts[uri], None, None) for uri in self.modules]
+        rows.append(("security", "", json.dumps(self.security.state()), None, None))
+        self.spark.createDataFrame(rows, "part string, name string, info string, kind string, data int").coalesce(1).write.parquet(f"{folder}/catalog")
+
+    def restore(self, folder: str, security: bool = True) -> Session:
+        """What :meth:`export` wrote, into this session; ``security``: users and privileges too."""
+        rows = self.spark.read.parquet(f"{folder}/catalog").collect()
+        held = {}
+        for r in rows:
+            if r.data is not None and r.data not in held:
+                data = self.spark.read.parquet(f"{folder}/data/{r.data}")
+                held[r.data] = NodeStore(data, None, r.name) if r.kind == "nodes" else data
+        for r in rows:
+            if r.part == "collection":
+                self.catalog.collections[r.name] = held[r.data]
+            elif r.part == "document":
+                self.catalog.documents[r.info, r.name] = held[r.data]
+            elif r.part == "module":
+                self.load_module(r.info, replace=True)
+            elif r.part == "security" and security:
+                self.security.restore(json.loads(r.info))
+        for r in rows:
+            if r.part == "statement":
+                self.xquery(r.info)
+        return self
 
     def run(self, tree: E, variables: dict[str, Any] | None = None) -> DataFrame:
         static = self.static(tree, variables or {})
@@ -382,6 +463,7 @@ class Session:
         uri = next(p[2] for p in prolog if p[0] == "module")
         if uri in self.modules and not replace:
             raise StaticError("SE1072", f"module {uri} exists")
+        self.module_texts[uri] = text
         self.modules[uri] = [p for p in prolog if p[0] != "module"]
         return uri
 
@@ -456,7 +538,25 @@ class Session:
                 self._own = "file://" + tempfile.mkdtemp(prefix="xylem-")
                 atexit.register(shutil.rmtree, self._own.removeprefix("file://"), ignore_errors=True)
             root = self._own
-        return f"{root}/{re.sub(r'[^A-Za-z0-9_.-]', '_', stem)}-{uuid.uuid4().hex[:12]}"
+        path = f"{root}/{re.sub(r'[^A-Za-z0-9_.-]', '_', stem)}-{uuid.uuid4().hex[:12]}"
+        if not self._folder:
+            if not self._scratch:
+                atexit.register(self.close)
+            self._scratch.append(path)
+        return path
+
+    def close(self) -> None:
+        """Deletes the stored tables of a session that has no folder of its own."""
+        context = self.spark.sparkContext
+        if context._jsc is None or context._jvm is None:
+            return
+        for path in self._scratch:
+            try:
+                where = context._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            except Exception:  # the session of Spark has ended
+                break
+        self._scratch = []
 
     def written(self, nodes: DataFrame) -> DataFrame:
         """A version, stored: it doesn't carry the plans of those before it."""
@@ -472,7 +572,7 @@ class Session:
 
 def path_of(e: E) -> tuple[str, str]:
     """Document or collection of a path and the rest of it."""
-    while e.op == "paren":
+    while e.op in ("paren", "union", "intersect", "except"):
         e = e.args[0]
     if e.op == "path" and e.args[0].op == "call":
         return e.args[0].args[0].args[0], "/".join(getattr(getattr(s, "test", None), "name", None) or "*" for s in e.info["steps"])

@@ -216,6 +216,16 @@ class Security:
             raise StaticError("SE3053", "wrong user or password")
         self.user = name
 
+    def state(self) -> dict:
+        """Users with password digests, roles, members and privileges, as plain lists."""
+        sets = lambda d: {k: sorted(map(list, v), key=str) for k, v in d.items()}
+        return {"users": self.users, "roles": sets(self.roles), "members": {k: sorted(v) for k, v in self.members.items()}, "granted": sets(self.granted)}
+
+    def restore(self, state: dict) -> None:
+        self.users = dict(state["users"])
+        self.roles, self.granted = ({k: {tuple(x) for x in v} for k, v in state[part].items()} for part in ("roles", "granted"))
+        self.members = {k: set(v) for k, v in state["members"].items()}
+
     def create_role(self, name: str) -> None:
         if name in self.roles:
             raise StaticError("SE3069", f"role {name} exists")

@@ -14,11 +14,14 @@ from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, pre long, size long, level int, parent long, kind string, ns string, pfx string, local string, path string, value string"
 GAP = 1
+#: Nodes in an Arrow batch, about.
+BATCH = 20_000
 
 
 def shred(xml: str, strip_space: bool = True) -> list[list]:
@@ -73,18 +76,29 @@ def shred(xml: str, strip_space: bool = True) -> list[list]:
 
 
 def node_table(docs: DataFrame, strip_space: bool = True) -> DataFrame:
-    """The node table of ``docs`` (doc_id, xml), one document at a time on the executors."""
+    """The node table of ``docs`` (doc_id, xml), one document at a time on the executors, in batches of about ``BATCH`` nodes."""
+    names = ["pre", "size", "level", "parent", "kind", "ns", "pfx", "local", "path", "value"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 6]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["pre", "size", "level", "parent", "kind", "ns", "pfx", "local", "path", "value"]
-        for frame in frames:
-            for doc, xml in zip(frame["doc_id"], frame["xml"], strict=True):
-                nodes = pd.DataFrame(shred(xml, strip_space), columns=names)
-                nodes["parent"] = nodes["parent"].astype("Int64")
-                nodes.insert(0, "doc_id", doc)
-                yield nodes
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, owners = [], []
 
-    return docs.select("doc_id", "xml").mapInPandas(run, SCHEMA).withColumn("path_id", F.crc32(F.col("path").cast("binary")))
+        def table() -> pa.RecordBatch:
+            columns = [pa.array(owners, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", *names])
+
+        for batch in batches:
+            for doc, xml in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                nodes = shred(xml, strip_space)
+                held += nodes
+                owners += [doc] * len(nodes)
+                if len(held) >= BATCH:
+                    yield table()
+                    held, owners = [], []
+        if held:
+            yield table()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "xml").mapInArrow(run, SCHEMA).withColumn("path_id", F.crc32(F.col("path").cast("binary")))
 
 
 @dataclass
@@ -131,7 +145,8 @@ class NodeStore:
 def stored(spark, nodes: DataFrame, folder: str) -> DataFrame:
     """A node table written by path, each file in document order, and read back."""
     names = [c for c in nodes.columns if c != "path_id"]
-    nodes.repartition("path_id", F.expr("doc_id div 1024")).sortWithinPartitions("path_id", "doc_id", "pre").write.mode("overwrite").partitionBy("path_id").parquet(folder)
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, nodes.rdd.getNumPartitions())))  # files of a path follow the input's size, not its ids
+    nodes.repartition("path_id", spread).sortWithinPartitions("path_id", "doc_id", "pre").write.mode("overwrite").partitionBy("path_id").parquet(folder)
     return spark.read.schema(nodes.select(*names, "path_id").schema).parquet(folder).select(*nodes.columns)
 
 
