@@ -66,8 +66,8 @@ def postings(docs: DataFrame, options: Options = Options()) -> DataFrame:
     if "parts" not in docs.columns:
         docs = docs.select("doc_id", F.array(F.struct(F.lit("").alias("path"), F.col("text").alias("text"))).alias("parts"))
     words = F.flatten(F.transform("parts", lambda p: F.transform(words_of(F.coalesce(p["text"], F.lit(""))), lambda w: F.struct(p["path"].alias("path"), w.alias("term")))))
-    rows = docs.select("doc_id", words.alias("words"))
-    out = rows.select("doc_id", F.size("words").alias("length"), F.posexplode("words").alias("pos", "w")).select("doc_id", F.col("w.term").alias("term"), "pos", F.col("w.path").alias("path"), "length")
+    rows = docs.select("doc_id", words.alias("words")).select("doc_id", "words", F.size("words").alias("length"))  # else each word's row has all words beside it
+    out = rows.select("doc_id", "length", F.posexplode("words").alias("pos", "w")).select("doc_id", F.col("w.term").alias("term"), "pos", F.col("w.path").alias("path"), "length")
     return out.withColumn("stem", stems(options.language, "term") if options.language else F.lit(None).cast("string"))
 
 
