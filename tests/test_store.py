@@ -63,6 +63,46 @@ def test_order_and_axes(session):
     assert session.xquery('string(collection("c")/A[@k])').first() is not None
 
 
+NESTED = "<A><B i='1'><C/><B i='2'><C/>t</B><D/></B><C><B i='3'><D><C/></D></B></C>u<D/></A>"
+
+
+@pytest.fixture
+def nested(spark):
+    out = Session(spark)
+    out.load_xml("n", spark.createDataFrame([(1, NESTED), (2, NESTED.replace("<C/>", ""))], "doc_id long, xml string"))
+    return out
+
+
+@pytest.mark.parametrize("axis", ["following", "preceding"])
+@pytest.mark.parametrize("start", ["B", "C", "D", "A"])
+def test_axis_without_contexts(nested, axis, start):
+    got = sorted((r.doc_id, r.pre) for r in nested.xquery(f'collection("n")//{start}/{axis}::*').collect())
+    want = set()
+    for doc, xml in ((1, NESTED), (2, NESTED.replace("<C/>", ""))):
+        rows = [r for r in shred(xml) if r[4] == "element"]
+        for c in (r for r in rows if r[7] == start):
+            want |= {(doc, r[0]) for r in rows if (r[0] > c[0] + c[1] if axis == "following" else r[0] + r[1] < c[0])}
+    assert got == sorted(want)
+
+
+def test_wide_axis_predicates_and_plan(nested):
+    assert nested.xquery('count(collection("n")//C/following::B[@i = "3"])').first()[0] == 1
+    assert nested.xquery('count(collection("n")//C/preceding::B[1])').first()[0] == 2
+    plan = nested.explain('collection("n")//C/following::D')
+    assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_nested_targets_of_delete(nested):
+    nested.xquery('UPDATE delete collection("n")//B')
+    assert serialised(nested.catalog.open("n").nodes).where("doc_id = 1").first().xml == "<A><C/>u<D/></A>"
+
+
+def test_deepest_of_nested(nested):
+    places = [x[:2] for x in shred(NESTED) if x[7] == "B"]
+    got = nested.xquery('filter_entry_level(collection("n")//B)').where("doc_id = 1").collect()
+    assert [r.pre for r in got] == [p for p, size in places if not any(p < q <= p + size for q, _ in places)]
+
+
 def test_triggers(session):
     seen = []
     session.add_trigger("t2", "before", "insert", "c", "A", "node", lambda s, new: seen.append(new) or new)

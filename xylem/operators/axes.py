@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
@@ -37,6 +37,17 @@ def related(axis: str, c: Node, n: Node) -> Column:
     }[axis]
 
 
+def beyond(nodes: DataFrame, contexts: DataFrame, axis: str) -> DataFrame:
+    """``nodes`` on the axis following or preceding of any of ``contexts`` (doc_id, pre, size): one bound for each document
+    decides it, so no node meets more than one row."""
+    if axis == "following":
+        bound, on = F.min(F.col("pre") + F.col("size")), F.col("pre") > F.col("_bound")
+    else:
+        bound, on = F.max("pre"), F.col("pre") + F.col("size") < F.col("_bound")
+    bounds = contexts.groupBy(F.col("doc_id").alias("_d")).agg(bound.alias("_bound"))
+    return nodes.join(bounds, (F.col("doc_id") == F.col("_d")) & on, "left_semi").where("kind != 'attribute'")
+
+
 def tested(frame: DataFrame, test: Test, principal: str, axis: str) -> DataFrame:
     """``frame`` (a node table) filtered by a node test; filters come before the join and reach the scan."""
     kind = test.kind
@@ -62,10 +73,12 @@ def document_order(nodes: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def deepest(nodes: DataFrame, prefix: str) -> DataFrame:
-    """Of nested nodes only the deepest."""
+    """Of nested nodes only the deepest: those that the next one of the document, in document order, isn't inside of."""
     c = lambda n: F.col(prefix + n)
-    inner = nodes.select(c("doc_id").alias("_d"), c("pre").alias("_p")).distinct()
-    return nodes.join(inner, (c("doc_id") == F.col("_d")) & (F.col("_p") > c("pre")) & (F.col("_p") <= c("pre") + c("size")), "left_anti")
+    places = nodes.select(c("doc_id").alias("_d"), c("pre").alias("_p"), (c("pre") + c("size")).alias("_end")).distinct()
+    after = F.lead("_p").over(Window.partitionBy("_d").orderBy("_p"))
+    outer = places.withColumn("_next", after).where(F.col("_next") <= F.col("_end"))
+    return nodes.join(outer, (c("doc_id") == F.col("_d")) & (c("pre") == F.col("_p")), "left_anti")
 
 
 def language(tuples: DataFrame, node: Node, wanted: Column) -> tuple[DataFrame, Column]:

@@ -7,7 +7,7 @@ the others are renumbered, one document at a time.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.functions.values import StaticError
@@ -16,11 +16,18 @@ from xylem.sources.nodes import SCHEMA, shred
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
+def told(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """``nodes`` with ``_inside``: whether a node is at or below one of ``tops`` (doc_id, pre, size). In document order it
+    is, if it comes before the furthest end of the tops so far: one sorted pass over each document."""
+    ends = tops.select("doc_id", "pre", (F.col("pre") + F.col("size")).alias("_end"))
+    so_far = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return nodes.join(ends, ["doc_id", "pre"], "left").withColumn("_inside", F.coalesce(F.max("_end").over(so_far) >= F.col("pre"), F.lit(False))).select(*nodes.columns, "_inside")
+
+
 def within(nodes: DataFrame, target: DataFrame) -> DataFrame:
     """The nodes at and below the targets."""
-    t = target.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"))
-    tops = nodes.join(t, (nodes["doc_id"] == t["_d"]) & (nodes["pre"] == t["_p"])).select(F.col("doc_id").alias("_d"), F.col("pre").alias("_p"), (F.col("pre") + F.col("size")).alias("_e"))
-    return nodes.join(tops, (nodes["doc_id"] == tops["_d"]) & (nodes["pre"] >= tops["_p"]) & (nodes["pre"] <= tops["_e"]), "left_semi")
+    tops = nodes.join(target.select("doc_id", "pre").distinct(), ["doc_id", "pre"])
+    return told(nodes, tops).where("_inside").drop("_inside")
 
 
 def edited(nodes: DataFrame, target: DataFrame, edit) -> DataFrame:
@@ -118,13 +125,12 @@ def insert(nodes: DataFrame, target: DataFrame, xml: str, where: str = "into") -
 
 
 def delete(nodes: DataFrame, target: DataFrame) -> DataFrame:
-    """Without the targets and what is below them: an anti join on ranges of ``pre``.
+    """Without the targets and what is below them: nodes up to the furthest end of the targets before them.
 
     Numbers may have gaps, so the nodes left keep theirs; only the text values of the targets' parents are made anew.
     """
     hit = nodes.join(target.select("doc_id", "pre").distinct(), ["doc_id", "pre"]).where("kind != 'document'")
-    ranges = hit.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_first"), (F.col("pre") + F.col("size")).alias("_last"))
-    left = nodes.join(ranges, (F.col("doc_id") == F.col("_d")) & (F.col("pre") >= F.col("_first")) & (F.col("pre") <= F.col("_last")), "left_anti")
+    left = told(nodes, hit).where("not _inside").drop("_inside")
     owners = hit.select(F.col("doc_id").alias("_d"), F.col("parent").alias("_p")).distinct()
     below = left.where("kind != 'attribute'").join(owners, (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_p")))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"])

@@ -501,6 +501,9 @@ class Compiler:
             if isinstance(r.item, Row):
                 r = self.row_step(r, step, t)
             elif isinstance(r.item, Node):
+                if step.axis in ("following", "preceding") and not (r.tuples.vars or r.links or r.tuples.waiting) and not any(positional(p) for p in step.predicates):
+                    r = self.filtered(self.beyond(r, step.axis, step.test, t), step.predicates, t, None)
+                    continue
                 key = [r.item.col("doc_id"), r.item.col("pre")]
                 r = self.settled(self.filtered(self.axis(r, step.axis, step.test, t), step.predicates, t, key if step.predicates else None), step.axis)
             elif isinstance(r.item, V) and step.axis == "self":
@@ -555,6 +558,14 @@ class Compiler:
         joined = r.df.join(hit.df, related(axis, c, hit.item))
         return Relation(replace(r.tuples, df=joined, order=[hit.item.col("doc_id"), hit.item.col("pre")]), hit.item)
 
+    def beyond(self, r: Relation, axis: str, test: Test, t: Tuples) -> Relation:
+        """A step along following or preceding of which only the nodes reached matter."""
+        from xylem.operators.axes import beyond, tested
+
+        c: Node = r.item
+        contexts = r.df.select(*(c.col(k).alias(k) for k in ("doc_id", "pre", "size")))
+        return self.nodes(c.store, beyond(tested(c.store.frame(axis, test), test, "element", axis), contexts, axis), t)
+
     def settled(self, r: Relation, axis: str) -> Relation:
         """A step's result without the columns of its contexts; each node once, unless the axis reaches none twice."""
         if r.tuples.vars:
