@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from xylem.llm.learn import labelled, remainder
 from xylem.llm.shared import over_texts
 
-#: Most labelled rows of each class that are read, most learned terms, and the score that counts as toxic.
-SAMPLE, TERMS, TOXIC = 4000, 400, 0.3
+#: Most labelled rows of each class that are read, and the score that counts as toxic.
+SAMPLE, TOXIC = 4000, 0.3
 #: Toxic documents that must have a learned term, and their least share of those that have it.
 SUPPORT, SHARE = 4, 0.9
 #: Characters of context on either side of a find.
@@ -152,7 +152,7 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 def terms(rows: DataFrame) -> list[str]:
-    """Words and beginnings that mark toxic documents in the sample."""
+    """All words and beginnings that mark toxic documents in the sample, whose size bounds them."""
 
     def run(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -160,7 +160,7 @@ def terms(rows: DataFrame) -> list[str]:
             for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = {w for w in _WORD.findall((text or "").lower()) if len(w) > 3}
                 seen[label].update(words)
-                seen[label].update({w[:k] + "*" for w in words for k in (5, 6)if len(w) > k})
+                seen[label].update({w[:k] + "*" for w in words for k in (5, 6) if len(w) > k})
         keys = sorted(set(seen[1]))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([seen[k][w] for w in keys], pa.int64()) for k in (0, 1))], ["term", "clean", "toxic"])
         keys = sorted(w for w in seen[0] if w not in seen[1])
@@ -168,7 +168,7 @@ def terms(rows: DataFrame) -> list[str]:
 
     sums = over_texts(rows, run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     good = sums.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= SHARE * (F.col("toxic") + F.col("clean") + 0.2)))
-    return [r.term for r in good.orderBy(F.desc("toxic"), "term").limit(TERMS).collect()]
+    return [r.term for r in good.select("term").collect()]
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
