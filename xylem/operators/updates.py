@@ -24,12 +24,6 @@ def told(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     return nodes.join(ends, ["doc_id", "pre"], "left").withColumn("_inside", F.coalesce(F.max("_end").over(so_far) >= F.col("pre"), F.lit(False))).select(*nodes.columns, "_inside")
 
 
-def within(nodes: DataFrame, target: DataFrame) -> DataFrame:
-    """The nodes at and below the targets."""
-    tops = nodes.join(target.select("doc_id", "pre").distinct(), ["doc_id", "pre"])
-    return told(nodes, tops).where("_inside").drop("_inside")
-
-
 def edited(nodes: DataFrame, target: DataFrame, edit) -> DataFrame:
     """``edit(rows, targets)`` applied to each document that has targets."""
     touched = target.select("doc_id").distinct()
