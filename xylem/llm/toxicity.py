@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from xylem.llm.learn import labelled, remainder
 from xylem.llm.shared import over_texts
 
-#: Most labelled rows of each class that are read, and the score that counts as toxic.
-SAMPLE, TOXIC = 4000, 0.3
+#: Most labelled rows of each class that are read, learned terms of the model, and the score that counts as toxic.
+SAMPLE, TERMS, TOXIC = 4000, 400, 0.3
 #: Toxic documents that must have a learned term, and their least share of those that have it.
 SUPPORT, SHARE = 4, 0.9
 #: Characters of context on either side of a find.
@@ -152,7 +152,8 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 def terms(rows: DataFrame) -> list[str]:
-    """All words and beginnings that mark toxic documents in the sample, whose size bounds them."""
+    """The ``TERMS`` commonest of the words and beginnings that mark toxic documents in the sample. Of rarer ones, more
+    pass the test of support and share by chance."""
 
     def run(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -168,7 +169,7 @@ def terms(rows: DataFrame) -> list[str]:
 
     sums = over_texts(rows, run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     good = sums.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= SHARE * (F.col("toxic") + F.col("clean") + 0.2)))
-    return [r.term for r in good.select("term").collect()]
+    return [r.term for r in good.orderBy(F.desc("toxic"), "term").limit(TERMS).collect()]
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
