@@ -310,3 +310,21 @@ def test_debug_mode_names_the_expressions(session):
     with pytest.raises(StaticError) as e:
         session.xquery('for $x in (1, 2) return concat("a", $x + $nothing)')
     assert "concat > arith > var" in e.value.__notes__[0]
+
+
+@pytest.mark.parametrize("axis", ["ancestor", "ancestor-or-self"])
+def test_axis_up_and_down_without_contexts(nested, axis):
+    """Every kind of context, nested ones among them, and no plan in which a node meets more than one row."""
+    for start in ("B", "C", "B/@i", "B/text()"):
+        got = sorted((r.doc_id, r.pre) for r in nested.xquery(f'(collection("n")//{start})/{axis}::node()').collect())
+        want = set()
+        for doc, xml in ((1, NESTED), (2, NESTED.replace("<C/>", ""))):
+            rows = shred(xml)
+            parents = {r[0] for r in rows if r[7] == "B"}
+            for c in (r for r in rows if (r[7] == start if "/" not in start else r[3] in parents and r[4] == ("attribute" if "@" in start else "text"))):
+                for n in rows:
+                    above, below = n[0] < c[0] <= n[0] + n[1], c[0] < n[0] <= c[0] + c[1] and n[4] != "attribute"
+                    want |= {(doc, n[0])} if (above if axis.startswith("ancestor") else below) or ("self" in axis and n[0] == c[0]) else set()
+        assert got == sorted(want), start
+    plan = nested.explain(f'(collection("n")//B)/{axis}::*')
+    assert "Window" in plan and "Join" not in plan

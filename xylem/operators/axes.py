@@ -48,6 +48,23 @@ def beyond(nodes: DataFrame, contexts: DataFrame, axis: str) -> DataFrame:
     return nodes.join(bounds, (F.col("doc_id") == F.col("_d")) & on, "left_semi").where("kind != 'attribute'")
 
 
+def reached(nodes: DataFrame, contexts: DataFrame, axis: str) -> DataFrame:
+    """``nodes`` on the axis ancestor(-or-self) or descendant(-or-self) of any of ``contexts`` (doc_id, pre, size), in one
+    sorted pass over each document: a node is below a context if it comes before the furthest end of the contexts so far,
+    and above one if the next context comes before its own end. No node meets more than one row."""
+    up, itself = axis.startswith("ancestor"), axis.endswith("or-self")
+    names = nodes.columns
+    marks = contexts.select("doc_id", "pre", *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in names if c not in ("doc_id", "pre")), F.col("pre").alias("_at"), (F.col("pre") + F.col("size")).alias("_end"))
+    both = nodes.withColumns({"_at": F.lit(None).cast("long"), "_end": F.lit(None).cast("long")}).unionByName(marks)
+    first = F.col("_at").isNull() != F.lit(itself)  # a context comes before the node it is, if that is on the axis
+    so_far = Window.partitionBy("doc_id").orderBy(F.desc("pre") if up else F.asc("pre"), F.desc(first)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near, far = (F.min("_at") if up else F.max("_at")).over(so_far), F.max("_end").over(so_far)
+    passed = both.withColumns({"_near": near, "_far": far}).where("_at is null")
+    plain = (F.col("kind") != "attribute") | ((F.col("_near") == F.col("pre")) if itself else F.lit(False))
+    on = F.col("_near") <= F.col("pre") + F.col("size") if up else (F.col("_far") >= F.col("pre")) & plain
+    return passed.where(on).select(*names)
+
+
 def tested(frame: DataFrame, test: Test, principal: str, axis: str) -> DataFrame:
     """``frame`` (a node table) filtered by a node test; filters come before the join and reach the scan."""
     kind = test.kind
