@@ -312,7 +312,7 @@ def test_debug_mode_names_the_expressions(session):
     assert "concat > arith > var" in e.value.__notes__[0]
 
 
-@pytest.mark.parametrize("axis", ["ancestor", "ancestor-or-self"])
+@pytest.mark.parametrize("axis", ["ancestor", "ancestor-or-self", "descendant", "descendant-or-self"])
 def test_axis_up_and_down_without_contexts(nested, axis):
     """Every kind of context, nested ones among them, and no plan in which a node meets more than one row."""
     for start in ("B", "C", "B/@i", "B/text()"):

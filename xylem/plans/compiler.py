@@ -501,7 +501,7 @@ class Compiler:
             if isinstance(r.item, Row):
                 r = self.row_step(r, step, t)
             elif isinstance(r.item, Node):
-                if step.axis in ("following", "preceding", "ancestor", "ancestor-or-self") and not (r.tuples.vars or r.links or r.tuples.waiting) and not any(positional(p) for p in step.predicates):
+                if step.axis in ("following", "preceding", "ancestor", "ancestor-or-self", "descendant", "descendant-or-self") and not (r.tuples.vars or r.links or r.tuples.waiting) and not any(positional(p) for p in step.predicates):
                     r = self.filtered(self.beyond(r, step.axis, step.test, t), step.predicates, t, None)
                     continue
                 key = [r.item.col("doc_id"), r.item.col("pre")]
