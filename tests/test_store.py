@@ -328,3 +328,24 @@ def test_axis_up_and_down_without_contexts(nested, axis):
         assert got == sorted(want), start
     plan = nested.explain(f'(collection("n")//B)/{axis}::*')
     assert "Window" in plan and "Join" not in plan
+
+
+def updated(nested, monkeypatch, statements, first):
+    """Updates of nested targets: the text, the numbers, levels, paths and values of all nodes, and no task that holds a document."""
+    plans, keep = [], Session.written
+    monkeypatch.setattr(Session, "written", lambda self, nodes, *more: plans.append(nodes._jdf.queryExecution().toString()) or keep(self, nodes, *more))
+    for x in statements:
+        nested.xquery(x)
+    nodes = nested.catalog.open("n").nodes
+    assert serialised(nodes).where("doc_id = 1").first().xml == first
+    assert plans and not any("InPandas" in p for p in plans)
+    assert not nodes.where("path_id <> crc32(cast(path AS binary))").take(1)
+    from xylem.operators.updates import dense
+
+    names = ["pre", "size", "level", "parent", "kind", "ns", "pfx", "local", "path", "value"]
+    assert sorted([r[n] for n in names] for r in dense(nodes).where("doc_id = 1").collect()) == [list(r) for r in shred(first)]
+
+
+def test_insert_into_nested(nested, monkeypatch):
+    updated(nested, monkeypatch, ['UPDATE insert <E f="1"><G/>t</E> into collection("n")//B', 'UPDATE insert text {"z"} into collection("n")//G', 'UPDATE insert attribute q {"1"} into collection("n")//E'],
+            '<A><B i="1"><C/><B i="2"><C/>t<E f="1" q="1"><G>z</G>t</E></B><D/><E f="1" q="1"><G>z</G>t</E></B><C><B i="3"><D><C/></D><E f="1" q="1"><G>z</G>t</E></B></C>u<D/></A>')

@@ -1,19 +1,28 @@
 """Updates of node tables as DataFrame transforms: each gives the rows of the next version.
 
-``target`` names the nodes to update by (doc_id, pre). Documents without a target keep their rows as they are;
-the others are renumbered, one document at a time.
+``target`` names the nodes to update, once each, by (doc_id, pre, size, level, parent, kind, path_id). No document is held
+in a task: rows are moved by arithmetic on their numbers, or in one sorted pass over each document.
+
+Numbers may have gaps. To make room, all numbers are multiplied by the same factor, so that a place between two nodes
+becomes as many as are put there; that needs no knowledge of the nodes before. Of nodes that end at one place each is
+inside the one before, so their levels tell which of them is to hold what is put there.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.functions.values import StaticError
-from xylem.sources.nodes import SCHEMA, shred
+from xylem.sources.nodes import shred, written
 
-_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+#: Numbers stay below this.
+MOST = 1 << 62
+_UP = "/[^/]*$"
 
 
 def told(nodes: DataFrame, tops: DataFrame) -> DataFrame:
@@ -24,98 +33,145 @@ def told(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     return nodes.join(ends, ["doc_id", "pre"], "left").withColumn("_inside", F.coalesce(F.max("_end").over(so_far) >= F.col("pre"), F.lit(False))).select(*nodes.columns, "_inside")
 
 
-def edited(nodes: DataFrame, target: DataFrame, edit) -> DataFrame:
-    """``edit(rows, targets)`` applied to each document that has targets."""
-    touched = target.select("doc_id").distinct()
-    marked = nodes.join(touched, "doc_id", "left_semi").join(target.select("doc_id", "pre").distinct().withColumn("_hit", F.lit(True)), ["doc_id", "pre"], "left")
-    names = [c for c in nodes.columns if c != "path_id"]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        doc = frame["doc_id"].iloc[0]
-        frame = frame.sort_values("pre")
-        chosen = {int(p) for p, h in zip(frame["pre"], frame["_hit"], strict=True) if h is True or h == True}  # noqa: E712
-        tree = Tree(frame.to_dict("records"))
-        edit(tree, chosen)
-        out = pd.DataFrame(tree.rows(), columns=_NAMES[1:])
-        out["parent"] = out["parent"].astype("Int64")
-        out.insert(0, "doc_id", doc)
-        return out[_NAMES]
-
-    changed = marked.select(*names, "_hit").groupBy("doc_id").applyInPandas(run, SCHEMA).withColumn("path_id", F.crc32(F.col("path").cast("binary")))
-    return nodes.join(touched, "doc_id", "left_anti").select(*nodes.columns).unionByName(changed.select(*nodes.columns))
-
-
-class Item:
-    """A node of a tree in memory."""
-
-    def __init__(self, kind: str, ns: str, pfx: str, local: str, value, number: int | None = None):
-        self.kind, self.ns, self.pfx, self.local, self.value, self.number = kind, ns, pfx, local, value, number
-        self.below: list[Item] = []
-
-
-class Tree:
-    """One document, for editing."""
-
-    def __init__(self, records: list[dict]):
-        self.by: dict[int, Item] = {}
-        self.up: dict[int, Item] = {}
-        self.top = None
-        for r in records:
-            item = Item(r["kind"], r["ns"], r["pfx"], r["local"], None if r["kind"] in ("element", "document") else r["value"], int(r["pre"]))
-            self.by[item.number] = item
-            if pd.isna(r["parent"]):
-                self.top = item
-            else:
-                parent = self.by[int(r["parent"])]
-                parent.below.append(item)
-                self.up[item.number] = parent
-
-    def place(self, number: int) -> tuple[Item, int]:
-        parent = self.up[number]
-        return parent, next(k for k, x in enumerate(parent.below) if x.number == number)
-
-    def rows(self) -> list[list]:
-        out: list[list] = []
-
-        def walk(item: Item, parent: int | None, level: int, path: str) -> None:
-            k = len(out)
-            label = f"{item.pfx}:{item.local}" if item.pfx else item.local
-            step = {"document": "", "element": f"/{label}", "attribute": f"/@{label}", "text": "/text()"}.get(item.kind, f"/{item.kind}()")
-            row = [k, 0, level, parent, item.kind, item.ns, item.pfx, item.local, path + step, item.value]
-            out.append(row)
-            for x in item.below:
-                walk(x, k, level + 1, row[8])
-            row[1] = len(out) - 1 - k
-            plain = [x for x in item.below if x.kind != "attribute"]
-            if item.kind == "element" and all(x.kind == "text" for x in plain):
-                row[9] = "".join(x.value for x in plain)
-
-        walk(self.top, None, 0, "")
-        return out
-
-
-def parsed(xml: str) -> list[Item]:
-    """Content to insert: the nodes of a fragment, attributes of a wrapping ``<_/>`` included."""
-    names = ["pre", "size", "level", "parent", "kind", "ns", "pfx", "local", "path", "value"]
-    tree = Tree([dict(zip(names, r, strict=True)) for r in shred(f"<_>{xml}</_>" if not xml.startswith("<_") else xml)])
-    return tree.top.below[0].below
+def listed(frame: DataFrame, column: str) -> list:
+    """The distinct values of a column that has few: path ids, paths or levels."""
+    return sorted(r[0] for r in frame.select(column).distinct().collect())
 
 
-def insert(nodes: DataFrame, target: DataFrame, xml: str, where: str = "into") -> DataFrame:
-    """A copy of ``xml`` into, preceding or following each target."""
+def with_paths(nodes: DataFrame, target: DataFrame) -> DataFrame:
+    """``target`` with the paths of its nodes, read from the partitions of those paths only."""
+    known = nodes.where(F.col("path_id").isin(listed(target, "path_id"))).select("doc_id", "pre", "path")
+    return target.join(known, ["doc_id", "pre"])
+
+
+def dense(nodes: DataFrame) -> DataFrame:
+    """``nodes`` numbered without gaps, with ``_old``, their numbers before: a sorted pass over nodes and their ends."""
+    starts = nodes.select("doc_id", F.col("pre").alias("_at"), F.lit(0).alias("_end"), F.col("pre").alias("_old"))
+    ends = nodes.select("doc_id", (F.col("pre") + F.col("size")).alias("_at"), F.lit(1).alias("_end"), F.col("pre").alias("_old"))
+    so_far = Window.partitionBy("doc_id").orderBy("_at", "_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = starts.unionByName(ends).withColumn("_n", F.sum(1 - F.col("_end")).over(so_far) - 1)
+    places = counted.groupBy("doc_id", "_old").agg(F.min(F.when(F.col("_end") == 0, F.col("_n"))).alias("_new"), F.max(F.when(F.col("_end") == 1, F.col("_n"))).alias("_last"))
+    out = nodes.withColumnRenamed("pre", "_old").join(places, ["doc_id", "_old"])
+    above = places.select("doc_id", F.col("_old").alias("parent"), F.col("_new").alias("_parent"))
+    out = out.join(above, ["doc_id", "parent"], "left")
+    return out.withColumns({"pre": F.col("_new"), "size": F.col("_last") - F.col("_new"), "parent": F.col("_parent")}).select(*nodes.columns, "_old")
+
+
+def roomy(nodes: DataFrame, target: DataFrame, times: int) -> tuple[DataFrame, DataFrame]:
+    """Both, numbered anew where numbers that are ``times`` as large would be too large."""
+    top = nodes.where((F.col("path_id") == numbered(F.lit(""))) & (F.col("kind") == "document")).agg(F.max(F.col("pre") + F.col("size"))).first()[0]
+    if ((top or 0) + 1) * times < MOST:
+        return nodes, target
+    fresh = dense(nodes)
+    wanted = target.select("doc_id", F.col("pre").alias("_old"))
+    return fresh.drop("_old"), fresh.join(wanted, ["doc_id", "_old"], "left_semi").select(*target.columns)
+
+
+def moved(nodes: DataFrame, times: int, by: int = 0, end: Column | int = 0) -> DataFrame:
+    """``nodes`` with all numbers multiplied and moved on; ``end``: how much further elements reach."""
+    pre, last = F.col("pre") * times, (F.col("pre") + F.col("size")) * times
+    size = last - pre + F.when(F.col("kind").isin("element", "document"), end).otherwise(0)
+    return nodes.withColumns({"pre": pre + by, "size": size.cast("long"), "parent": F.col("parent") * times + by})
+
+
+def valued(nodes: DataFrame, values: DataFrame, ids: list[int]) -> DataFrame:
+    """``nodes`` with other values of some elements, which have one of the path ids: ``values`` (doc_id, pre, _value). Other
+    nodes pass by the join."""
+    here = F.col("path_id").isin(ids)
+    new = values.select("doc_id", "pre", F.struct("_value").alias("_new"))
+    own = nodes.where(here).join(new, ["doc_id", "pre"], "left")
+    value = F.when(F.col("_new").isNotNull() & (F.col("kind") == "element"), F.col("_new")["_value"]).otherwise(F.col("value"))
+    return nodes.where(~here).unionByName(own.withColumn("value", value).select(*nodes.columns))
+
+
+def texts(owners: DataFrame, below: DataFrame) -> DataFrame:
+    """``owners`` (doc_id, pre, path_id) with ``_value``: their text if all that is in ``below`` (doc_id, _owner, pre, kind, value) is text."""
+    text = F.when(F.col("kind") == "text", F.struct("pre", "value"))
+    made = below.where("kind != 'attribute'").groupBy("doc_id", F.col("_owner").alias("pre")).agg(F.min(F.col("kind") == "text").alias("_plain"), F.array_sort(F.collect_list(text)).alias("_texts"))
+    whole = F.array_join(F.transform(F.coalesce("_texts", F.array().cast("array<struct<pre: bigint, value: string>>")), lambda x: x["value"]), "")
+    return owners.join(made, ["doc_id", "pre"], "left").select("doc_id", "pre", F.when(F.coalesce("_plain", F.lit(True)), whole).alias("_value"))
+
+
+def revalued(nodes: DataFrame, owners: DataFrame) -> DataFrame:
+    """``nodes`` with the values of ``owners`` (doc_id, pre, path_id) made anew from what is below them."""
+    here = owners.select("doc_id", F.col("pre").alias("_owner"))
+    below = nodes.withColumn("_owner", F.col("parent")).join(here, ["doc_id", "_owner"], "left_semi")
+    return valued(nodes, texts(owners, below), listed(owners, "path_id"))
+
 
-    def edit(tree: Tree, chosen: set[int]) -> None:
-        for n in chosen:
-            if where == "into":
-                item = tree.by[n]
-                new = parsed(xml)
-                held = [x for x in item.below if x.kind == "attribute"]
-                item.below = held + [x for x in new if x.kind == "attribute"] + item.below[len(held) :] + [x for x in new if x.kind != "attribute"]
-            else:
-                parent, k = tree.place(n)
-                parent.below[k + (where == "following") : k + (where == "following")] = parsed(xml)
+def numbered(path: Column) -> Column:
+    return F.crc32(path.cast("binary"))
 
-    return edited(nodes, target, edit)
+
+def above(target: DataFrame) -> DataFrame:
+    """(doc_id, pre, path_id) of the parents of targets that have paths."""
+    return target.select("doc_id", F.col("parent").alias("pre"), numbered(F.regexp_replace("path", _UP, "")).alias("path_id")).distinct()
+
+
+def parsed(xml: str) -> list[list]:
+    """Content to insert: rows of a fragment, attributes of a wrapping ``<_/>`` included; places, levels and paths count from
+    those of the fragment, and a parent is None at its top."""
+    rows = shred(f"<_>{xml}</_>" if not xml.startswith("<_") else xml)[2:]
+    return [[r[0] - 2, r[1], r[2] - 2, r[3] - 2 if r[3] > 1 else None, r[4], r[5], r[6], r[7], r[8][2:], r[9]] for r in rows]
+
+
+PARTS = "_k long, _size long, _level int, _up long, kind string, ns string, pfx string, local string, _path string, value string"
+
+
+def put(owners: DataFrame, columns: list[str]) -> DataFrame:
+    """Nodes of fragments: rows of ``PARTS`` with ``_base``, the number of the first, and their owner's doc_id, ``_owner``,
+    ``_depth`` and ``_above`` (its path)."""
+    path = F.concat("_above", "_path")
+    return owners.select(
+        "doc_id", (F.col("_base") + F.col("_k")).alias("pre"), F.col("_size").alias("size"), (F.col("_depth") + 1 + F.col("_level")).cast("int").alias("level"),
+        F.coalesce(F.col("_base") + F.col("_up"), F.col("_owner")).alias("parent"), "kind", "ns", "pfx", "local", path.alias("path"), "value", numbered(path).alias("path_id"),
+    ).select(*columns)
+
+
+def insert(nodes: DataFrame, target: DataFrame, xml: str, where: str = "into") -> DataFrame:
+    """A copy of ``xml`` into, preceding or following each target."""
+    rows = parsed(xml)
+    target = target.where(F.col("kind").isin("element", "document") if where == "into" else F.col("parent").isNotNull())
+    levels = listed(target, "level")
+    if not levels or not rows:
+        return nodes
+    marks = [r for r in rows if r[4] == "attribute" and r[3] is None] if where == "into" else []
+    content = [[r[0] - len(marks), *r[1:3], None if r[3] is None else r[3] - len(marks), *r[4:]] for r in rows if r not in marks]
+    a, m, top, many = len(marks), len(content), levels[-1], levels[-1] - levels[0] + 1
+    times = 1 + m if where == "preceding" else 1 + a + m * many
+    nodes, target = roomy(nodes, target, times)
+    hit = with_paths(nodes, target)
+    first, last = F.col("pre") * times, (F.col("pre") + F.col("size")) * times
+    slot = a + (top - F.col("level")) * m + 1
+    parts = lambda some: F.broadcast(nodes.sparkSession.createDataFrame(some, PARTS))
+    if where == "into":
+        out = moved(nodes, times, end=a + F.least(F.greatest(top - F.col("level") + 1, F.lit(0)), F.lit(many)) * m)
+        owned = hit.withColumns({"_owner": first, "_depth": F.col("level"), "_above": F.col("path")})
+        base = last + slot
+    else:
+        up = {"_depth": F.col("level") - 1, "_above": F.regexp_replace("path", _UP, "")}
+        if where == "following":
+            out = moved(nodes, times, end=F.least(F.greatest(top - F.col("level"), F.lit(0)), F.lit(many)) * m)
+            owned, base = hit.withColumns({"_owner": F.col("parent") * times, **up}), last + slot
+        else:
+            out = moved(nodes, times, by=m)
+            owned, base = hit.withColumns({"_owner": F.col("parent") * times + m, **up}), first
+    columns, owner = nodes.columns, ("doc_id", "_owner", "_depth", "_above", "_base")
+    new = []
+    if marks:
+        held = nodes.where("kind = 'attribute'").join(target.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"], "left_semi").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.max("pre").alias("_last"))
+        owners = owned.join(held, ["doc_id", "pre"], "left").withColumn("_base", F.coalesce("_last", "pre") * times + 1)
+        new.append(put(owners.select(*owner).crossJoin(parts(marks)), columns))
+    if content:
+        new.append(put(owned.withColumn("_base", base).select(*owner).crossJoin(parts(content)), columns))
+        tops = [r for r in content if r[3] is None and r[4] != "attribute"]
+        changed = hit.select("doc_id", "pre", "path_id") if where == "into" else above(hit)
+        changed = changed.withColumn("pre", F.col("pre") * times + (m if where == "preceding" else 0))
+        if tops and all(r[4] == "text" for r in tops):
+            return revalued(reduce(DataFrame.unionByName, new, out), changed)
+        if tops:
+            out = valued(out, changed.withColumn("_value", F.lit(None).cast("string")), listed(changed, "path_id"))
+    return reduce(DataFrame.unionByName, new, out)
 
 
 def delete(nodes: DataFrame, target: DataFrame) -> DataFrame:
@@ -135,58 +191,131 @@ def delete(nodes: DataFrame, target: DataFrame) -> DataFrame:
     return joined.withColumn("value", value).select(*nodes.columns)
 
 
-def delete_undeep(nodes: DataFrame, target: DataFrame) -> DataFrame:
-    """Without the targets; what was below them moves up."""
-
-    def edit(tree: Tree, chosen: set[int]) -> None:
-        for n in sorted(chosen, reverse=True):
-            parent, k = tree.place(n)
-            item = tree.by[n]
-            kept = [x for x in item.below if x.kind != "attribute"]
-            parent.below[k : k + 1] = kept
-            for x in kept:
-                if x.number is not None:
-                    tree.up[x.number] = parent
-
-    return edited(nodes, target, edit)
-
+def under(paths: list[str], itself: bool) -> Column:
+    """Whether a node can be below one that has one of ``paths``, or be it."""
+    path = F.col("path")
+    return reduce(Column.__or__, (path.startswith(p + "/") | (path == p) if itself else path.startswith(p + "/") for p in paths))
 
-def replace(nodes: DataFrame, target: DataFrame, make) -> DataFrame:
-    """Each target replaced by ``make(xml of the target)``; every one sees the original document."""
-    from xylem.sources.nodes import written
 
-    def edit(tree: Tree, chosen: set[int]) -> None:
-        names = ["pre", "size", "level", "parent", "kind", "ns", "pfx", "local", "path", "value"]
-        rows = [dict(zip(names, r, strict=True)) for r in tree.rows()]
-        numbers = {}
-        order = []
+def around(nodes: DataFrame, target: DataFrame, levels: list[int]) -> tuple[DataFrame, dict[int, Column]]:
+    """``nodes`` with the targets they are at or below, by the targets' levels: (pre, parent, kind), null where there is
+    none. Of one level, the last target before a node in document order is the only one it can be in."""
+    names = nodes.columns
+    marks = target.select("doc_id", "pre", *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in names if c not in ("doc_id", "pre")), F.struct("pre", (F.col("pre") + F.col("size")).alias("end"), "parent", "kind", "level").alias("_mark"))
+    both = nodes.withColumn("_mark", F.lit(None).cast(marks.schema["_mark"].dataType)).unionByName(marks)
+    so_far = Window.partitionBy("doc_id").orderBy("pre", F.col("_mark").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = {n: F.last(F.when(F.col("_mark")["level"] == n, F.col("_mark")), ignorenulls=True).over(so_far) for n in levels}
+    both = both.select(*names, "_mark", *(c.alias(f"_in{n}") for n, c in last.items())).where("_mark is null")
+    held = {n: F.when((F.col(f"_in{n}")["end"] >= F.col("pre")) & (F.col("level") >= n), F.col(f"_in{n}")) for n in levels}
+    return both.select(*names, *(c.alias(f"_in{n}") for n, c in held.items())), {n: F.col(f"_in{n}") for n in levels}
 
-        def walk(item):
-            numbers[item.number] = len(order)
-            order.append(item)
-            for x in item.below:
-                walk(x)
 
-        walk(tree.top)
-        made = {}
-        for n in chosen:
-            k = numbers[n]
-            made[n] = parsed(make(written(rows[k : k + rows[k]["size"] + 1])))
-        for n, new in made.items():
-            parent, k = tree.place(n)
-            parent.below[k : k + 1] = new
-
-    return edited(nodes, target, edit)
+def delete_undeep(nodes: DataFrame, target: DataFrame) -> DataFrame:
+    """Without the targets and their attributes; what was below them moves up. Numbers stay, with gaps."""
+    hit = with_paths(nodes, target.where("kind != 'document'"))
+    levels = listed(hit, "level")
+    if not levels:
+        return nodes
+
+    def climbed(frame: DataFrame, inside: dict[int, Column]) -> DataFrame:
+        """``frame`` with ``_top`` and ``_hops``: the nearest node above that stays, and how many don't before it."""
+        top, hops = F.col("parent"), F.lit(0)
+        for n in reversed(levels):
+            gone = inside[n].isNotNull() & (inside[n]["pre"] == top)
+            top, hops = F.when(gone, inside[n]["parent"]).otherwise(top), hops + gone.cast("int")
+        return frame.withColumns({"_top": top, "_hops": hops})
+
+    outer, inside = around(hit, target, levels)
+    own = climbed(outer, inside)
+    steps = F.split("path", "/")
+    tops = own.select("doc_id", "pre", "_top", numbered(F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1 - F.col("_hops")), "/")).alias("_top_id"))
+    owners = tops.select("doc_id", F.col("_top").alias("pre"), F.col("_top_id").alias("path_id")).distinct()
+    gone = target.where("kind != 'document'").select("doc_id", "pre")
+    kept = nodes.select("doc_id", "pre", "parent", "kind", F.when(F.col("kind") == "text", F.col("value")).alias("value")).where("kind != 'attribute'")
+    kept = kept.join(gone, ["doc_id", "pre"], "left_anti")
+    places = tops.select("doc_id", F.col("pre").alias("parent"), F.col("_top").alias("_owner")).unionByName(owners.select("doc_id", F.col("pre").alias("parent"), F.col("pre").alias("_owner")))
+    nodes = valued(nodes, texts(owners, kept.join(places, ["doc_id", "parent"])), listed(owners, "path_id"))
+
+    near = under(listed(hit, "path"), True)
+    rows, inside = around(nodes.where(near), target, levels)
+    rows = climbed(rows, inside)
+    itself = reduce(Column.__or__, (F.coalesce(inside[n]["pre"] == F.col("pre"), F.lit(False)) for n in levels))
+    rows = rows.where(~itself & ~((F.col("kind") == "attribute") & (F.col("_hops") > 0)))
+    lost = lambda x, i: reduce(Column.__or__, (inside[n].isNotNull() & (i == n) for n in levels))
+    count = sum((inside[n].isNotNull().cast("int") for n in levels), F.lit(0))
+    path = F.when(count > 0, F.array_join(F.filter(F.split("path", "/"), lambda x, i: ~lost(x, i)), "/")).otherwise(F.col("path"))
+    rows = rows.withColumns({"parent": F.col("_top"), "level": (F.col("level") - count).cast("int"), "path": path}).withColumn("path_id", numbered(F.col("path")))
+    return nodes.where(~near).unionByName(rows.select(*nodes.columns))
+
+
+def replace(nodes: DataFrame, target: DataFrame, make, keep) -> DataFrame:
+    """Each target replaced by ``make(xml of the target)``; every one sees the original document. Only a target's own nodes
+    come together in a task. ``keep`` stores the new nodes: room is made for as many as the largest has."""
+    target = target.where("parent is not null")
+    before = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("pre") + F.col("size")
+    target = target.withColumn("_end", F.max(end).over(before)).where("_end is null or _end < pre").drop("_end")  # the outermost
+    hit = with_paths(nodes, target)
+    paths = listed(hit, "path")
+    if not paths:
+        return nodes
+    near, names = under(paths, True), ["pre", "parent", "kind", "pfx", "local", "value"]
+
+    def passed(nodes: DataFrame, target: DataFrame) -> DataFrame:
+        """Nodes that may be in a target, with ``_top``: the number of the one they are in."""
+        marks = target.select("doc_id", "pre", *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns if c not in ("doc_id", "pre")), F.struct("pre", end.alias("end")).alias("_mark"))
+        both = nodes.where(near).withColumn("_mark", F.lit(None).cast(marks.schema["_mark"].dataType)).unionByName(marks)
+        so_far = Window.partitionBy("doc_id").orderBy("pre", F.col("_mark").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(so_far)).where("_mark is null")
+        return both.withColumn("_top", F.when(F.col("_last")["end"] >= F.col("pre"), F.col("_last")["pre"])).select(*nodes.columns, "_top")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, pa.string() if k == "string" else pa.int32() if k == "int" else pa.int64()) for n, k in (x.split() for x in f"doc_id long, _top long, {PARTS}".split(", "))])
+        for batch in batches:
+            out = []
+            for doc, top, rows in zip(*batch.columns, strict=True):
+                out += [[doc.as_py(), top.as_py(), *r] for r in parsed(make(written(rows.as_py())))]
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    whole = passed(nodes, target).where("_top is not null").groupBy("doc_id", "_top").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
+    made = keep(whole.mapInArrow(run, f"doc_id long, _top long, {PARTS}"))
+    times = (made.agg(F.max("_k")).first()[0] or 0) + 1
+    roomier, target = roomy(nodes, target, times)
+    if roomier is not nodes:
+        places = dense(nodes).select("doc_id", F.col("_old").alias("_top"), F.col("pre").alias("_new"))
+        made = made.join(places, ["doc_id", "_top"]).withColumn("_top", F.col("_new")).drop("_new")
+        nodes, hit = roomier, with_paths(roomier, target)
+    left = nodes.where(~near).unionByName(passed(nodes, target).where("_top is null").drop("_top"))
+    out = moved(left, times, end=times - 1)
+    owners = hit.select("doc_id", F.col("pre").alias("_top"), (F.col("pre") * times).alias("_base"), (F.col("parent") * times).alias("_owner"), (F.col("level") - 1).alias("_depth"), F.regexp_replace("path", _UP, "").alias("_above"))
+    out = out.unionByName(put(made.join(owners, ["doc_id", "_top"]), nodes.columns))
+    changed = above(hit).withColumn("pre", F.col("pre") * times)
+    mixed = made.where("_up is null and kind not in ('text', 'attribute')").join(owners, ["doc_id", "_top"]).select("doc_id", F.col("_owner").alias("pre")).distinct()
+    plain = changed.join(mixed, ["doc_id", "pre"], "left_anti")
+    out = valued(out, changed.join(mixed, ["doc_id", "pre"], "left_semi").withColumn("_value", F.lit(None).cast("string")), listed(changed, "path_id"))
+    return revalued(out, plain) if plain.take(1) else out
 
 
 def rename(nodes: DataFrame, target: DataFrame, name: str) -> DataFrame:
-    """Elements and attributes renamed by a join with the targets; the paths below follow, document by document."""
+    """Elements and attributes renamed, and their steps in the paths of what is below them, in one pass over the nodes that
+    have such paths."""
     pfx, _, local = name.rpartition(":")
-    hit = target.select("doc_id", "pre").distinct().withColumn("_hit", F.lit(True))
-    joined = nodes.join(hit, ["doc_id", "pre"], "left")
-    on = F.col("_hit").isNotNull() & F.col("kind").isin("element", "attribute")
-    renamed = joined.withColumn("local", F.when(on, local).otherwise(F.col("local"))).withColumn("pfx", F.when(on, pfx).otherwise(F.col("pfx"))).drop("_hit").select(*nodes.columns)
-    return edited(renamed, target, lambda tree, chosen: None)
+    target = target.where(F.col("kind").isin("element", "attribute"))
+    levels = listed(target, "level")
+    if not levels:
+        return nodes
+    near = under(listed(with_paths(nodes, target), "path"), True)
+    rows, inside = around(nodes.where(near), target, levels)
+    itself = reduce(Column.__or__, (F.coalesce(inside[n]["pre"] == F.col("pre"), F.lit(False)) for n in levels))
+    at = lambda i: reduce(Column.__or__, (inside[n].isNotNull() & (i == n) for n in levels))
+    path = F.array_join(F.transform(F.split("path", "/"), lambda x, i: F.when(at(i), F.concat(F.when(x.startswith("@"), "@").otherwise(""), F.lit(name))).otherwise(x)), "/")
+    path = F.when(reduce(Column.__or__, (inside[n].isNotNull() for n in levels)), path).otherwise(F.col("path"))
+    rows = rows.withColumns({"local": F.when(itself, local).otherwise(F.col("local")), "pfx": F.when(itself, pfx).otherwise(F.col("pfx")), "path": path}).withColumn("path_id", numbered(F.col("path")))
+    return nodes.where(~near).unionByName(rows.select(*nodes.columns))
 
 
 def checked(kind: str) -> None:

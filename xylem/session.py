@@ -514,17 +514,17 @@ class Session:
         r = compiler.relation(over, Tuples(None))  # after the triggers, which may make a version themselves
         if not isinstance(r.item, Node):
             raise StaticError("SE2020", "updates need stored nodes")
-        target = r.df.select(r.item.col("doc_id").alias("doc_id"), r.item.col("pre").alias("pre")).distinct()
+        target = self.kept(r.df.select(*(r.item.col(c).alias(c) for c in ("doc_id", "pre", "size", "level", "parent", "kind", "path_id"))).distinct(), "targets")
         store: NodeStore = r.item.store
         nodes = store.nodes
         if kind == "insert":
             out = nodes if new is None else updates.insert(nodes, target, new, e.info["where"])
         elif kind == "replace":
             name, template = e.info["name"], e.args[1]
-            out = updates.replace(nodes, target, lambda xml: fragment(template, {name: xml}))
+            out = updates.replace(nodes, target, lambda xml: fragment(template, {name: xml}), lambda made: self.kept(made, "made"))
         else:
             out = {"delete": lambda: updates.delete(nodes, target), "delete_undeep": lambda: updates.delete_undeep(nodes, target), "rename": lambda: updates.rename(nodes, target, e.info.get("new"))}[kind]()
-        self.replace_store(store, store.replaced(self.written(out)))
+        self.replace_store(store, store.replaced(self.written(out, kind == "delete")))
         self.fire("after", event, target_name, None)
         return self.done(kind)
 
@@ -558,9 +558,14 @@ class Session:
                 break
         self._scratch = []
 
-    def written(self, nodes: DataFrame) -> DataFrame:
+    def written(self, nodes: DataFrame, spread: bool = True) -> DataFrame:
         """A version, stored: it doesn't carry the plans of those before it."""
-        return stored(self.spark, nodes, self.fresh_folder("version"))
+        return stored(self.spark, nodes, self.fresh_folder("version"), spread)
+
+    def kept(self, frame: DataFrame, stem: str) -> DataFrame:
+        """``frame``, stored as it is and read back."""
+        frame.write.parquet(folder := self.fresh_folder(stem))
+        return self.spark.read.schema(frame.schema).parquet(folder)
 
     def replace_store(self, old: NodeStore, new: NodeStore) -> None:
         """The next version takes the old one's names."""

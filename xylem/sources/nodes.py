@@ -22,23 +22,39 @@ SCHEMA = "doc_id long, pre long, size long, level int, parent long, kind string,
 GAP = 1
 #: Nodes in an Arrow batch, about.
 BATCH = 20_000
+#: Characters that are parsed at once.
+PIECE = 1 << 16
 
 
-def shred(xml: str, strip_space: bool = True) -> list[list]:
-    """Nodes of one document: [pre, size, level, parent, kind, ns, pfx, local, path, value] in document order."""
-    out: list[list] = [[0, 0, 0, None, "document", "", "", "", "", None]]
-    stack, scopes, held = [0], [{"xml": "http://www.w3.org/XML/1998/namespace", "": ""}], []
+def shredded(xml: str, strip_space: bool = True) -> Iterator[list[list]]:
+    """Nodes of one document as :func:`shred` has them, in lists, each node once its end is reached: only the elements
+    that are open are held, however long the document is."""
+    out: list[list] = []
+    stack: list[list] = [[0, 0, 0, None, "document", "", "", "", "", None]]
+    texts: list[list | None] = [None]  # of each open node: the texts below it, none if it has other content
+    scopes, held, seen = [{"xml": "http://www.w3.org/XML/1998/namespace", "": ""}], [], 1
     parser = expat.ParserCreate()
     parser.buffer_text, parser.ordered_attributes = True, True
 
-    def add(kind: str, pfx: str = "", local: str = "", value: str | None = None, ns: str = "") -> int:
-        top = out[stack[-1]]
+    def add(kind: str, pfx: str = "", local: str = "", value: str | None = None, ns: str = "") -> list:
+        nonlocal seen
+        top = stack[-1]
         label = f"{pfx}:{local}" if pfx else local
         step = {"element": label, "attribute": f"@{label}", "text": "text()"}.get(kind, f"{kind}()")
-        out.append([len(out), 0, top[2] + 1, top[0], kind, ns, pfx, local, f"{top[8]}/{step}", value])
-        return len(out) - 1
+        row = [seen, 0, top[2] + 1, top[0], kind, ns, pfx, local, f"{top[8]}/{step}", value]
+        seen += 1
+        if kind == "text":
+            if texts[-1] is not None:
+                texts[-1].append(value)
+        elif kind != "attribute":
+            texts[-1] = None
+        if kind != "element":
+            out.append(row)
+        return row
 
     def text() -> None:
+        if not held:
+            return
         raw = "".join(held)
         held.clear()
         if raw and (raw.strip() or not strip_space):
@@ -47,32 +63,45 @@ def shred(xml: str, strip_space: bool = True) -> list[list]:
     def start(name, attributes):
         text()
         pairs = list(zip(attributes[::2], attributes[1::2], strict=True))
-        scope = dict(scopes[-1])
-        scope.update({(k[6:] if k != "xmlns" else ""): v for k, v in pairs if k == "xmlns" or k.startswith("xmlns:")})
+        scope = scopes[-1]
+        if any(k.startswith("xmlns") for k, _ in pairs):
+            scope = scope | {(k[6:] if k != "xmlns" else ""): v for k, v in pairs if k == "xmlns" or k.startswith("xmlns:")}
         scopes.append(scope)
         pfx, _, local = name.rpartition(":")
         stack.append(add("element", pfx, local, ns=scope.get(pfx, "")))
+        texts.append([])
         for k, v in pairs:
             if k != "xmlns" and not k.startswith("xmlns:"):
                 apfx, _, alocal = k.rpartition(":")
                 add("attribute", apfx, alocal, v, scope.get(apfx, "") if apfx else "")
 
-    def end(name):
+    def end(name=None):
         text()
         scopes.pop()
-        k = stack.pop()
-        out[k][1] = len(out) - 1 - k
-        below = [n for n in out[k + 1 :] if n[4] != "attribute"]
-        if all(n[4] == "text" and n[3] == k for n in below):
-            out[k][9] = "".join(n[9] for n in below)
+        row, below = stack.pop(), texts.pop()
+        row[1] = seen - 1 - row[0]
+        if below is not None:
+            row[9] = "".join(below)
+        out.append(row)
 
     parser.StartElementHandler, parser.EndElementHandler = start, end
     parser.CharacterDataHandler = held.append
     parser.CommentHandler = lambda data: (text(), add("comment", value=data))
     parser.ProcessingInstructionHandler = lambda target, data: (text(), add("processing-instruction", "", target, data))
-    parser.Parse(xml, True)
-    out[0][1] = len(out) - 1
-    return out
+    for at in range(0, len(xml), PIECE):
+        parser.Parse(xml[at : at + PIECE], False)
+        if out:
+            yield out
+            out.clear()
+    parser.Parse("", True)
+    held.clear()
+    end()
+    yield out
+
+
+def shred(xml: str, strip_space: bool = True) -> list[list]:
+    """Nodes of one document: [pre, size, level, parent, kind, ns, pfx, local, path, value] in document order."""
+    return sorted((n for some in shredded(xml, strip_space) for n in some), key=lambda n: n[0])
 
 
 def node_table(docs: DataFrame, strip_space: bool = True) -> DataFrame:
@@ -88,13 +117,14 @@ def node_table(docs: DataFrame, strip_space: bool = True) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["doc_id", *names])
 
         for batch in batches:
-            for doc, xml in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                nodes = shred(xml, strip_space)
-                held += nodes
-                owners += [doc] * len(nodes)
-                if len(held) >= BATCH:
-                    yield table()
-                    held, owners = [], []
+            for doc, xml in zip(*batch.columns, strict=True):
+                doc = doc.as_py()
+                for nodes in shredded(xml.as_py(), strip_space):
+                    held += nodes
+                    owners += [doc] * len(nodes)
+                    if len(held) >= BATCH:
+                        yield table()
+                        held, owners = [], []
         if held:
             yield table()
 
@@ -142,11 +172,14 @@ class NodeStore:
         return self.frame().where("kind != 'document'").groupBy("path", "kind").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def stored(spark, nodes: DataFrame, folder: str) -> DataFrame:
-    """A node table written by path, each file in document order, and read back."""
+def stored(spark, nodes: DataFrame, folder: str, spread: bool = True) -> DataFrame:
+    """A node table written by path, each file in document order, and read back. Without ``spread`` the rows are written
+    where they are: those of a stored table are by path already."""
     names = [c for c in nodes.columns if c != "path_id"]
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, nodes.rdd.getNumPartitions())))  # files of a path follow the input's size, not its ids
-    nodes.repartition("path_id", spread).sortWithinPartitions("path_id", "doc_id", "pre").write.mode("overwrite").partitionBy("path_id").parquet(folder)
+    if spread:
+        files = F.pmod(F.xxhash64("doc_id"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))  # adaptive execution joins those of small inputs
+        nodes = nodes.repartition("path_id", files)
+    nodes.sortWithinPartitions("path_id", "doc_id", "pre").write.mode("overwrite").partitionBy("path_id").parquet(folder)
     return spark.read.schema(nodes.select(*names, "path_id").schema).parquet(folder).select(*nodes.columns)
 
 
