@@ -349,3 +349,11 @@ def updated(nested, monkeypatch, statements, first):
 def test_insert_into_nested(nested, monkeypatch):
     updated(nested, monkeypatch, ['UPDATE insert <E f="1"><G/>t</E> into collection("n")//B', 'UPDATE insert text {"z"} into collection("n")//G', 'UPDATE insert attribute q {"1"} into collection("n")//E'],
             '<A><B i="1"><C/><B i="2"><C/>t<E f="1" q="1"><G>z</G>t</E></B><D/><E f="1" q="1"><G>z</G>t</E></B><C><B i="3"><D><C/></D><E f="1" q="1"><G>z</G>t</E></B></C>u<D/></A>')
+
+
+def test_shredding_holds_open_elements_only():
+    """Nodes leave while the document is read, those of a long one too."""
+    from xylem.sources.nodes import PIECE, shredded
+
+    parts = [len(x) for x in shredded("<a>" + "<b k='1'>t</b>" * (PIECE // 3) + "</a>")]
+    assert len(parts) > 3 and max(parts) < PIECE and sum(parts) == 2 + 3 * (PIECE // 3)
