@@ -357,3 +357,8 @@ def test_shredding_holds_open_elements_only():
 
     parts = [len(x) for x in shredded("<a>" + "<b k='1'>t</b>" * (PIECE // 3) + "</a>")]
     assert len(parts) > 3 and max(parts) < PIECE and sum(parts) == 2 + 3 * (PIECE // 3)
+
+
+def test_rename_nested(nested, monkeypatch):
+    updated(nested, monkeypatch, ['UPDATE rename collection("n")//B on X', 'UPDATE rename collection("n")//@i on j'],
+            '<A><X j="1"><C/><X j="2"><C/>t</X><D/></X><C><X j="3"><D><C/></D></X></C>u<D/></A>')
