@@ -362,3 +362,8 @@ def test_shredding_holds_open_elements_only():
 def test_rename_nested(nested, monkeypatch):
     updated(nested, monkeypatch, ['UPDATE rename collection("n")//B on X', 'UPDATE rename collection("n")//@i on j'],
             '<A><X j="1"><C/><X j="2"><C/>t</X><D/></X><C><X j="3"><D><C/></D></X></C>u<D/></A>')
+
+
+def test_delete_undeep_nested(nested, monkeypatch):
+    updated(nested, monkeypatch, ['UPDATE delete_undeep collection("n")//B', 'UPDATE insert <E/> into collection("n")//C'],
+            "<A><C><E/></C><C><E/></C>t<D/><C><D><C><E/></C></D><E/></C>u<D/></A>")
