@@ -367,3 +367,8 @@ def test_rename_nested(nested, monkeypatch):
 def test_delete_undeep_nested(nested, monkeypatch):
     updated(nested, monkeypatch, ['UPDATE delete_undeep collection("n")//B', 'UPDATE insert <E/> into collection("n")//C'],
             "<A><C><E/></C><C><E/></C>t<D/><C><D><C><E/></C></D><E/></C>u<D/></A>")
+
+
+def test_replace_nested(nested, monkeypatch):
+    updated(nested, monkeypatch, ['UPDATE replace $n in collection("n")//B with <W>{$n}</W>', 'UPDATE insert <E/> following collection("n")//W'],
+            '<A><W><B i="1"><C/><B i="2"><C/>t</B><D/></B></W><E/><C><W><B i="3"><D><C/></D></B></W><E/></C>u<D/></A>')
