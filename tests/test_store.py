@@ -372,3 +372,8 @@ def test_delete_undeep_nested(nested, monkeypatch):
 def test_replace_nested(nested, monkeypatch):
     updated(nested, monkeypatch, ['UPDATE replace $n in collection("n")//B with <W>{$n}</W>', 'UPDATE insert <E/> following collection("n")//W'],
             '<A><W><B i="1"><C/><B i="2"><C/>t</B><D/></B></W><E/><C><W><B i="3"><D><C/></D></B></W><E/></C>u<D/></A>')
+
+
+def test_insert_following_nested(nested, monkeypatch):
+    updated(nested, monkeypatch, ['UPDATE insert <E>x</E> following collection("n")//B', 'UPDATE insert <F/> following collection("n")//B'],
+            '<A><B i="1"><C/><B i="2"><C/>t</B><F/><E>x</E><D/></B><F/><E>x</E><C><B i="3"><D><C/></D></B><F/><E>x</E></C>u<D/></A>')
