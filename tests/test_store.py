@@ -377,3 +377,8 @@ def test_replace_nested(nested, monkeypatch):
 def test_insert_following_nested(nested, monkeypatch):
     updated(nested, monkeypatch, ['UPDATE insert <E>x</E> following collection("n")//B', 'UPDATE insert <F/> following collection("n")//B'],
             '<A><B i="1"><C/><B i="2"><C/>t</B><F/><E>x</E><D/></B><F/><E>x</E><C><B i="3"><D><C/></D></B><F/><E>x</E></C>u<D/></A>')
+
+
+def test_insert_preceding_nested(nested, monkeypatch):
+    updated(nested, monkeypatch, ['UPDATE insert <E/> preceding collection("n")//B', 'UPDATE insert <F/> preceding collection("n")//C'],
+            '<A><E/><B i="1"><F/><C/><E/><B i="2"><F/><C/>t</B><D/></B><F/><C><E/><B i="3"><D><F/><C/></D></B></C>u<D/></A>')
