@@ -382,3 +382,9 @@ def test_insert_following_nested(nested, monkeypatch):
 def test_insert_preceding_nested(nested, monkeypatch):
     updated(nested, monkeypatch, ['UPDATE insert <E/> preceding collection("n")//B', 'UPDATE insert <F/> preceding collection("n")//C'],
             '<A><E/><B i="1"><F/><C/><E/><B i="2"><F/><C/>t</B><D/></B><F/><C><E/><B i="3"><D><F/><C/></D></B></C>u<D/></A>')
+
+
+def test_full_text_after_an_update_that_holds_no_document(nested, monkeypatch):
+    nested.xquery('CREATE FULL-TEXT INDEX "t" ON collection("n")/A TYPE "delimited-value"')
+    updated(nested, monkeypatch, ['UPDATE insert <E>zebra</E> into collection("n")/A/B/C'], '<A><B i="1"><C><E>zebra</E></C><B i="2"><C/>t</B><D/></B><C><B i="3"><D><C/></D></B></C>u<D/></A>')
+    assert [r.item for r in nested.xquery('for $d in ftindex-scan("t", "zebra") return $d/doc_id').collect()] == [1]
