@@ -388,3 +388,8 @@ def test_full_text_after_an_update_that_holds_no_document(nested, monkeypatch):
     nested.xquery('CREATE FULL-TEXT INDEX "t" ON collection("n")/A TYPE "delimited-value"')
     updated(nested, monkeypatch, ['UPDATE insert <E>zebra</E> into collection("n")/A/B/C'], '<A><B i="1"><C><E>zebra</E></C><B i="2"><C/>t</B><D/></B><C><B i="3"><D><C/></D></B></C>u<D/></A>')
     assert [r.item for r in nested.xquery('for $d in ftindex-scan("t", "zebra") return $d/doc_id').collect()] == [1]
+
+
+def test_triggered_updates_hold_no_document(nested, monkeypatch):
+    nested.xquery('CREATE TRIGGER "log" AFTER INSERT ON collection("n")/A FOR EACH STATEMENT DO { UPDATE rename collection("n")/A/plain on kept ; }')
+    updated(nested, monkeypatch, ['UPDATE insert <plain/> into collection("n")/A'], '<A><B i="1"><C/><B i="2"><C/>t</B><D/></B><C><B i="3"><D><C/></D></B></C>u<D/><kept/></A>')
