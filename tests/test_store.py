@@ -393,3 +393,12 @@ def test_full_text_after_an_update_that_holds_no_document(nested, monkeypatch):
 def test_triggered_updates_hold_no_document(nested, monkeypatch):
     nested.xquery('CREATE TRIGGER "log" AFTER INSERT ON collection("n")/A FOR EACH STATEMENT DO { UPDATE rename collection("n")/A/plain on kept ; }')
     updated(nested, monkeypatch, ['UPDATE insert <plain/> into collection("n")/A'], '<A><B i="1"><C/><B i="2"><C/>t</B><D/></B><C><B i="3"><D><C/></D></B></C>u<D/><kept/></A>')
+
+
+@pytest.mark.parametrize("axis", ["following-sibling", "preceding-sibling"])
+def test_siblings_without_contexts(nested, axis):
+    got = {(r.doc_id, r.pre) for r in nested.xquery(f'collection("n")//B/{axis}::node()').collect() if r.doc_id == 1}
+    rows = [r for r in shred(NESTED) if r[4] != "attribute"]
+    assert got == {(1, n[0]) for c in rows if c[7] == "B" for n in rows if n[3] == c[3] and (n[0] > c[0] if axis[0] == "f" else n[0] < c[0])}
+    plan = nested.explain(f'collection("n")//B/{axis}::*')
+    assert "LeftSemi" in plan or "left semi" in plan.lower()

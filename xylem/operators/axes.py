@@ -48,6 +48,15 @@ def beyond(nodes: DataFrame, contexts: DataFrame, axis: str) -> DataFrame:
     return nodes.join(bounds, (F.col("doc_id") == F.col("_d")) & on, "left_semi").where("kind != 'attribute'")
 
 
+def beside(nodes: DataFrame, contexts: DataFrame, axis: str) -> DataFrame:
+    """``nodes`` on the axis following-sibling or preceding-sibling of any of ``contexts``: one bound for each parent decides it."""
+    after = axis == "following-sibling"
+    contexts = contexts.where("kind != 'attribute'").groupBy(F.col("doc_id").alias("_d"), F.col("parent").alias("_p"))
+    bounds = contexts.agg((F.min("pre") if after else F.max("pre")).alias("_bound"))
+    on = F.col("pre") > F.col("_bound") if after else F.col("pre") < F.col("_bound")
+    return nodes.join(bounds, (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_p")) & on, "left_semi").where("kind != 'attribute'")
+
+
 def reached(nodes: DataFrame, contexts: DataFrame, axis: str) -> DataFrame:
     """``nodes`` on the axis ancestor(-or-self) or descendant(-or-self) of any of ``contexts`` (doc_id, pre, size), in one
     sorted pass over each document: a node is below a context if it comes before the furthest end of the contexts so far,

@@ -501,7 +501,7 @@ class Compiler:
             if isinstance(r.item, Row):
                 r = self.row_step(r, step, t)
             elif isinstance(r.item, Node):
-                if step.axis in ("following", "preceding", "ancestor", "ancestor-or-self", "descendant", "descendant-or-self") and not (r.tuples.vars or r.links or r.tuples.waiting) and not any(positional(p) for p in step.predicates):
+                if step.axis in ("following", "preceding", "ancestor", "ancestor-or-self", "descendant", "descendant-or-self", "following-sibling", "preceding-sibling") and not (r.tuples.vars or r.links or r.tuples.waiting) and not any(positional(p) for p in step.predicates):
                     r = self.filtered(self.beyond(r, step.axis, step.test, t), step.predicates, t, None)
                     continue
                 key = [r.item.col("doc_id"), r.item.col("pre")]
@@ -560,11 +560,12 @@ class Compiler:
 
     def beyond(self, r: Relation, axis: str, test: Test, t: Tuples) -> Relation:
         """A step along a wide axis of which only the nodes reached matter."""
-        from xylem.operators.axes import beyond, reached, tested
+        from xylem.operators.axes import beside, beyond, reached, tested
 
         c: Node = r.item
-        contexts = r.df.select(*(c.col(k).alias(k) for k in ("doc_id", "pre", "size")))
-        find = beyond if axis in ("following", "preceding") else reached
+        sibling = axis.endswith("sibling")
+        contexts = r.df.select(*(c.col(k).alias(k) for k in (("doc_id", "pre", "parent", "kind") if sibling else ("doc_id", "pre", "size"))))
+        find = beside if sibling else beyond if axis in ("following", "preceding") else reached
         return self.nodes(c.store, find(tested(c.store.frame(axis, test), test, "element", axis), contexts, axis), t)
 
     def settled(self, r: Relation, axis: str) -> Relation:
