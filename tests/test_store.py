@@ -402,3 +402,14 @@ def test_siblings_without_contexts(nested, axis):
     assert got == {(1, n[0]) for c in rows if c[7] == "B" for n in rows if n[3] == c[3] and (n[0] > c[0] if axis[0] == "f" else n[0] < c[0])}
     plan = nested.explain(f'collection("n")//B/{axis}::*')
     assert "LeftSemi" in plan or "left semi" in plan.lower()
+
+
+def test_load_in_small_batches(spark, monkeypatch):
+    from xylem.sources import nodes
+
+    key, seen, keep = "spark.sql.execution.arrow.maxBytesPerBatch", [], nodes.stored
+    before = spark.conf.get(key)
+    monkeypatch.setattr(nodes, "stored", lambda *given: seen.append(int(spark.conf.get(key))) or keep(*given))
+    store = Session(spark).load_xml("n", spark.createDataFrame([(n, f"<A>{n}</A>") for n in range(3)], "doc_id long, xml string"))
+    assert seen == [nodes.BATCH_BYTES] and spark.conf.get(key) == before
+    assert sorted(r.value for r in store.nodes.where("kind = 'text'").collect()) == ["0", "1", "2"]

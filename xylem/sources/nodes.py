@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
@@ -22,6 +23,8 @@ SCHEMA = "doc_id long, pre long, size long, level int, parent long, kind string,
 GAP = 1
 #: Nodes in an Arrow batch, about.
 BATCH = 20_000
+#: Bytes of documents in a batch that goes to Python, about: a document is in one batch, several long ones aren't.
+BATCH_BYTES = 1 << 20
 #: Characters that are parsed at once.
 PIECE = 1 << 16
 
@@ -183,9 +186,23 @@ def stored(spark, nodes: DataFrame, folder: str, spread: bool = True) -> DataFra
     return spark.read.schema(nodes.select(*names, "path_id").schema).parquet(folder).select(*nodes.columns)
 
 
+@contextmanager
+def small_batches(spark) -> Iterator[None]:
+    """Arrow batches of about ``BATCH_BYTES`` for what is run meanwhile: Spark reads the setting when a plan runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def load(session, docs: DataFrame, name: str) -> NodeStore:
     """Shreds ``docs`` (doc_id, xml) and stores the table by path."""
-    return NodeStore(stored(session.spark, node_table(docs), session.fresh_folder(f"nodes-{name}")), docs.select("doc_id"), name)
+    with small_batches(session.spark):
+        nodes = stored(session.spark, node_table(docs), session.fresh_folder(f"nodes-{name}"))
+    return NodeStore(nodes, docs.select("doc_id"), name)
 
 
 def serialised(nodes: DataFrame, method: str = "xml", indent: bool = False, character_map: dict[str, str] | None = None) -> DataFrame:
