@@ -413,3 +413,22 @@ def test_load_in_small_batches(spark, monkeypatch):
     store = Session(spark).load_xml("n", spark.createDataFrame([(n, f"<A>{n}</A>") for n in range(3)], "doc_id long, xml string"))
     assert seen == [nodes.BATCH_BYTES] and spark.conf.get(key) == before
     assert sorted(r.value for r in store.nodes.where("kind = 'text'").collect()) == ["0", "1", "2"]
+
+
+@pytest.mark.parametrize("statement, first", [
+    ('UPDATE rename collection("n")//B on X', '<A><X i="1"><C/><X i="2"><C/>t</X><D/></X><C><X i="3"><D><C/></D></X></C>u<D/></A>'),
+], ids=["rename"])
+def test_updates_pass_over_blocks_of_documents(nested, monkeypatch, statement, first):
+    from xylem.operators import updates
+
+    monkeypatch.setattr(updates, "BLOCK", 2)
+    most, keep = [], updates.marked
+
+    def marked(nodes, *more):
+        both = keep(nodes, *more)
+        most.append(both.where("_mark is null").groupBy("doc_id", "_block").count().agg({"count": "max"}).first()[0])
+        return both
+
+    monkeypatch.setattr(updates, "marked", marked)
+    updated(nested, monkeypatch, [statement], first)
+    assert most and max(most) <= 3  # documents have 16 and 13 nodes

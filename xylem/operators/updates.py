@@ -1,7 +1,8 @@
 """Updates of node tables as DataFrame transforms: each gives the rows of the next version.
 
 ``target`` names the nodes to update, once each, by (doc_id, pre, size, level, parent, kind, path_id). No document is held
-in a task: rows are moved by arithmetic on their numbers, or in one sorted pass over each document.
+in a task: rows are moved by arithmetic on their numbers, or in sorted passes over blocks of each document's numbers; a node
+that reaches into a later block is marked at the start of it.
 
 Numbers may have gaps. To make room, all numbers are multiplied by the same factor, so that a place between two nodes
 becomes as many as are put there; that needs no knowledge of the nodes before. Of nodes that end at one place each is
@@ -10,6 +11,7 @@ inside the one before, so their levels tell which of them is to hold what is put
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,15 +24,38 @@ from xylem.sources.nodes import shred, written
 
 #: Numbers stay below this.
 MOST = 1 << 62
+#: Nodes in a block of a document, about.
+BLOCK = 1 << 16
 _UP = "/[^/]*$"
 
 
-def told(nodes: DataFrame, tops: DataFrame) -> DataFrame:
-    """``nodes`` with ``_inside``: whether a node is at or below one of ``tops`` (doc_id, pre, size). In document order it
-    is, if it comes before the furthest end of the tops so far: one sorted pass over each document."""
-    ends = tops.select("doc_id", "pre", (F.col("pre") + F.col("size")).alias("_end"))
-    so_far = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return nodes.join(ends, ["doc_id", "pre"], "left").withColumn("_inside", F.coalesce(F.max("_end").over(so_far) >= F.col("pre"), F.lit(False))).select(*nodes.columns, "_inside")
+def width(nodes: DataFrame) -> int:
+    """How many numbers a block has, so that about ``BLOCK`` nodes are in one: numbers may have gaps."""
+    numbers = nodes.where((F.col("path_id") == numbered(F.lit(""))) & (F.col("kind") == "document")).agg(F.sum((F.col("pre") + F.col("size") + 1).cast("double"))).first()[0]
+    return max(1, min(MOST, int(BLOCK * numbers / max(1, nodes.count())))) if numbers else MOST
+
+
+def marked(nodes: DataFrame, tops: DataFrame, wide: int, mark: Column) -> DataFrame:
+    """``nodes`` with ``_mark``, null, ``_block`` and ``_at``, their place in it; and ``mark`` of each of ``tops`` (doc_id, pre,
+    size) in every block that it reaches into, at its number or before all others."""
+    first = F.expr(f"pre div {wide}L")
+    marks = tops.withColumn("_mark", mark).withColumn("_block", F.explode(F.sequence(first, F.expr(f"(pre + size) div {wide}L"))))
+    none = [F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns if c != "doc_id"]
+    marks = marks.select("doc_id", *none, "_mark", "_block", F.when(F.col("_block") == first, F.col("pre")).otherwise(-1).alias("_at"))
+    return nodes.withColumns({"_mark": F.lit(None).cast(marks.schema["_mark"].dataType), "_block": first, "_at": F.col("pre")}).unionByName(marks)
+
+
+def order(first: bool = True):
+    """The pass over a block so far; ``first``: a node comes after its own mark."""
+    own = F.col("_mark").isNull() if first else F.col("_mark").isNotNull()
+    return Window.partitionBy("doc_id", "_block").orderBy("_at", own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def told(nodes: DataFrame, tops: DataFrame, wide: int, itself: bool = True) -> DataFrame:
+    """``nodes`` with ``_inside``: whether a node is below one of ``tops`` (doc_id, pre, size), or with ``itself`` is one. In
+    document order it is, if it comes before the furthest end of the tops so far."""
+    both = marked(nodes, tops, wide, F.col("pre") + F.col("size")).withColumn("_last", F.max("_mark").over(order(itself)))
+    return both.where("_mark is null").select(*nodes.columns, F.coalesce(F.col("_last") >= F.col("pre"), F.lit(False)).alias("_inside"))
 
 
 def listed(frame: DataFrame, column: str) -> list:
@@ -38,6 +63,11 @@ def listed(frame: DataFrame, column: str) -> list:
     return sorted(r[0] for r in frame.select(column).distinct().collect())
 
 
+def paths_of(nodes: DataFrame, target: DataFrame) -> list[str]:
+    """The paths that targets can have: those of their path ids."""
+    return listed(nodes.where(F.col("path_id").isin(listed(target, "path_id"))), "path")
+
+
 def with_paths(nodes: DataFrame, target: DataFrame) -> DataFrame:
     """``target`` with the paths of its nodes, read from the partitions of those paths only."""
     known = nodes.where(F.col("path_id").isin(listed(target, "path_id"))).select("doc_id", "pre", "path")
@@ -179,16 +209,23 @@ def delete(nodes: DataFrame, target: DataFrame) -> DataFrame:
 
     Numbers may have gaps, so the nodes left keep theirs; only the text values of the targets' parents are made anew.
     """
-    hit = nodes.join(target.select("doc_id", "pre").distinct(), ["doc_id", "pre"]).where("kind != 'document'")
-    left = told(nodes, hit).where("not _inside").drop("_inside")
-    owners = hit.select(F.col("doc_id").alias("_d"), F.col("parent").alias("_p")).distinct()
-    below = left.where("kind != 'attribute'").join(owners, (F.col("doc_id") == F.col("_d")) & (F.col("parent") == F.col("_p")))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"])
-    made = below.groupBy("_d", "_p").agg(F.min(F.col("kind") == "text").alias("_plain"), texts.alias("_texts"))
-    values = owners.join(made, ["_d", "_p"], "left").select("_d", "_p", F.when(F.coalesce("_plain", F.lit(True)), F.array_join(F.coalesce("_texts", F.array().cast("array<string>")), "")).alias("_value"))
-    joined = left.join(values, (F.col("doc_id") == F.col("_d")) & (F.col("pre") == F.col("_p")), "left")
-    value = F.when(F.col("_p").isNotNull() & (F.col("kind") == "element"), F.col("_value")).otherwise(F.col("value"))
-    return joined.withColumn("value", value).select(*nodes.columns)
+    target = target.where("kind != 'document'")
+    hit, paths = with_paths(nodes, target), paths_of(nodes, target)
+    if not paths:
+        return nodes
+    wide, owners = width(nodes), above(hit)
+    kept = children(nodes, sorted({p.rpartition("/")[0] for p in paths})).join(hit.select("doc_id", "pre"), ["doc_id", "pre"], "left_anti").withColumnRenamed("parent", "_owner")
+    kept = kept.join(owners.select("doc_id", F.col("pre").alias("_owner")), ["doc_id", "_owner"], "left_semi")
+    nodes = valued(nodes, texts(owners, kept), listed(owners, "path_id"))
+    near = under(paths, True)
+    return nodes.where(~near).unionByName(told(nodes.where(near), hit, wide).where("not _inside").drop("_inside"))
+
+
+def children(nodes: DataFrame, paths: list[str], *more: str) -> DataFrame:
+    """(doc_id, pre, parent, kind, value) of nodes, attributes left out, that can be right below one at ``paths``; values of
+    texts only."""
+    below = reduce(Column.__or__, (F.col("path").startswith(p + "/") & (F.col("level") == p.count("/") + 1) for p in paths))
+    return nodes.where(below & (F.col("kind") != "attribute")).select("doc_id", "pre", "parent", "kind", F.when(F.col("kind") == "text", F.col("value")).alias("value"), *more)
 
 
 def under(paths: list[str], itself: bool) -> Column:
@@ -197,13 +234,11 @@ def under(paths: list[str], itself: bool) -> Column:
     return reduce(Column.__or__, (path.startswith(p + "/") | (path == p) if itself else path.startswith(p + "/") for p in paths))
 
 
-def around(nodes: DataFrame, target: DataFrame, levels: list[int]) -> tuple[DataFrame, dict[int, Column]]:
+def around(nodes: DataFrame, target: DataFrame, levels: list[int], wide: int) -> tuple[DataFrame, dict[int, Column]]:
     """``nodes`` with the targets they are at or below, by the targets' levels: (pre, parent, kind), null where there is
     none. Of one level, the last target before a node in document order is the only one it can be in."""
     names = nodes.columns
-    marks = target.select("doc_id", "pre", *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in names if c not in ("doc_id", "pre")), F.struct("pre", (F.col("pre") + F.col("size")).alias("end"), "parent", "kind", "level").alias("_mark"))
-    both = nodes.withColumn("_mark", F.lit(None).cast(marks.schema["_mark"].dataType)).unionByName(marks)
-    so_far = Window.partitionBy("doc_id").orderBy("pre", F.col("_mark").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both, so_far = marked(nodes, target, wide, F.struct("pre", (F.col("pre") + F.col("size")).alias("end"), "parent", "kind", "level")), order()
     last = {n: F.last(F.when(F.col("_mark")["level"] == n, F.col("_mark")), ignorenulls=True).over(so_far) for n in levels}
     both = both.select(*names, "_mark", *(c.alias(f"_in{n}") for n, c in last.items())).where("_mark is null")
     held = {n: F.when((F.col(f"_in{n}")["end"] >= F.col("pre")) & (F.col("level") >= n), F.col(f"_in{n}")) for n in levels}
@@ -225,19 +260,21 @@ def delete_undeep(nodes: DataFrame, target: DataFrame) -> DataFrame:
             top, hops = F.when(gone, inside[n]["parent"]).otherwise(top), hops + gone.cast("int")
         return frame.withColumns({"_top": top, "_hops": hops})
 
-    outer, inside = around(hit, target, levels)
+    wide = width(nodes)
+    outer, inside = around(hit, target, levels, wide)
     own = climbed(outer, inside)
     steps = F.split("path", "/")
-    tops = own.select("doc_id", "pre", "_top", numbered(F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1 - F.col("_hops")), "/")).alias("_top_id"))
-    owners = tops.select("doc_id", F.col("_top").alias("pre"), F.col("_top_id").alias("path_id")).distinct()
-    gone = target.where("kind != 'document'").select("doc_id", "pre")
-    kept = nodes.select("doc_id", "pre", "parent", "kind", F.when(F.col("kind") == "text", F.col("value")).alias("value")).where("kind != 'attribute'")
-    kept = kept.join(gone, ["doc_id", "pre"], "left_anti")
+    tops = own.select("doc_id", "pre", "_top", F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1 - F.col("_hops")), "/").alias("_path"))
+    paths, owner_paths = paths_of(nodes, target.where("kind != 'document'")), listed(tops, "_path")
+    owners = tops.select("doc_id", F.col("_top").alias("pre"), numbered(F.col("_path")).alias("path_id")).distinct()
+    kept = children(nodes, sorted({*paths, *owner_paths}), "path_id")
+    here = F.col("path_id").isin(listed(target, "path_id"))
+    kept = kept.where(~here).unionByName(kept.where(here).join(target.where("kind != 'document'").select("doc_id", "pre"), ["doc_id", "pre"], "left_anti"))
     places = tops.select("doc_id", F.col("pre").alias("parent"), F.col("_top").alias("_owner")).unionByName(owners.select("doc_id", F.col("pre").alias("parent"), F.col("pre").alias("_owner")))
-    nodes = valued(nodes, texts(owners, kept.join(places, ["doc_id", "parent"])), listed(owners, "path_id"))
+    nodes = valued(nodes, texts(owners, kept.join(places, ["doc_id", "parent"])), [zlib.crc32(p.encode()) for p in owner_paths])
 
-    near = under(listed(hit, "path"), True)
-    rows, inside = around(nodes.where(near), target, levels)
+    near = under(paths, True)
+    rows, inside = around(nodes.where(near), target, levels, wide)
     rows = climbed(rows, inside)
     itself = reduce(Column.__or__, (F.coalesce(inside[n]["pre"] == F.col("pre"), F.lit(False)) for n in levels))
     rows = rows.where(~itself & ~((F.col("kind") == "attribute") & (F.col("_hops") > 0)))
@@ -250,22 +287,18 @@ def delete_undeep(nodes: DataFrame, target: DataFrame) -> DataFrame:
 
 def replace(nodes: DataFrame, target: DataFrame, make, keep) -> DataFrame:
     """Each target replaced by ``make(xml of the target)``; every one sees the original document. Only a target's own nodes
-    come together in a task. ``keep`` stores the new nodes: room is made for as many as the largest has."""
+    come together in a task. ``keep`` stores targets and new nodes: room is made for as many as the largest has."""
     target = target.where("parent is not null")
-    before = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("pre") + F.col("size")
-    target = target.withColumn("_end", F.max(end).over(before)).where("_end is null or _end < pre").drop("_end")  # the outermost
-    hit = with_paths(nodes, target)
-    paths = listed(hit, "path")
+    wide = width(nodes)
+    target = keep(told(target, target, wide, False).where("not _inside").drop("_inside"))  # the outermost
+    hit, paths = with_paths(nodes, target), paths_of(nodes, target)
     if not paths:
         return nodes
     near, names = under(paths, True), ["pre", "parent", "kind", "pfx", "local", "value"]
 
-    def passed(nodes: DataFrame, target: DataFrame) -> DataFrame:
+    def passed(nodes: DataFrame, target: DataFrame, wide: int) -> DataFrame:
         """Nodes that may be in a target, with ``_top``: the number of the one they are in."""
-        marks = target.select("doc_id", "pre", *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns if c not in ("doc_id", "pre")), F.struct("pre", end.alias("end")).alias("_mark"))
-        both = nodes.where(near).withColumn("_mark", F.lit(None).cast(marks.schema["_mark"].dataType)).unionByName(marks)
-        so_far = Window.partitionBy("doc_id").orderBy("pre", F.col("_mark").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both, so_far = marked(nodes.where(near), target, wide, F.struct("pre", (F.col("pre") + F.col("size")).alias("end"))), order()
         both = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(so_far)).where("_mark is null")
         return both.withColumn("_top", F.when(F.col("_last")["end"] >= F.col("pre"), F.col("_last")["pre"])).select(*nodes.columns, "_top")
 
@@ -281,15 +314,15 @@ def replace(nodes: DataFrame, target: DataFrame, make, keep) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    whole = passed(nodes, target).where("_top is not null").groupBy("doc_id", "_top").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
+    whole = passed(nodes, target, wide).where("_top is not null").groupBy("doc_id", "_top").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
     made = keep(whole.mapInArrow(run, f"doc_id long, _top long, {PARTS}"))
     times = (made.agg(F.max("_k")).first()[0] or 0) + 1
     roomier, target = roomy(nodes, target, times)
     if roomier is not nodes:
         places = dense(nodes).select("doc_id", F.col("_old").alias("_top"), F.col("pre").alias("_new"))
         made = made.join(places, ["doc_id", "_top"]).withColumn("_top", F.col("_new")).drop("_new")
-        nodes, hit = roomier, with_paths(roomier, target)
-    left = nodes.where(~near).unionByName(passed(nodes, target).where("_top is null").drop("_top"))
+        nodes, hit, wide = roomier, with_paths(roomier, target), width(roomier)
+    left = nodes.where(~near).unionByName(passed(nodes, target, wide).where("_top is null").drop("_top"))
     out = moved(left, times, end=times - 1)
     owners = hit.select("doc_id", F.col("pre").alias("_top"), (F.col("pre") * times).alias("_base"), (F.col("parent") * times).alias("_owner"), (F.col("level") - 1).alias("_depth"), F.regexp_replace("path", _UP, "").alias("_above"))
     out = out.unionByName(put(made.join(owners, ["doc_id", "_top"]), nodes.columns))
@@ -308,8 +341,8 @@ def rename(nodes: DataFrame, target: DataFrame, name: str) -> DataFrame:
     levels = listed(target, "level")
     if not levels:
         return nodes
-    near = under(listed(with_paths(nodes, target), "path"), True)
-    rows, inside = around(nodes.where(near), target, levels)
+    near = under(paths_of(nodes, target), True)
+    rows, inside = around(nodes.where(near), target, levels, width(nodes))
     itself = reduce(Column.__or__, (F.coalesce(inside[n]["pre"] == F.col("pre"), F.lit(False)) for n in levels))
     at = lambda i: reduce(Column.__or__, (inside[n].isNotNull() & (i == n) for n in levels))
     path = F.array_join(F.transform(F.split("path", "/"), lambda x, i: F.when(at(i), F.concat(F.when(x.startswith("@"), "@").otherwise(""), F.lit(name))).otherwise(x)), "/")
