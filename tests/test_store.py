@@ -417,7 +417,8 @@ def test_load_in_small_batches(spark, monkeypatch):
 
 @pytest.mark.parametrize("statement, first", [
     ('UPDATE rename collection("n")//B on X', '<A><X i="1"><C/><X i="2"><C/>t</X><D/></X><C><X i="3"><D><C/></D></X></C>u<D/></A>'),
-], ids=["rename"])
+    ('UPDATE delete_undeep collection("n")//B', "<A><C/><C/>t<D/><C><D><C/></D></C>u<D/></A>"),
+], ids=["rename", "undeep"])
 def test_updates_pass_over_blocks_of_documents(nested, monkeypatch, statement, first):
     from xylem.operators import updates
 
