@@ -524,7 +524,7 @@ class Session:
             out = updates.replace(nodes, target, lambda xml: fragment(template, {name: xml}), lambda made: self.kept(made, "made"))
         else:
             out = {"delete": lambda: updates.delete(nodes, target), "delete_undeep": lambda: updates.delete_undeep(nodes, target), "rename": lambda: updates.rename(nodes, target, e.info.get("new"))}[kind]()
-        self.replace_store(store, store.replaced(self.written(out, kind == "delete")))
+        self.replace_store(store, store.replaced(self.written(out, False)))
         self.fire("after", event, target_name, None)
         return self.done(kind)
 
