@@ -418,8 +418,9 @@ def test_load_in_small_batches(spark, monkeypatch):
 @pytest.mark.parametrize("statement, first", [
     ('UPDATE rename collection("n")//B on X', '<A><X i="1"><C/><X i="2"><C/>t</X><D/></X><C><X i="3"><D><C/></D></X></C>u<D/></A>'),
     ('UPDATE delete_undeep collection("n")//B', "<A><C/><C/>t<D/><C><D><C/></D></C>u<D/></A>"),
+    ('UPDATE replace $n in collection("n")//B with <W>{$n}</W>', '<A><W><B i="1"><C/><B i="2"><C/>t</B><D/></B></W><C><W><B i="3"><D><C/></D></B></W></C>u<D/></A>'),
     ('UPDATE delete collection("n")//B/B', '<A><B i="1"><C/><D/></B><C><B i="3"><D><C/></D></B></C>u<D/></A>'),
-], ids=["rename", "undeep", "delete"])
+], ids=["rename", "undeep", "replace", "delete"])
 def test_updates_pass_over_blocks_of_documents(nested, monkeypatch, statement, first):
     from xylem.operators import updates
 
