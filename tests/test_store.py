@@ -435,3 +435,22 @@ def test_updates_pass_over_blocks_of_documents(nested, monkeypatch, statement, f
     monkeypatch.setattr(updates, "marked", marked)
     updated(nested, monkeypatch, [statement], first)
     assert most and max(most) <= 3  # documents have 16 and 13 nodes
+
+
+@pytest.mark.parametrize("xml, statement, first", [
+    (NESTED, 'UPDATE delete_undeep collection("n")//B', "<A><C/><C/>t<D/><C><D><C/></D></C>u<D/></A>"),
+    (NESTED, 'UPDATE delete_undeep (collection("n")//C | collection("n")//B/D)', '<A><B i="1"><B i="2">t</B></B><B i="3"/>u<D/></A>'),
+    ('<A><B k="1">x<C j="1"><D/>y</C></B><B>z</B></A>', 'UPDATE delete_undeep collection("n")/A/B', '<A>x<C j="1"><D/>y</C>z</A>'),
+    ('<A><B><X><E>x<F/></E></X><E>v</E></B><B><X><E/></X></B></A>', 'UPDATE delete_undeep (collection("n")/A/B | collection("n")/A/B/X/E)', "<A><X>x<F/></X><E>v</E><X/></A>"),
+    ('<A><B><C>x</C></B><B><C><D/>y</C></B></A>', 'UPDATE delete_undeep collection("n")/A/B/C', "<A><B>x</B><B><D/>y</B></A>"),
+], ids=["chain", "union", "one-owner", "owner-below-target", "owners"])
+def test_delete_undeep_of_whole_paths(spark, monkeypatch, xml, statement, first):
+    """Where all nodes at a path go, no pass over documents sorts them: only targets are in one, if they are right below others."""
+    from xylem.operators import updates
+
+    s, passes, keep = Session(spark), [], updates.marked
+    monkeypatch.setattr(updates, "marked", lambda nodes, *more: passes.append(nodes.select("path_id").distinct().count()) or keep(nodes, *more))
+    s.load_xml("n", spark.createDataFrame([(1, xml), (2, xml)], "doc_id long, xml string"))
+    shapes = len(s.catalog.open("n").paths())
+    updated(s, monkeypatch, [statement], first)
+    assert all(n < shapes / 2 for n in passes)

@@ -26,6 +26,8 @@ from xylem.sources.nodes import shred, written
 MOST = 1 << 62
 #: Nodes in a block of a document, about.
 BLOCK = 1 << 16
+#: Rows that are sent to all tasks, at most.
+FEW = 10_000
 _UP = "/[^/]*$"
 
 
@@ -245,31 +247,87 @@ def around(nodes: DataFrame, target: DataFrame, levels: list[int], wide: int) ->
     return both.select(*names, *(c.alias(f"_in{n}") for n, c in held.items())), {n: F.col(f"_in{n}") for n in levels}
 
 
+def climbed(frame: DataFrame, inside: dict[int, Column]) -> DataFrame:
+    """``frame`` with ``_top`` and ``_hops``: the nearest node above that stays, and how many targets are before it."""
+    top, hops = F.col("parent"), F.lit(0)
+    for n in sorted(inside, reverse=True):
+        gone = inside[n].isNotNull() & (inside[n]["pre"] == top)
+        top, hops = F.when(gone, inside[n]["parent"]).otherwise(top), hops + gone.cast("int")
+    return frame.withColumns({"_top": top, "_hops": hops})
+
+
+def covered(nodes: DataFrame, target: DataFrame, paths: list[str]) -> bool:
+    """Whether all nodes at the paths of targets are targets: then its path tells which targets a node is in."""
+    ids = listed(target, "path_id")
+    return len(ids) == len(paths) and nodes.where(F.col("path_id").isin(ids)).count() == target.count()
+
+
+def lifted(nodes: DataFrame, target: DataFrame, paths: list[str]) -> DataFrame:
+    """:func:`delete_undeep` of all nodes at ``paths``: no pass over documents. Only nodes right below a target meet what
+    takes them, which is sent to them if it is one node a document, and few."""
+    gone, up, make = {*paths}, lambda p: p.rpartition("/")[0], nodes.sparkSession.createDataFrame
+
+    def over(path: str) -> list[str]:
+        """The targets right above one another, and above ``path``."""
+        return [up(path), *over(up(path))] if up(path) in gone else []
+
+    tops = climbed(*around(target, target, listed(target, "level"), width(nodes))) if any(map(over, paths)) else target.withColumn("_top", F.col("parent"))
+    tops = tops.select("doc_id", "pre", "_top")
+    owners = tops.select("doc_id", F.col("_top").alias("pre")).distinct()
+    few = owners.limit(FEW + 1).collect()
+    single = len(few) <= FEW and len({r.doc_id for r in few}) == len(few)
+    takers = F.broadcast(make(few, owners.schema)).withColumnRenamed("pre", "_top") if single else tops.withColumnRenamed("pre", "parent")
+    raised = lambda frame: frame.join(takers, ["doc_id"] if single else ["doc_id", "parent"])
+
+    owner_paths = sorted({up(over(p)[-1] if over(p) else p) for p in paths})
+    stay = nodes.where(~F.col("path").isin(paths))
+    kept = raised(children(stay, paths)).withColumnRenamed("_top", "_owner").drop("parent")
+    own = children(stay, owner_paths).withColumnRenamed("parent", "_owner").join(owners.withColumnRenamed("pre", "_owner"), ["doc_id", "_owner"], "left_semi")
+    values = texts(owners, kept.unionByName(own))
+
+    def shaped(frame: DataFrame, some: list[str]) -> DataFrame:
+        """The nodes at some paths, with the levels and paths that they get."""
+        new = {p: "/".join(x for i, x in enumerate(p.split("/")) if "/".join(p.split("/")[: i + 1]) not in gone) for p in some}
+        rows = [(p, q, p.count("/") - q.count("/"), zlib.crc32(q.encode())) for p, q in new.items()]
+        frame = frame.where(F.col("path_id").isin([zlib.crc32(p.encode()) for p in some]))
+        both = frame.join(F.broadcast(make(rows, "path string, _path string, _less int, _id long")), "path")
+        return both.withColumns({"level": F.col("level") - F.col("_less"), "path": F.col("_path"), "path_id": F.col("_id")})
+
+    near = under(paths, True)
+    left = [p for p in listed(nodes.where(near), "path") if p not in gone]
+    low, deep = [p for p in left if up(p) in gone and "/@" not in p], [p for p in left if up(p) not in gone]
+    inner = [p for p in owner_paths if p in left]  # below another target
+    ids = lambda some: [zlib.crc32(p.encode()) for p in some]
+    out = [valued(nodes.where(~near), values, ids(set(owner_paths) - set(inner)))]
+    below = valued(nodes, values, ids(inner)) if inner else nodes
+    if low:
+        out.append(shaped(raised(below), low).withColumn("parent", F.col("_top")).select(*nodes.columns))
+    if deep:
+        out.append(shaped(below, deep).select(*nodes.columns))
+    return reduce(DataFrame.unionByName, out)
+
+
 def delete_undeep(nodes: DataFrame, target: DataFrame) -> DataFrame:
     """Without the targets and their attributes; what was below them moves up. Numbers stay, with gaps."""
-    hit = with_paths(nodes, target.where("kind != 'document'"))
+    target = target.where("kind != 'document'")
+    paths = paths_of(nodes, target)
+    if paths and covered(nodes, target, paths):
+        return lifted(nodes, target, paths)
+    hit = with_paths(nodes, target)
     levels = listed(hit, "level")
     if not levels:
         return nodes
 
-    def climbed(frame: DataFrame, inside: dict[int, Column]) -> DataFrame:
-        """``frame`` with ``_top`` and ``_hops``: the nearest node above that stays, and how many don't before it."""
-        top, hops = F.col("parent"), F.lit(0)
-        for n in reversed(levels):
-            gone = inside[n].isNotNull() & (inside[n]["pre"] == top)
-            top, hops = F.when(gone, inside[n]["parent"]).otherwise(top), hops + gone.cast("int")
-        return frame.withColumns({"_top": top, "_hops": hops})
-
     wide = width(nodes)
     outer, inside = around(hit, target, levels, wide)
     own = climbed(outer, inside)
     steps = F.split("path", "/")
     tops = own.select("doc_id", "pre", "_top", F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1 - F.col("_hops")), "/").alias("_path"))
-    paths, owner_paths = paths_of(nodes, target.where("kind != 'document'")), listed(tops, "_path")
+    owner_paths = listed(tops, "_path")
     owners = tops.select("doc_id", F.col("_top").alias("pre"), numbered(F.col("_path")).alias("path_id")).distinct()
     kept = children(nodes, sorted({*paths, *owner_paths}), "path_id")
     here = F.col("path_id").isin(listed(target, "path_id"))
-    kept = kept.where(~here).unionByName(kept.where(here).join(target.where("kind != 'document'").select("doc_id", "pre"), ["doc_id", "pre"], "left_anti"))
+    kept = kept.where(~here).unionByName(kept.where(here).join(target.select("doc_id", "pre"), ["doc_id", "pre"], "left_anti"))
     places = tops.select("doc_id", F.col("pre").alias("parent"), F.col("_top").alias("_owner")).unionByName(owners.select("doc_id", F.col("pre").alias("parent"), F.col("pre").alias("_owner")))
     nodes = valued(nodes, texts(owners, kept.join(places, ["doc_id", "parent"])), [zlib.crc32(p.encode()) for p in owner_paths])
 
