@@ -454,3 +454,35 @@ def test_delete_undeep_of_whole_paths(spark, monkeypatch, xml, statement, first)
     shapes = len(s.catalog.open("n").paths())
     updated(s, monkeypatch, [statement], first)
     assert all(n < shapes / 2 for n in passes)
+
+
+def test_small_tables_and_tasks_of_updates(spark, nested, monkeypatch):
+    """Small tables for all tasks come without Python workers; a task that writes a version reads little."""
+    from xylem import session
+    from xylem.operators import updates
+    from xylem.sources.nodes import TASK_BYTES
+
+    made = updates.small(spark.range(1), [("a, b:'c\n", 1 << 60), ("é", -1)], "path string, _id bigint")
+    assert [tuple(r) for r in made.collect()] == [("a, b:'c\n", 1 << 60), ("é", -1)]
+    assert "RDD" not in made._jdf.queryExecution().toString()
+    key, seen, keep = "spark.sql.files.maxPartitionBytes", [], session.stored
+    before = spark.conf.get(key)
+    monkeypatch.setattr(session, "stored", lambda *given: seen.append(int(spark.conf.get(key))) or keep(*given))
+    nested.xquery('UPDATE delete_undeep collection("n")/A/C')
+    assert seen == [TASK_BYTES] and spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("xml, statement, first, times", [
+    ("<A><B><C>x</C></B><B>t<C>y</C></B></A>", 'UPDATE replace $n in collection("n")/A/B/C with <W>{$n/text()}</W>', "<A><B><W>x</W></B><B>t<W>y</W></B></A>", 1),
+    ("<A><B><C>x</C></B><B><C>y</C><D/></B></A>", 'UPDATE replace $n in collection("n")/A/B/C with text {"z"}', "<A><B>z</B><B>z<D/></B></A>", 1),
+    ('<A><B k="1"><C>x</C></B><B><C>y</C></B></A>', 'UPDATE replace $n in collection("n")/A/B[@k]/C with <W/>', '<A><B k="1"><W/></B><B><C>y</C></B></A>', 2),
+], ids=["elements", "text", "some"])
+def test_replace_of_whole_paths(spark, monkeypatch, xml, statement, first, times):
+    """Where all nodes at a path are replaced, one pass tells what is in them; what stays isn't in a pass."""
+    from xylem.operators import updates
+
+    s, passes, keep = Session(spark), [], updates.marked
+    monkeypatch.setattr(updates, "marked", lambda *given: passes.append(1) or keep(*given))
+    s.load_xml("n", spark.createDataFrame([(1, xml), (2, xml)], "doc_id long, xml string"))
+    updated(s, monkeypatch, [statement], first)
+    assert len(passes) == times

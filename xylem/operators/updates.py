@@ -11,6 +11,7 @@ inside the one before, so their levels tell which of them is to hold what is put
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -256,6 +257,13 @@ def climbed(frame: DataFrame, inside: dict[int, Column]) -> DataFrame:
     return frame.withColumns({"_top": top, "_hops": hops})
 
 
+def small(nodes: DataFrame, rows: list, schema: str) -> DataFrame:
+    """A few rows for all tasks, without Python workers."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return F.broadcast(nodes.sparkSession.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ", ")))))
+
+
 def covered(nodes: DataFrame, target: DataFrame, paths: list[str]) -> bool:
     """Whether all nodes at the paths of targets are targets: then its path tells which targets a node is in."""
     ids = listed(target, "path_id")
@@ -265,7 +273,7 @@ def covered(nodes: DataFrame, target: DataFrame, paths: list[str]) -> bool:
 def lifted(nodes: DataFrame, target: DataFrame, paths: list[str]) -> DataFrame:
     """:func:`delete_undeep` of all nodes at ``paths``: no pass over documents. Only nodes right below a target meet what
     takes them, which is sent to them if it is one node a document, and few."""
-    gone, up, make = {*paths}, lambda p: p.rpartition("/")[0], nodes.sparkSession.createDataFrame
+    gone, up = {*paths}, lambda p: p.rpartition("/")[0]
 
     def over(path: str) -> list[str]:
         """The targets right above one another, and above ``path``."""
@@ -276,7 +284,7 @@ def lifted(nodes: DataFrame, target: DataFrame, paths: list[str]) -> DataFrame:
     owners = tops.select("doc_id", F.col("_top").alias("pre")).distinct()
     few = owners.limit(FEW + 1).collect()
     single = len(few) <= FEW and len({r.doc_id for r in few}) == len(few)
-    takers = F.broadcast(make(few, owners.schema)).withColumnRenamed("pre", "_top") if single else tops.withColumnRenamed("pre", "parent")
+    takers = small(nodes, few, "doc_id bigint, _top bigint") if single else tops.withColumnRenamed("pre", "parent")
     raised = lambda frame: frame.join(takers, ["doc_id"] if single else ["doc_id", "parent"])
 
     owner_paths = sorted({up(over(p)[-1] if over(p) else p) for p in paths})
@@ -290,7 +298,7 @@ def lifted(nodes: DataFrame, target: DataFrame, paths: list[str]) -> DataFrame:
         new = {p: "/".join(x for i, x in enumerate(p.split("/")) if "/".join(p.split("/")[: i + 1]) not in gone) for p in some}
         rows = [(p, q, p.count("/") - q.count("/"), zlib.crc32(q.encode())) for p, q in new.items()]
         frame = frame.where(F.col("path_id").isin([zlib.crc32(p.encode()) for p in some]))
-        both = frame.join(F.broadcast(make(rows, "path string, _path string, _less int, _id long")), "path")
+        both = frame.join(small(nodes, rows, "path string, _path string, _less int, _id bigint"), "path")
         return both.withColumns({"level": F.col("level") - F.col("_less"), "path": F.col("_path"), "path_id": F.col("_id")})
 
     near = under(paths, True)
@@ -347,11 +355,14 @@ def replace(nodes: DataFrame, target: DataFrame, make, keep) -> DataFrame:
     """Each target replaced by ``make(xml of the target)``; every one sees the original document. Only a target's own nodes
     come together in a task. ``keep`` stores targets and new nodes: room is made for as many as the largest has."""
     target = target.where("parent is not null")
-    wide = width(nodes)
-    target = keep(told(target, target, wide, False).where("not _inside").drop("_inside"))  # the outermost
-    hit, paths = with_paths(nodes, target), paths_of(nodes, target)
+    wide, paths = width(nodes), paths_of(nodes, target)
     if not paths:
         return nodes
+    whole = covered(nodes, target, paths)  # then nothing at or below the paths stays
+    if any(p.startswith(q + "/") for p in paths for q in paths):
+        target = told(target, target, wide, False).where("not _inside").drop("_inside")  # the outermost
+    hit = keep(with_paths(nodes, target))
+    target = hit.drop("path")
     near, names = under(paths, True), ["pre", "parent", "kind", "pfx", "local", "value"]
 
     def passed(nodes: DataFrame, target: DataFrame, wide: int) -> DataFrame:
@@ -372,22 +383,25 @@ def replace(nodes: DataFrame, target: DataFrame, make, keep) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    whole = passed(nodes, target, wide).where("_top is not null").groupBy("doc_id", "_top").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
-    made = keep(whole.mapInArrow(run, f"doc_id long, _top long, {PARTS}"))
+    told_apart = passed(nodes, target, wide).where("_top is not null").groupBy("doc_id", "_top").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
+    made = keep(told_apart.mapInArrow(run, f"doc_id long, _top long, {PARTS}"))
     times = (made.agg(F.max("_k")).first()[0] or 0) + 1
     roomier, target = roomy(nodes, target, times)
     if roomier is not nodes:
         places = dense(nodes).select("doc_id", F.col("_old").alias("_top"), F.col("pre").alias("_new"))
         made = made.join(places, ["doc_id", "_top"]).withColumn("_top", F.col("_new")).drop("_new")
         nodes, hit, wide = roomier, with_paths(roomier, target), width(roomier)
-    left = nodes.where(~near).unionByName(passed(nodes, target, wide).where("_top is null").drop("_top"))
+    left = nodes.where(~near)
+    if not whole:
+        left = left.unionByName(passed(nodes, target, wide).where("_top is null").drop("_top"))
     out = moved(left, times, end=times - 1)
     owners = hit.select("doc_id", F.col("pre").alias("_top"), (F.col("pre") * times).alias("_base"), (F.col("parent") * times).alias("_owner"), (F.col("level") - 1).alias("_depth"), F.regexp_replace("path", _UP, "").alias("_above"))
     out = out.unionByName(put(made.join(owners, ["doc_id", "_top"]), nodes.columns))
-    changed = above(hit).withColumn("pre", F.col("pre") * times)
-    mixed = made.where("_up is null and kind not in ('text', 'attribute')").join(owners, ["doc_id", "_top"]).select("doc_id", F.col("_owner").alias("pre")).distinct()
-    plain = changed.join(mixed, ["doc_id", "pre"], "left_anti")
-    out = valued(out, changed.join(mixed, ["doc_id", "pre"], "left_semi").withColumn("_value", F.lit(None).cast("string")), listed(changed, "path_id"))
+    tops = made.where("_up is null and kind not in ('text', 'attribute')").select("doc_id", F.col("_top").alias("pre"), F.lit(True).alias("_mixed")).distinct()
+    changed = hit.join(tops, ["doc_id", "pre"], "left").groupBy("doc_id", (F.col("parent") * times).alias("pre"), numbered(F.regexp_replace("path", _UP, "")).alias("path_id"))
+    changed = keep(changed.agg(F.coalesce(F.max("_mixed"), F.lit(False)).alias("_mixed")))
+    mixed, plain = changed.where("_mixed").drop("_mixed"), changed.where("not _mixed").drop("_mixed")
+    out = valued(out, mixed.withColumn("_value", F.lit(None).cast("string")), listed(mixed, "path_id"))
     return revalued(out, plain) if plain.take(1) else out
 
 

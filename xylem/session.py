@@ -23,7 +23,7 @@ from xylem.plans.compiler import Compiler, Static
 from xylem.plans.parser import E, parse
 from xylem.plans.relation import Node, Relation, Row, Tuples
 from xylem.sources.catalog import Catalog, Connector, Indexes, Security
-from xylem.sources.nodes import SCHEMA, NodeStore, load, serialised, stored
+from xylem.sources.nodes import SCHEMA, NodeStore, load, serialised, small_tasks, stored
 
 #: Triggers that may fire one another.
 CASCADE = 10
@@ -560,7 +560,8 @@ class Session:
 
     def written(self, nodes: DataFrame, spread: bool = True) -> DataFrame:
         """A version, stored: it doesn't carry the plans of those before it."""
-        return stored(self.spark, nodes, self.fresh_folder("version"), spread)
+        with small_tasks(self.spark):
+            return stored(self.spark, nodes, self.fresh_folder("version"), spread)
 
     def kept(self, frame: DataFrame, stem: str) -> DataFrame:
         """``frame``, stored as it is and read back."""

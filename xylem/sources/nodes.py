@@ -25,6 +25,8 @@ GAP = 1
 BATCH = 20_000
 #: Bytes of documents in a batch that goes to Python, about: a document is in one batch, several long ones aren't.
 BATCH_BYTES = 1 << 20
+#: Bytes of files of a node table that an update reads in a task, at most: some 300,000 nodes where they compress well.
+TASK_BYTES = 4 << 20
 #: Characters that are parsed at once.
 PIECE = 1 << 16
 
@@ -198,6 +200,19 @@ def small_batches(spark) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def small_tasks(spark) -> Iterator[None]:
+    """Files are read in pieces of at most ``TASK_BYTES`` by what is run meanwhile: a task sorts what it reads before it is written."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    known = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(key, str(min(known, TASK_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def load(session, docs: DataFrame, name: str) -> NodeStore:
     """Shreds ``docs`` (doc_id, xml) and stores the table by path."""
     with small_batches(session.spark):
